@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, mixing, packing, quality, topk, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_exact_topk": topk.op2_exact_topk,
     "op3_chat_format": chat.op3_chat_format,
     "op5_source_mix": mixing.op5_source_mix,
+    "op6_pack": packing.op6_pack,
+    "op8_warc": warc.op8_warc,
 }
 SQL = {
     "op1_quality_rules": quality.SQL,
+    "op2_exact_topk": topk.SQL,
     "op5_source_mix": mixing.SQL,
 }
