@@ -151,7 +151,7 @@ class Words:
             out[0][a:b] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
             for o, k in zip(out[1:], lead, strict=True):
                 cut = np.minimum(e, s + k)
-                o[a:b] = mix64((sums[cut] - sums[s]) * down[s] + U(k) * U(0x9E3779B97F4A7C15))
+                o[a:b] = mix64((sums[cut] - sums[s]) * down[s] + U(k * 0x9E3779B97F4A7C15 % (1 << 64)))
         return tuple(out) if lead else out[0]
 
     def text(self, a: int, b: int) -> list[bytes]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, topk, warc
+from . import chat, licenses, mixing, packing, quality, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,9 +11,12 @@ QUERIES = {
     "op5_source_mix": mixing.op5_source_mix,
     "op6_pack": packing.op6_pack,
     "op8_warc": warc.op8_warc,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_exact_topk": topk.SQL,
     "op5_source_mix": mixing.SQL,
+    "op9_license_scan": licenses.SQL,
 }
