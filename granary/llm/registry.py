@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, packing, quality, topk, toxicity, warc
+from . import chat, licenses, mixing, neardup, packing, quality, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_pack": packing.op6_pack,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_warc": warc.op8_warc,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
