@@ -6,6 +6,7 @@ below 0x80, so words are found on UTF-8 bytes without decoding.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(spark: SparkSession, path: str) -> None:
     """Remove a path in the shared folder that is no longer read."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -179,6 +186,21 @@ def window_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndar
     return mix64(h[place]), row[place], place
 
 
+def sequence_hashes(words: Words, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row's word sequence."""
+    h, count = words.hashes(lower=lower), words.count()
+    up = _pow(int(count.max(initial=0)) + 1)[0]
+    local = np.arange(len(h)) - np.repeat(words.first[:-1], count)
+    out = []
+    for v in (h, mix64(h ^ U(0x5851F42D4C957F2D))):
+        sums = np.zeros(words.n_rows, U)
+        full = np.flatnonzero(count)
+        if len(full):
+            sums[full] = np.add.reduceat(v * up[local], words.first[:-1][full])
+        out.append(mix64(sums + count.astype(U)).view(np.int64))
+    return out[0], out[1]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts in ``column`` hold about ``most`` bytes; one long text stays whole."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, _pow, arrow_limits, mix64, slices, window_hashes, written
+from .common import Words, arrow_limits, mix64, sequence_hashes, slices, window_hashes, written
 from .components import components
 
 U = np.uint64
@@ -68,21 +68,6 @@ def shingles(words: Words, k: int) -> list[np.ndarray]:
     return sets
 
 
-def sequence_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each row's word sequence."""
-    h, count = words.hashes(lower=True), words.count()
-    up = _pow(int(count.max(initial=0)) + 1)[0]
-    local = np.arange(len(h)) - np.repeat(words.first[:-1], count)
-    out = []
-    for v in (h, mix64(h ^ U(0x5851F42D4C957F2D))):
-        sums = np.zeros(words.n_rows, U)
-        full = np.flatnonzero(count)
-        if len(full):
-            sums[full] = np.add.reduceat(v * up[local], words.first[:-1][full])
-        out.append(mix64(sums + count.astype(U)).view(np.int64))
-    return out[0], out[1]
-
-
 def registers(shingle_set: np.ndarray) -> np.ndarray:
     """The HyperMinHash registers of a sorted set: leading zeros above the mantissa's bits."""
     out = np.full(BUCKETS, EMPTY, np.uint16)
@@ -116,7 +101,7 @@ def sketches(docs: DataFrame, words_each: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                one, two = sequence_hashes(words)
+                one, two = sequence_hashes(words, lower=True)
                 sets = shingles(words, words_each)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(one), pa.array(two), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary())],

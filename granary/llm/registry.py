@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, neardup, packing, quality, topk, toxicity, warc
+from . import chat, licenses, mixing, neardup, packing, quality, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_exact_topk": topk.op2_exact_topk,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_pack": packing.op6_pack,
     "op7_near_duplicates": neardup.op7_near_duplicates,

@@ -41,3 +41,21 @@ def near_components(rows, k, percent):
                 a, b = sorted((top(d), top(e)))
                 root[b] = a
     return {d: (len(s), top(d)) for d, s in sets.items()}
+
+
+def without_repeats(rows, window):
+    """{doc_id: (words, removed, kept words)} for rows of (doc_id, text)."""
+    first = {}
+    split = {d: words(t) for d, t in rows}
+    for d in sorted(split):
+        w = split[d]
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), d)
+    out = {}
+    for d, w in split.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < d:
+                gone[i : i + window] = [True] * window
+        out[d] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return out
