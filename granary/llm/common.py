@@ -43,10 +43,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends, lost executors don't matter."""
+def files_for(n_rows: int) -> int:
+    """How many files a table derived from ``n_rows`` rows is written to at most: few for small inputs, no bound that matters for large ones."""
+    return max(16, n_rows >> 12)
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder, in ``files`` files at most, and read again: lineage ends, lost executors don't matter."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, sequence_hashes, settle, slices, window_hashes, written
+from .common import Words, arrow_limits, files_for, sequence_hashes, settle, slices, window_hashes, written
 
 WINDOW = 13
 ANCHOR = 7
@@ -189,6 +189,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     """``docs`` with ``n_words``, ``removed_spans`` (words [start, end)), ``n_removed`` and ``kept_words``, joined by one space."""
     spark = docs.sparkSession
     arrow_limits(spark)
+    files = files_for(docs.count())
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,28 +199,28 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
                 one, two = sequence_hashes(words, lower=False)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(one), pa.array(two), pa.array(words.count().astype(np.int64))], names=["doc_id", "content", "one", "two", "n"])
 
-    listed = written(own.withColumn("content", F.xxhash64("text")).mapInArrow(sequences, "doc_id long, content long, one long, two long, n long"), "sequences")
+    listed = written(own.withColumn("content", F.xxhash64("text")).mapInArrow(sequences, "doc_id long, content long, one long, two long, n long"), "sequences", files)
     least = listed.where(F.col("n") >= window).groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
     copies = listed.join(least, ["one", "two"]).where("doc_id > rep").select("doc_id", "content").distinct()
     reps = least.select(F.col("rep").alias("doc_id")).distinct()
 
     found = anchor_rows(own, window, anchor)
-    recurring = written(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "anchors")
+    recurring = written(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "anchors", files)
     settle(spark)
     hits = found.join(recurring, "anchor").join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    hits = written(hits, "hits")
+    hits = written(hits, "hits", files)
     settle(spark)
-    cut = written(parts(own.join(hits, "doc_id"), window, anchor), "parts")
+    cut = written(parts(own.join(hits, "doc_id"), window, anchor), "parts", files)
     settle(spark)
     windows = window_rows(cut, window)
     confirmed = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    confirmed = written(confirmed, "windows")
-    routes = written(windows.join(confirmed, "hash").where("doc_id > first").select("doc_id", "first").distinct(), "routes")
+    confirmed = written(confirmed, "windows", files)
+    routes = written(windows.join(confirmed, "hash").where("doc_id > first").select("doc_id", "first").distinct(), "routes", files)
     settle(spark)
     firsts = confirmed.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("hash").alias("hashes"))
     told = passages(cut.join(firsts, "doc_id"), window)
     sent = routes.join(told, "first").groupBy("doc_id").agg(F.collect_list(F.struct("first", "passage")).alias("__passages"))
-    sent = written(sent, "passages")
+    sent = written(sent, "passages", files)
     settle(spark)
 
     plain = docs.withColumn("__content", F.xxhash64("text"))
