@@ -13,9 +13,9 @@ a smaller id. All windows are judged on the input.
    in. The passages of a shard of documents (a bounded part of an Arrow batch) are cut into tiles of
    ``(window + 1) // 2`` words, one of which lies in any window, and the shard's Aho-Corasick
    automaton is compiled from their word numbers.
-3. Stream. Every document runs through its shard's automaton. Each occurrence of a tile gives an
-   alignment of document and passage; runs of ``window`` or more equal words on it are marked if
-   the passage's document is the smaller one.
+3. Stream. Every document that passages were sent to runs through its shard's automaton. Each
+   occurrence of a tile of those passages gives an alignment of document and passage; where equal
+   words around the tile make up a window, they are marked.
 
 Documents that equal a smaller one word by word are copies as a whole and skip these steps.
 
@@ -41,7 +41,8 @@ from .common import Words, arrow_limits, files_for, sequence_hashes, settle, sli
 
 WINDOW = 13
 ANCHOR = 7
-LETTER = np.uint64(0xFFFFFFFF)
+#: Word numbers in the automaton are 32 bits of the words' hashes; whole hashes are compared after.
+LETTER = 0xFFFFFFFF
 
 
 def anchors_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,35 +155,42 @@ class Automaton:
         words = Words(pa.array([p for _, p in found], pa.large_string()))
         hashes = words.hashes()
         self.owner = [f for f, _ in found]
-        self.hashes = [hashes[words.first[k] : words.first[k + 1]] for k in range(len(found))]
-        tiles: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, h in enumerate(self.hashes):
-            letters = (h & LETTER).tolist()
-            for q in range(0, len(letters) - self.tile + 1, self.tile):
-                tiles.setdefault(tuple(letters[q : q + self.tile]), []).append((k, q))
+        self.words = [hashes[words.first[k] : words.first[k + 1]].tolist() for k in range(len(found))]
+        self.numbers: dict[tuple[int, str], int] = {x: k for k, x in enumerate(found)}
+        tiles: dict[tuple[int, ...], dict[int, list[int]]] = {}
+        for k, own in enumerate(self.words):
+            for q in range(0, len(own) - self.tile + 1, self.tile):
+                tiles.setdefault(tuple(w & LETTER for w in own[q : q + self.tile]), {}).setdefault(k, []).append(q)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, places in tiles.items():
             self.automaton.add_word(key, places)
         self.automaton.make_automaton()
 
-    def marks(self, doc_id: int, h: np.ndarray) -> np.ndarray:
-        """Which words of a document stand in windows of passages of smaller documents."""
-        gone = np.zeros(len(h), bool)
-        done = set()
-        for end, places in self.automaton.iter(tuple((h & LETTER).tolist())):
-            p = end - self.tile + 1
-            for k, q in places:
-                if self.owner[k] >= doc_id or (k, p - q) in done:
-                    continue
-                done.add((k, p - q))
-                own = self.hashes[k]
-                a, b = max(0, q - p), min(len(own), q - p + len(h))  # the passage's words that meet the document
-                equal = np.concatenate([[0], (own[a:b] == h[a + p - q : b + p - q]).astype(np.int8), [0]])
-                step = np.diff(equal)
-                for lo, hi in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-                    if hi - lo >= self.window:
-                        gone[a + p - q + lo : a + p - q + hi] = True
-        return gone
+    def marks(self, doc_id: int, hashes: np.ndarray, sent: set[int]) -> np.ndarray:
+        """Which words of a document stand in windows of the passages ``sent`` to it, those of smaller documents.
+
+        Any window that holds a tile lies within ``window - tile`` words of it, and each window holds one.
+        """
+        words, gone = hashes.tolist(), bytearray(len(hashes))
+        sent = {k for k in sent if self.owner[k] < doc_id}
+        tile, more = self.tile, self.window - self.tile
+        for end, places in self.automaton.iter(tuple((hashes & np.uint64(LETTER)).tolist())):
+            p = end - tile + 1
+            for k in sent & places.keys():
+                own = self.words[k]
+                for q in places[k]:
+                    if words[p : p + tile] != own[q : q + tile]:
+                        continue
+                    before = after = 0
+                    least = min(more, p, q)
+                    while before < least and words[p - before - 1] == own[q - before - 1]:
+                        before += 1
+                    least = min(more, len(words) - p - tile, len(own) - q - tile)
+                    while after < least and words[p + tile + after] == own[q + tile + after]:
+                        after += 1
+                    if before + after >= more:
+                        gone[p - before : end + 1 + after] = b"\x01" * (before + tile + after)
+        return np.frombuffer(gone, bool)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -242,11 +250,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 
 def stream(shard: pa.RecordBatch, kept: list[str], window: int) -> pa.RecordBatch:
     """Compile the shard's automaton and run all its documents through it."""
-    sent: set[tuple[int, str]] = set()
-    for row in shard.column("__passages"):
-        if row.is_valid:
-            sent.update((x["first"], x["passage"]) for x in row.as_py())
-    automaton = Automaton(sorted(sent), window) if sent else None
+    sent = [[(x["first"], x["passage"]) for x in row.as_py() or ()] for row in shard.column("__passages")]
+    automaton = Automaton(sorted({x for own in sent for x in own}), window) if any(sent) else None
     words = Words(shard.column("text"))
     hashes, count = words.hashes(), words.count().astype(np.int64)
     n_removed, spans, texts = [], [], []
@@ -255,8 +260,8 @@ def stream(shard: pa.RecordBatch, kept: list[str], window: int) -> pa.RecordBatc
         gone = None
         if copies[i]:
             gone = np.ones(count[i], bool)
-        elif automaton and ids[i] is not None and count[i] >= window:
-            gone = automaton.marks(ids[i], hashes[words.first[i] : words.first[i + 1]])
+        elif sent[i]:
+            gone = automaton.marks(ids[i], hashes[words.first[i] : words.first[i + 1]], {automaton.numbers[x] for x in sent[i]})
         own = (raw or b"").split()
         if gone is None or not gone.any():
             n_removed.append(0)
