@@ -39,14 +39,14 @@ CHUNK = 8192
 PHI = 0.6180339887498949
 
 
-def _named(source: Column) -> Column:
+def named(source: Column) -> Column:
     """A key that is never null: sources sort by code point, null last."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, src, size) for each document."""
-    return docs.select("doc_id", "source", _named(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", named(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
