@@ -28,12 +28,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component) of every node in ``links`` (x, y); the component is its smallest node."""
     edges = links.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", files)
     while True:
-        after = written(_star(_star(edges, large=True), large=False), "edges")
+        after = written(_star(_star(edges, large=True), large=False), "edges", files)
         print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if print_of(after) == print_of(edges):
             break

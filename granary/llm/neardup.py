@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, mix64, sequence_hashes, slices, window_hashes, written
+from .common import Words, arrow_limits, files_for, mix64, sequence_hashes, slices, window_hashes, written
 from .components import components
 
 U = np.uint64
@@ -264,22 +264,23 @@ def cross_links(members: DataFrame, texts: DataFrame, words_each: int, percent:
 
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (whether it is its component's smallest)."""
-    sketched = written(sketches(docs, words_each), "sketches")
+    files = files_for(docs.count())
+    sketched = written(sketches(docs, words_each), "sketches", files)
     linked = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
     firsts = classes.select(F.col("rep").alias("doc_id"), "one", "two")
-    reps = written(linked.join(firsts, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]), "reps")
+    reps = written(linked.join(firsts, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]), "reps", files)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     banded = bands(reps)
     leads = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("key", "lead")
-    members = written(banded.join(leads, "key").where("doc_id <> lead").distinct(), "members")
+    members = written(banded.join(leads, "key").where("doc_id <> lead").distinct(), "members", files)
     candidates = members.select("lead", "doc_id").distinct()
-    first = written(verified(promising(candidates, reps, percent), own, words_each, percent), "links")
-    groups = written(components(first), "groups")
+    first = written(verified(promising(candidates, reps, percent), own, words_each, percent), "links", files)
+    groups = written(components(first, files), "groups", files)
     named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    second = written(cross_links(named, own, words_each, percent), "links")
-    final = components(first.unionByName(second))
+    second = written(cross_links(named, own, words_each, percent), "links", files)
+    final = components(first.unionByName(second), files)
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
     of_doc = final.select(F.col("node").alias("doc_id"), F.col("component").alias("own_component"))
     rows = sketched.select("doc_id", "one", "two", "n_shingles").join(of_class, ["one", "two"], "left").join(of_doc, "doc_id", "left")
