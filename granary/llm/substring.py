@@ -12,7 +12,7 @@ a smaller id. All windows are judged on the input.
 2. Compile automata. A document is sent the passages of the documents that its windows started
    in. The passages of a shard of documents (a bounded part of an Arrow batch) are cut into tiles of
    ``(window + 1) // 2`` words, one of which lies in any window, and the shard's Aho-Corasick
-   automaton is compiled from their word numbers.
+   automaton is compiled from their words, spelled in a small alphabet.
 3. Stream. Every document that passages were sent to runs through its shard's automaton. Each
    occurrence of a tile of those passages gives an alignment of document and passage; where equal
    words around the tile make up a window, they are marked.
@@ -41,8 +41,9 @@ from .common import Words, arrow_limits, files_for, sequence_hashes, settle, sli
 
 WINDOW = 13
 ANCHOR = 7
-#: Word numbers in the automaton are 32 bits of the words' hashes; whole hashes are compared after.
-LETTER = 0xFFFFFFFF
+#: In the automaton a word is so many letters of 6 bits of its hash: an automaton's node seeks among its
+#: children one by one, so whole words as letters would make its root slow. Whole hashes are compared after.
+LETTERS = 4
 
 
 def anchors_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +148,16 @@ def passages(cut: DataFrame, window: int) -> DataFrame:
     return cut.select("doc_id", "part", "hashes").mapInArrow(run, "first long, passage string")
 
 
+def spelled(hashes: np.ndarray) -> str:
+    """``LETTERS`` letters for each word; a word's first letter is of a range of its own."""
+    out = np.empty((len(hashes), LETTERS), "<u4")
+    for j in range(LETTERS):
+        out[:, j] = ((hashes >> np.uint64(6 * j)) & np.uint64(63)) + np.uint64(48 if j else 128)
+    return out.tobytes().decode("utf-32-le")
+
+
 class Automaton:
-    """An Aho-Corasick automaton of the tiles of passages, over word numbers."""
+    """An Aho-Corasick automaton of the tiles of passages, over spelled words."""
 
     def __init__(self, found: list[tuple[int, str]], window: int):
         self.window, self.tile = window, (window + 1) // 2
@@ -157,11 +166,13 @@ class Automaton:
         self.owner = [f for f, _ in found]
         self.words = [hashes[words.first[k] : words.first[k + 1]].tolist() for k in range(len(found))]
         self.numbers: dict[tuple[int, str], int] = {x: k for k, x in enumerate(found)}
-        tiles: dict[tuple[int, ...], dict[int, list[int]]] = {}
+        tiles: dict[str, dict[int, list[int]]] = {}
+        letters = spelled(hashes)
         for k, own in enumerate(self.words):
+            at = int(words.first[k])
             for q in range(0, len(own) - self.tile + 1, self.tile):
-                tiles.setdefault(tuple(w & LETTER for w in own[q : q + self.tile]), {}).setdefault(k, []).append(q)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                tiles.setdefault(letters[LETTERS * (at + q) : LETTERS * (at + q + self.tile)], {}).setdefault(k, []).append(q)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
         for key, places in tiles.items():
             self.automaton.add_word(key, places)
         self.automaton.make_automaton()
@@ -174,7 +185,8 @@ class Automaton:
         words, gone = hashes.tolist(), bytearray(len(hashes))
         sent = {k for k in sent if self.owner[k] < doc_id}
         tile, more = self.tile, self.window - self.tile
-        for end, places in self.automaton.iter(tuple((hashes & np.uint64(LETTER)).tolist())):
+        for last, places in self.automaton.iter(spelled(hashes)):
+            end = last // LETTERS
             p = end - tile + 1
             for k in sent & places.keys():
                 own = self.words[k]
