@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     of_doc = final.select(F.col("node").alias("doc_id"), F.col("component").alias("own_component"))
     rows = sketched.select("doc_id", "one", "two", "n_shingles").join(of_class, ["one", "two"], "left").join(of_doc, "doc_id", "left")
     # a copy's component is its class's; an id that has links under another text stays with those
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.least(F.coalesce("component", "doc_id"), F.coalesce("own_component", "component", "doc_id")))
+    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.least(F.coalesce("component", "doc_id"), F.coalesce("own_component", "component", "doc_id")))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
