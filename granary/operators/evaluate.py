@@ -34,3 +34,38 @@ def ranking_scores(scored: DataFrame) -> DataFrame:
         F.round(F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / F.col("seen")), 6).alias("average_precision"),
         F.round(F.sum(neg * higher) / F.max(F.col("all_pos") * (F.col("all_n") - F.col("all_pos"))), 6).alias("roc_auc"),
     )
+
+
+def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` with ``weight``, rows / (classes * rows of the class). One row per class is joined back."""
+    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()
+    weights = n.select(label, (F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))).alias("weight"))
+    return rows.join(weights, label)
+
+
+def trained_scores(kept: DataFrame, test: DataFrame, nodes: list[int], model: str = "forest", trees: int = 300, seed: int = 1337) -> DataFrame:
+    """(node, macro_f1, balanced_accuracy) of a model per node, trained on what it kept (node, label, vector), on one test set.
+
+    ``forest``: a random forest with balanced class weights; ``logistic``: logistic regression on standardised features.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    as_features = lambda df: df.select("label", array_to_vector("vector").alias("raw"))
+    shared, out = as_features(test).cache(), None
+    for node in nodes:
+        rows = balanced_weights(as_features(kept.where(F.col("node") == node)), "label").cache()
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True)
+        if model == "forest":
+            learner = RandomForestClassifier(numTrees=trees, seed=seed, weightCol="weight", featuresCol="raw")
+            stages = [learner]
+        else:
+            learner = LogisticRegression(maxIter=100, regParam=1.0 / max(1, rows.count()), weightCol="weight")
+            stages = [scaler, learner]
+        told = Pipeline(stages=stages).fit(rows).transform(shared).select("label", F.col("prediction").cast("int").alias("predicted"))
+        scores = accuracy_scores(told).select(F.lit(node).alias("node"), "macro_f1", "balanced_accuracy")
+        out = scores if out is None else out.unionByName(scores)
+    return out

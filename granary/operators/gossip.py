@@ -44,3 +44,25 @@ def spread(owned: DataFrame, drawn: DataFrame, ttl: int = 2) -> tuple[DataFrame,
         holders = holders.unionByName(fresh.select("dst", "key"))
         outbox = fresh.where("ttl > 0").select(F.col("dst").alias("src"), "key", "epoch", "payload", "ttl")
     return sent, holders
+
+
+def cycle(view: DataFrame, view_size: int) -> DataFrame:
+    """One round of peer sampling on (src, dst, age): ages grow, each node swaps views with its oldest peer.
+
+    A view keeps each peer's smallest age, never itself, and when too large its oldest entries.
+    """
+    aged = view.withColumn("age", F.col("age") + 1)
+    partner = aged.groupBy("src").agg(F.max_by("dst", F.struct("age", (-F.col("dst")).alias("m"))).alias("partner"))
+    own = partner.select(F.col("partner").alias("to"), F.col("src").alias("dst"), F.lit(0).alias("age"))
+    given = aged.join(partner, "src").select(F.col("partner").alias("to"), "dst", "age").unionByName(own)
+    back = partner.join(aged.withColumnRenamed("src", "partner"), "partner").select(F.col("src").alias("to"), "dst", "age")
+    every = aged.withColumnRenamed("src", "to").unionByName(given).unionByName(back).where("`to` <> dst")
+    merged = every.groupBy(F.col("to").alias("src"), "dst").agg(F.min("age").alias("age"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("age"), "dst"))
+    return merged.withColumn("r", rank).where(F.col("r") <= view_size).drop("r")
+
+
+def newer(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Arrivals (node, key, version) of which the node has no copy as new."""
+    held = stored.select("node", "key", F.col("version").alias("held"))
+    return incoming.join(held, ["node", "key"], "left").where(F.col("held").isNull() | (F.col("held") < F.col("version"))).drop("held")

@@ -345,6 +345,26 @@ def view_merge(s, d):
     return merged.withColumn("r", rank).where("r <= 4").select("src", "dst", "age")
 
 
+VIEW = 4
+
+
+@query(f"""WITH v AS (SELECT CAST(a.range AS INTEGER) AS src, CAST(b.range AS INTEGER) AS dst, CAST((a.range * 7 + b.range * 3) % 5 + 1 AS INTEGER) AS age FROM range({NODES}) a, range({NODES}) b WHERE a.range <> b.range AND (a.range + b.range) % 2 = 1),
+p AS (SELECT src, arg_max(dst, (age, -dst)) AS partner FROM v GROUP BY src),
+e AS (SELECT src AS t, dst, age FROM v UNION ALL SELECT partner, src, 0 FROM p UNION ALL SELECT partner, dst, age FROM v JOIN p USING (src) UNION ALL SELECT p.src, v.dst, v.age FROM p JOIN v ON v.src = p.partner),
+m AS (SELECT t AS src, dst, min(age) AS age FROM e WHERE t <> dst GROUP BY ALL)
+SELECT src, dst, age FROM m QUALIFY row_number() OVER (PARTITION BY src ORDER BY age DESC, dst) <= {VIEW}""")
+def overlay_cycle(s, d):
+    view = gossip.pairs(s, NODES).where((F.col("src") + F.col("dst")) % 2 == 1).withColumn("age", ((F.col("src") * 7 + F.col("dst") * 3) % 5).cast("int"))
+    return gossip.cycle(view, VIEW)
+
+
+@query(f"""WITH i AS (SELECT CAST(user_id % {NODES} AS INTEGER) AS node, event_id % 500 AS key, event_id AS version FROM events),
+st AS (SELECT node, key, min(version) + 1000 AS version FROM i GROUP BY ALL) SELECT i.* FROM i LEFT JOIN st USING (node, key) WHERE st.version IS NULL OR st.version < i.version""")
+def gossip_newer(s, d):
+    arrived = table(s, d, "events").select(X.owner(F.col("user_id"), NODES).alias("node"), (F.col("event_id") % 500).alias("key"), F.col("event_id").alias("version"))
+    return gossip.newer(arrived, arrived.groupBy("node", "key").agg((F.min("version") + 1000).alias("version")))
+
+
 @query(f"WITH {ITEMS} SELECT node, epoch, key FROM items QUALIFY row_number() OVER (PARTITION BY node, epoch ORDER BY seq) <= 4")
 def fifo_batch(s, d):
     rank = F.row_number().over(Window.partitionBy("node", "epoch").orderBy("seq"))
@@ -454,6 +474,21 @@ def node_binary_stats(s, d):
     return table(s, d, "labels").groupBy(X.owner(F.col("doc_id"), NODES).alias("node")).agg(F.sum("toxic").alias("pos"), (F.count(F.lit(1)) - F.sum("toxic")).alias("neg"), F.round(F.avg("toxic"), 6).alias("pos_ratio"))
 
 
+@query(f"WITH {VECTORS}, {utility_sql(CAPACITY)} SELECT node, round(sum(utility) / (count(*) * (24 + 8 * 64)), 6) AS density FROM scored GROUP BY node")
+def utility_density(s, d):
+    u = X.finite(F.col("utility"))
+    return with_utility(s, d).groupBy("node").agg(F.round(F.sum(u) / (F.count(F.lit(1)) * (24 + 8 * F.max(F.size("vector")))), 6).alias("density"))
+
+
+@query(
+    f"WITH {RANKED}, b AS (SELECT ratio, greatest(1, CAST(ceil((SELECT count(*) FROM events) * ratio) AS BIGINT)) AS budget FROM (SELECT CAST(unnest([{', '.join(map(str, RATIOS))}]) AS DOUBLE) AS ratio)) "
+    "SELECT ratio, CAST(sum(payload) AS BIGINT) AS bytes, (SELECT CAST(sum(payload) AS BIGINT) FROM items) AS full_bytes FROM ranked JOIN b ON place <= budget GROUP BY ratio"
+)
+def byte_series(s, d):
+    full = stream_items(s, d).agg(F.sum("payload").alias("full_bytes"))  # one row
+    return ratio_sweep(s, d).groupBy("ratio").agg(F.sum("bytes").alias("bytes")).join(F.broadcast(full))
+
+
 # preparation
 
 
@@ -600,6 +635,22 @@ def pca_project(s, d):
     return pca.transform(scaler.transform(rows)).select("key", "node", vector_to_array("p").alias("p")).select("key", "node", F.get("p", F.lit(0)).alias("p0"), F.get("p", F.lit(1)).alias("p1"))
 
 
+def by_model(s, d, model, trees=20):
+    items = vector_items(s, d)
+    test = F.col("key") % 5 == 0
+    return evaluate.trained_scores(items.where(~test), items.where(test), list(range(NODES)), model, trees)
+
+
+@query()
+def forest_per_node(s, d):
+    return by_model(s, d, "forest")
+
+
+@query()
+def logistic_per_node(s, d):
+    return by_model(s, d, "logistic")
+
+
 # streaming
 
 
