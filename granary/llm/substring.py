@@ -244,12 +244,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     settle(spark)
 
     plain = docs.withColumn("__content", F.xxhash64("text"))
-    copies = copies.select(F.col("doc_id").alias("__copy_id"), F.col("content").alias("__copy_content"), F.lit(True).alias("__copy"))
-    sent = sent.select(F.col("doc_id").alias("__doc"), "__passages")
-    joined = plain.join(copies, (plain["doc_id"] == copies["__copy_id"]) & (plain["__content"] == copies["__copy_content"]), "left")
-    joined = joined.join(sent, plain["doc_id"] == sent["__doc"], "left")
+    whole = copies.groupBy("doc_id").agg(F.collect_list("content").alias("__copies"))
+    told = sent.join(whole, "doc_id", "full").withColumnRenamed("doc_id", "__doc")
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "removed_spans", "kept_words")]
-    joined = joined.select(*kept, F.col("__copy").isNotNull().alias("__copy"), "__passages")
+    copy = F.coalesce(F.array_contains("__copies", F.col("__content")), F.lit(False)).alias("__copy")
+    joined = plain.join(told, plain["doc_id"] == told["__doc"], "left").select(*kept, copy, "__passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
