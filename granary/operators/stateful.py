@@ -1,6 +1,6 @@
 """Sequential retention: the per-node state machine and its batch form.
 
-A node's state is bounded by its budget, so one group holds it; rows of a node come as an ordered stream.
+A node's state is bounded by its budget; its rows pass by as a sorted stream, so no task holds them.
 Parallelism is the number of nodes (at most 36). The order-free forms have no such bound.
 """
 
@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROMOTE = 1.10
@@ -27,10 +27,13 @@ class Bin:
 
 @dataclass
 class Item:
+    """``utility`` is that of storing it; ``rank`` its utility as a representative."""
+
     vector: np.ndarray
     utility: float
     near: int | None = None
     distance: float = 0.0
+    rank: float = np.inf
 
 
 @dataclass
@@ -39,6 +42,17 @@ class Decision:
     cause: str | None = None
     evicted: int | None = None
     utility: float = 0.0
+    rep_change: bool = False
+
+
+def distances(v: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Euclidean distances over common lengths, in doubles; infinite where an element that counts is not finite."""
+    if len({len(v), *map(len, others)}) == 1:
+        d = np.sqrt(((np.array(others, np.float64) - v.astype(np.float64)) ** 2).sum(axis=1))
+    else:
+        d = np.array([np.sqrt(((o[: len(v)].astype(np.float64) - v[: len(o)]) ** 2).sum()) for o in others])
+    d[~np.isfinite(d)] = np.inf
+    return d
 
 
 @dataclass
@@ -59,9 +73,7 @@ class UtilityNode:
         keys = [k for k in self.reps if k != key]
         if not keys:
             return None, np.inf, np.inf
-        m = np.array([self.reps[k].vector[: len(v)] for k in keys], np.float64)
-        d = np.sqrt(((m - v[: m.shape[1]].astype(np.float64)) ** 2).sum(axis=1))
-        d[~np.isfinite(d)] = np.inf
+        d = distances(v, [self.reps[k].vector for k in keys])
         order = np.argsort(d, kind="stable")[:2]
         first = keys[order[0]] if np.isfinite(d[order[0]]) else None
         return first, float(d[order[0]]), float(d[order[1]]) if len(order) > 1 else np.inf
@@ -84,13 +96,23 @@ class UtilityNode:
         return np.log1p(max(0.0, d1)) * (1 + 0.25 * min(1.0, max(0.0, d1 / d2)) if np.isfinite(d2) and d2 > 0 else 1.0)
 
     def least_rep(self) -> float:
-        found = [r.utility for r in self.reps.values() if np.isfinite(r.utility)]
+        found = [r.rank for r in self.reps.values() if np.isfinite(r.rank)]
         return min(found) if found else 0.0
 
+    def holds(self, key: int) -> bool:
+        return key in self.reps or key in self.others
+
+    def snapshot(self) -> tuple[int, float, float, int, float, float]:
+        """(stored rows, their utility, least utility of one that is no representative, representatives, their least and mean utility)."""
+        ranks = [r.rank for r in self.reps.values() if np.isfinite(r.rank)]
+        every = [x.utility for side in (self.reps, self.others) for x in side.values() if np.isfinite(x.utility)]
+        least = min((x.utility for x in self.others.values()), default=0.0)
+        return len(self.reps) + len(self.others), float(sum(every)), float(least), len(self.reps), self.least_rep(), float(np.mean(ranks)) if ranks else 0.0
+
     def offer(self, key: int, v: np.ndarray) -> Decision:
         if self.capacity == 0:
             return Decision("DROPPED", "UTILITY")
-        if key in self.reps or key in self.others:
+        if self.holds(key):
             raise ValueError(f"key {key} is stored already; keys must be unique")
         if self.reps:
             near, d1, d2 = self.nearest(key, v)
@@ -100,7 +122,7 @@ class UtilityNode:
         else:
             near, d1, utility, as_rep = None, np.inf, np.inf, np.inf
         full = len(self.reps) + len(self.others) >= self.capacity
-        promote = (not full and len(self.reps) < min(BOOTSTRAP, self.capacity, self.max_reps)) or not self.reps or as_rep > PROMOTE * self.least_rep()
+        promote = len(self.reps) < min(BOOTSTRAP, self.capacity, self.max_reps) or not self.reps or as_rep > PROMOTE * self.least_rep()
         item, evicted = Item(v, utility, near, d1), None
         if full and not self.others:
             return Decision("DROPPED", "UTILITY", utility=utility)
@@ -110,59 +132,57 @@ class UtilityNode:
                 if utility <= self.others[worst].utility:
                     return Decision("DROPPED", "UTILITY", utility=utility)
                 evicted = worst
-                self._leave(worst)
+                self._leave(self.others.pop(worst))
             self.others[key] = item
             self._join(item)
         else:
             evicted = self._promote(key, item, as_rep, full)
-        return Decision("ADMITTED" if evicted is None else "EVICTED_AND_ADMITTED", None, evicted, utility)
+        return Decision("ADMITTED" if evicted is None else "EVICTED_AND_ADMITTED", None, evicted, utility, key in self.reps)
 
     def _promote(self, key: int, item: Item, as_rep: float, full: bool) -> int | None:
         demoted, evicted = None, None
         if len(self.reps) >= self.max_reps:
-            rank = lambda k: self.reps[k].utility if np.isfinite(self.reps[k].utility) else -np.inf
-            worst = min(self.reps, key=lambda k: (rank(k), k))
-            if (as_rep if np.isfinite(as_rep) else 0.0) <= rank(worst):
+            rank = lambda k: self.reps[k].rank if np.isfinite(self.reps[k].rank) else -np.inf
+            demoted = min(self.reps, key=rank)  # the earliest one of equals
+            if (as_rep if np.isfinite(as_rep) else 0.0) <= rank(demoted):
                 self.others[key] = item
                 self._join(item)
                 return None
-            demoted = (worst, self.reps[worst])
-            self.reps = {(key if k == worst else k): (item if k == worst else r) for k, r in self.reps.items()}
+            old = self.reps[demoted]
+            self.reps = {(key if k == demoted else k): (item if k == demoted else r) for k, r in self.reps.items()}
+            near, d1, _ = self.nearest(demoted, old.vector)
+            self.others[demoted] = Item(old.vector, self.store_utility(near, d1), near, d1)
         else:
             self.reps[key] = item
         if full:
-            left = [k for k in self.others if demoted is None or k != demoted[0]]
-            evicted = min(left, key=lambda k: (self.others[k].utility, k))
-            self._leave(evicted)
-        self._renew(demoted)
+            evicted = min((k for k in self.others if k != demoted), key=lambda k: (self.others[k].utility, k))
+            del self.others[evicted]  # the bins are counted anew below, after they have scored what moves
+        self._renew(key, demoted)
         return evicted
 
-    def _renew(self, demoted: tuple[int, Item] | None) -> None:
-        """After a change of representatives: rescore items whose nearest one changed, then representatives, then bins."""
-        if demoted:
-            k, r = demoted
-            near, d1, _ = self.nearest(k, r.vector)
-            self.others[k] = Item(r.vector, self.store_utility(near, d1), near, d1)
-        if self.others:
-            keys, reps = list(self.others), list(self.reps)
-            m, r = (np.array([x.vector for x in side], np.float64) for side in ((self.others[k] for k in keys), self.reps.values()))
-            d = np.sqrt(((m[:, None, :] - r[None, :, :]) ** 2).sum(axis=2))
-            for k, row in zip(keys, d, strict=True):
-                j = int(row.argmin())
+    def _renew(self, added: int, removed: int | None) -> None:
+        """After a change of representatives: rescore items whose nearest one changed, by the bins as they were; then representatives; then bins."""
+        keys = list(self.others)
+        if keys:
+            to_new = distances(self.reps[added].vector, [self.others[k].vector for k in keys])
+            for k, d in zip(keys, to_new, strict=True):
                 item = self.others[k]
-                if item.near != reps[j] or item.distance != row[j]:
-                    item.near, item.distance = reps[j], float(row[j])
+                if item.near == removed or item.near is None:
+                    others = [r for r in self.reps if r != added]
+                    back = distances(item.vector, [self.reps[r].vector for r in others]) if others else np.array([np.inf])
+                    j = int(back.argmin())
+                    item.near, item.distance = (others[j], float(back[j])) if np.isfinite(back[j]) else (None, np.inf)
                     item.utility = self.store_utility(item.near, item.distance)
+                if d < item.distance:
+                    item.near, item.distance = added, float(d)
+                    item.utility = self.store_utility(added, item.distance)
         for k, rep in self.reps.items():
             _, d1, d2 = self.nearest(k, rep.vector)
-            rep.utility = self.rep_utility(d1, d2)
-        known = {k: Bin() for k in self.bins if k in self.reps}
+            rep.rank = self.rep_utility(d1, d2)
+        # a new representative has an empty bin; what comes nearest to it first is scored against that
+        self.bins = {k: Bin() for k in self.reps if k in self.bins or k == added}
         for item in self.others.values():
-            if item.near is not None:
-                b = known.setdefault(item.near, Bin())
-                b.load += 1
-                b.total += item.distance
-        self.bins = known
+            self._join(item)
 
     def _join(self, item: Item) -> None:
         if item.near is not None:
@@ -170,11 +190,11 @@ class UtilityNode:
             b.load += 1
             b.total += item.distance
 
-    def _leave(self, key: int) -> None:
-        item = self.others.pop(key)
+    def _leave(self, item: Item) -> None:
         if item.near in self.bins:
-            self.bins[item.near].load -= 1
-            self.bins[item.near].total -= item.distance
+            b = self.bins[item.near]
+            b.load -= 1
+            b.total = max(0.0, b.total - item.distance) if b.load else 0.0
 
 
 @dataclass
@@ -189,8 +209,16 @@ class ReservoirNode:
     def __post_init__(self):
         self.rng = np.random.default_rng(self.seed)
 
+    def holds(self, key: int) -> bool:
+        return key in self.kept
+
+    def snapshot(self) -> tuple[int, float, float, int, float, float]:
+        return len(self.kept), 0.0, 0.0, 0, 0.0, 0.0
+
     def offer(self, key: int, v: np.ndarray | None = None) -> Decision:
         self.seen += 1
+        if self.capacity == 0:
+            return Decision("DROPPED", "UTILITY")
         if len(self.kept) < self.capacity:
             self.kept.append(key)
             return Decision("ADMITTED")
@@ -201,32 +229,69 @@ class ReservoirNode:
         return Decision("EVICTED_AND_ADMITTED", None, out)
 
 
-EVENT = "node int, seq long, key long, kind string, drop_cause string, evicted_key long, utility double"
+SNAPSHOT = "stored long, utility_sum double, least_stored double, reps long, rep_least double, rep_mean double"
+EVENT = f"node int, seq long, key long, kind string, drop_cause string, evicted_key long, utility double, rep_change boolean, {SNAPSHOT}"
+State = UtilityNode | ReservoirNode
+
+
+def new_state(mode: str, node: int, capacity: int, max_reps: int, **balance: float) -> State:
+    """An empty node; ``balance`` may hold gamma, lo and hi."""
+    return ReservoirNode(capacity, 1337 + node) if mode == "random" else UtilityNode(capacity, max_reps, **balance)
 
 
-def decisions(node: int, state: UtilityNode | ReservoirNode, rows: pd.DataFrame) -> pd.DataFrame:
+def finite_or_none(x: float) -> float | None:
+    return x if np.isfinite(x) else None
+
+
+def decisions(node: int, state: State, rows: pd.DataFrame, seen: int = 0, every: int = 0) -> pd.DataFrame:
+    """A row per offer; each ``every``-th offer of the node, counted from ``seen``, also bears the state after it."""
     out = []
-    for seq, key, v in zip(rows["seq"], rows["key"], rows["vector"], strict=True):
+    for n, (seq, key, v) in enumerate(zip(rows["seq"], rows["key"], rows["vector"], strict=True), seen + 1):
         d = state.offer(int(key), np.asarray(v, np.float32))
-        out.append((node, seq, key, d.kind, d.cause, d.evicted, d.utility if np.isfinite(d.utility) else None))
+        told = tuple(map(finite_or_none, state.snapshot())) if every and n % every == 0 else (None,) * 6
+        out.append((node, seq, key, d.kind, d.cause, d.evicted, finite_or_none(d.utility), d.rep_change, *told))
     found = pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
-    return found.astype({"node": "int32", "evicted_key": "Int64", "utility": "float64"})
+    doubles = ("utility", "utility_sum", "least_stored", "rep_least", "rep_mean")
+    return found.astype({"node": "int32", "evicted_key": "Int64", "stored": "Int64", "reps": "Int64"} | dict.fromkeys(doubles, "float64"))
+
 
+def retain_in_order(items: DataFrame, mode: str, capacity: int, max_reps: int = 1, nodes: int = 36, every: int = 0, **balance: float) -> DataFrame:
+    """The decision about each item (node, seq, key, vector), in the order of ``seq``.
 
-def retain_in_order(items: DataFrame, mode: str, capacity: int, max_reps: int = 1) -> DataFrame:
-    """The decision about each item (node, seq, key, vector), in the order of ``seq``."""
+    A node is one sorted partition, which Spark spills where it must; Python sees one Arrow batch of it at a time.
+    """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        node = int(key[0])
-        state = ReservoirNode(capacity, 1337 + node) if mode == "random" else UtilityNode(capacity, max_reps)
-        yield decisions(node, state, rows)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, seen = None, None, 0
+        for batch in batches:
+            for node, rows in batch.groupby("node", sort=False):
+                if node != at:
+                    at, state, seen = node, new_state(mode, int(node), capacity, max_reps, **balance), 0
+                yield decisions(int(node), state, rows, seen, every)
+                seen += len(rows)
 
-    return items.select("node", "seq", "key", "vector").groupBy("node").applyInPandas(run, EVENT)
+    return items.select("node", "seq", "key", "vector").repartitionById(nodes, "node").sortWithinPartitions("node", "seq", "key").mapInPandas(run, EVENT)
 
 
 def stored(events: DataFrame) -> DataFrame:
-    """(node, key) that remain after all decisions."""
-    admitted = events.where("kind <> 'DROPPED'").select("node", "key")
-    gone = events.where("evicted_key IS NOT NULL").select("node", F.col("evicted_key").alias("key"))
-    return admitted.join(gone, ["node", "key"], "left_anti")
+    """(node, key) that remain after all decisions; a key may have been admitted again after its eviction."""
+    steps = F.array(F.struct(F.when(F.col("kind").isin("ADMITTED", "EVICTED_AND_ADMITTED"), F.col("key")).alias("key"), F.lit(1).alias("n")), F.struct(F.col("evicted_key").alias("key"), F.lit(-1).alias("n")))
+    moved = events.select("node", F.explode(steps).alias("x")).select("node", "x.key", "x.n").where("key IS NOT NULL")
+    return moved.groupBy("node", "key").agg(F.sum("n").alias("n")).where("n > 0").select("node", "key")
+
+
+def window_reports(events: DataFrame, every: int) -> DataFrame:
+    """A row per node and window of ``every`` offers: counts, admit rate, mean utilities over finite values, and the state at a full window's end.
+
+    Windows are counted over the node's own offers; ``events`` come from ``retain_in_order`` with the same ``every``.
+    """
+    order = Window.partitionBy("node").orderBy("seq", "key")
+    numbered = events.withColumn("window_no", F.floor((F.row_number().over(order) - 1) / every))
+    admitted, dropped = F.col("kind") != "DROPPED", F.col("kind") == "DROPPED"
+    mean = lambda which: F.coalesce(F.avg(F.when(which, F.col("utility"))), F.lit(0.0))
+    names = [c.split()[0] for c in SNAPSHOT.split(", ")]
+    return numbered.groupBy("node", "window_no").agg(
+        F.count(F.lit(1)).alias("seen"), F.count_if(admitted).alias("admitted"), F.count_if(dropped).alias("dropped"), F.count("evicted_key").alias("evicted"),
+        F.count_if("rep_change").alias("rep_changes"), (F.count_if(admitted) / F.count(F.lit(1))).alias("admit_rate"),
+        mean(F.lit(True)).alias("mean_seen"), mean(admitted).alias("mean_admitted"), mean(dropped).alias("mean_dropped"), *[F.max(c).alias(c) for c in names],
+    )
