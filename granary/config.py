@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 TRANSFORMS = ("zscore", "log_zscore", "robust", "log_robust")
 MODES = ("baseline", "random", "utility")
@@ -37,8 +37,13 @@ def transform_name(name: str | None) -> str:
 
 @dataclass(frozen=True)
 class RetentionConfig:
-    """Settings of a run. ``ratios`` are shares of all rows that each node may keep."""
+    """Settings of a run.
 
+    ``ratios`` are shares of all rows that each node may keep. ``order``: ``sequential`` nodes decide row by row and
+    gossip in ``rounds``; ``free`` nodes keep what an order-free rule picks, and do not gossip.
+    """
+
+    path: str = ""
     mode: str = "utility"
     nodes: int = 8
     ratios: tuple[float, ...] = (0.1,)
@@ -50,11 +55,12 @@ class RetentionConfig:
     balance_min: float = 0.5
     balance_max: float = 2.0
     ttl: int = 2
-    batch: int = 64
-    queue: int = 100_000
     fit_rows: int = 20_000
     separator: str = ","
-    options: dict = field(default_factory=dict)
+    fanout: int | None = None
+    rounds: int = 8
+    order: str = "sequential"
+    report_every: int = 1000
 
     def __post_init__(self):
         checks = {
@@ -64,11 +70,13 @@ class RetentionConfig:
             "gamma": self.gamma >= 0 and math.isfinite(self.gamma),
             "balance": 0 < self.balance_min <= self.balance_max,
             "ttl": self.ttl >= 0,
-            "batch": self.batch > 0,
-            "queue": self.queue > 0,
             "fit_rows": self.fit_rows > 0,
             "separator": len(self.separator) >= 1,
             "max_reps": self.max_reps is None or self.max_reps >= 1,
+            "fanout": self.fanout is None or self.fanout >= 1,
+            "rounds": self.rounds >= 1,
+            "order": self.order in ("sequential", "free"),
+            "report_every": self.report_every >= 1,
         }
         wrong = [k for k, good in checks.items() if not good]
         if wrong:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.expr import dice
+from granary.functions.expr import dice, finite
 
 ID_NAMES = ("__id", "id", "ID", "Id", "key", "Key")
 
@@ -38,6 +38,11 @@ def encoder(train: DataFrame, column: str) -> DataFrame:
     return train.select(value).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
 
 
+def category_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of a categorical column in the order of its values; null is a value."""
+    return df.groupBy(categorical(F.col(column)).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy("value")
+
+
 def categorical(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("<NA>"))
 
@@ -47,6 +52,38 @@ def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     return df.withColumn("value", categorical(F.col(column))).join(codes, "value", "left").withColumn(column, F.coalesce("code", F.lit(-1)).cast("int")).drop("value", "code")
 
 
+def reindexed(df: DataFrame, names: list[str]) -> DataFrame:
+    """Exactly the columns of the training features; missing ones are 0, others go."""
+    return df.select([F.col(f"`{n}`") if n in df.columns else F.lit(0.0).alias(n) for n in names])
+
+
+def numeric_only(df: DataFrame) -> DataFrame:
+    """The numeric columns as doubles; nulls, NaN and infinities are 0."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return df.select([F.coalesce(finite(F.col(f"`{n}`").cast("double")), F.lit(0.0)).alias(n) for n, t in df.dtypes if t in kinds or t.startswith("decimal")])
+
+
+def sample(df: DataFrame, key: str, label: str | None, size: int, kind: str, positive: float | None = None) -> DataFrame:
+    """``size`` rows: ``regression`` uniformly, ``multiclass`` by the classes' shares, ``binary`` also at a wanted share of label 1.
+
+    A class that has fewer rows than its quota is an error.
+    """
+    if kind == "regression":
+        return uniform_rows(df, key, size)
+    if kind not in ("multiclass", "binary"):
+        raise ValueError(f"unknown kind {kind!r}")
+    if kind == "binary" and positive is not None:
+        ones = round(size * positive)
+        wanted = df.sparkSession.createDataFrame([(0, size - ones), (1, ones)], f"{label} int, quota long")
+    else:
+        wanted = quotas(df, label, size)
+    have = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    short = wanted.join(have, label, "left").where(F.coalesce("n", F.lit(0)) < F.col("quota")).first()
+    if short:
+        raise ValueError(f"class {short[label]} has {short['n'] or 0} rows, {short['quota']} are wanted")
+    return stratified(df, key, label, wanted)
+
+
 def with_global_id(df: DataFrame) -> DataFrame:
     """The first id column found, renamed and cast; without one, a unique number per row."""
     for name in ID_NAMES:

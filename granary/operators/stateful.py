@@ -204,13 +204,14 @@ class ReservoirNode:
     capacity: int
     seed: int
     kept: list[int] = field(default_factory=list)
+    held: set[int] = field(default_factory=set)
     seen: int = 0
 
     def __post_init__(self):
         self.rng = np.random.default_rng(self.seed)
 
     def holds(self, key: int) -> bool:
-        return key in self.kept
+        return key in self.held
 
     def snapshot(self) -> tuple[int, float, float, int, float, float]:
         return len(self.kept), 0.0, 0.0, 0, 0.0, 0.0
@@ -221,11 +222,14 @@ class ReservoirNode:
             return Decision("DROPPED", "UTILITY")
         if len(self.kept) < self.capacity:
             self.kept.append(key)
+            self.held.add(key)
             return Decision("ADMITTED")
         j = int(self.rng.integers(self.seen))
         if j >= self.capacity:
             return Decision("DROPPED", "UTILITY")
         out, self.kept[j] = self.kept[j], key
+        self.held.remove(out)
+        self.held.add(key)
         return Decision("EVICTED_AND_ADMITTED", None, out)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary import config
 from granary.functions import expr as X
-from granary.operators import evaluate, features, gossip, prep, retention, stateful, vectors
+from granary.operators import evaluate, features, gossip, prep, retention, rounds, stateful, vectors
 from granary.sources.tables import dataset_key, percent_of, table
 from granary.streaming import stream
 
@@ -296,6 +296,13 @@ def retain_utility_seq(s, d):
     return stateful.stored(utility_events(s, d))
 
 
+@query()
+def utility_reports(s, d):
+    """Every 25 offers of a node: decisions, utilities, and the state at the window's end."""
+    room = capacity_of(s, d)
+    return stateful.window_reports(stateful.retain_in_order(vector_items(s, d), "utility", room, config.max_representatives(room), NODES, every=25), 25)
+
+
 @query()
 def retain_reservoir_seq(s, d):
     return stateful.stored(stateful.retain_in_order(vector_items(s, d), "random", capacity_of(s, d) // NODES + 1))
@@ -431,18 +438,27 @@ def coverage_pct(s, d):
     return coverage_of(s, d).agg(F.round(F.avg("coverage") / NODES * 100, 6).alias("coverage_pct"))
 
 
+ROUNDS = 4
+
+
+def rounds_of(s, d):
+    """Nodes keep by utility; what they admit goes two hops, and the peers decide about it."""
+    items = vector_items(s, d).withColumn("payload", X.payload_bytes(F.col("key"), F.col("label")))
+    room = capacity_of(s, d)
+    return rounds.simulate(items, "utility", room, config.max_representatives(room), NODES, FANOUT, F.floor(F.col("seq") / NODES) % ROUNDS, ROUNDS)
+
+
 @query()
 def gossip_bounded(s, d):
-    """Nodes keep by utility; what they admit goes one hop to the drawn peers, who decide about it after their own rows."""
-    items = vector_items(s, d)
-    room = capacity_of(s, d)
-    own = stateful.stored(stateful.retain_in_order(items, "utility", room, config.max_representatives(room)))
-    kept = items.join(own, ["node", "key"]).withColumn("epoch", F.lit(0))
-    sent = kept.select(F.col("node").alias("src"), "epoch", "key", "vector", "seq").join(F.broadcast(gossip.peers(s, NODES, FANOUT, 1)), ["epoch", "src"])
-    held = items.select("node", "key")
-    arrived = sent.select(F.col("dst").alias("node"), "key", "vector", (F.col("seq") + (1 << 40)).alias("seq")).dropDuplicates(["node", "key"]).join(held, ["node", "key"], "left_anti")
-    both = items.select("node", "key", "vector", "seq").unionByName(arrived.select("node", "key", "vector", "seq"))
-    return stateful.stored(stateful.retain_in_order(both, "utility", room, config.max_representatives(room)))
+    return stateful.stored(rounds_of(s, d)[0])
+
+
+@query()
+def gossip_counters(s, d):
+    """What became of own rows and arrived copies at each node, and the bytes that it sent."""
+    events, sent = rounds_of(s, d)
+    bytes_out = sent.groupBy(F.col("src").alias("node")).agg(F.sum("payload").alias("bytes_sent"))
+    return rounds.counters(events).join(bytes_out, "node", "left").fillna(0, ["bytes_sent"])
 
 
 # metrics
@@ -492,6 +508,28 @@ def byte_series(s, d):
 # preparation
 
 
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, 0.0 AS p_weight, p_retailprice FROM part")
+def reindex_features(s, d):
+    return prep.reindexed(table(s, d, "part").withColumn("p_size", F.col("p_size").cast("double")), ["p_partkey", "p_size", "p_weight", "p_retailprice"])
+
+
+@query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, CAST(c_nationkey AS DOUBLE) AS c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def numeric_clean(s, d):
+    bad = F.when(F.col("c_custkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    return prep.numeric_only(table(s, d, "customer").withColumn("c_acctbal", bad))
+
+
+@query("SELECT DISTINCT CAST(round(greatest(0.01, (event_id % 40) / 40.0) * 100) AS INTEGER) AS ratio_int FROM events WHERE event_id % 40 % 2 = 0")
+def ratio_percents(s, d):
+    share = F.greatest(F.lit(0.01), (F.col("event_id") % 40) / 40.0)
+    return table(s, d, "events").where("event_id % 40 % 2 = 0").select(percent_of(share).alias("ratio_int")).distinct()
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang HAVING count(*) > 0 ORDER BY lang")
+def category_values(s, d):
+    return prep.category_counts(table(s, d, "documents"), "lang").select(F.col("value").alias("lang"), "n")
+
+
 @query("SELECT doc_id AS __id, lang FROM documents")
 def global_id(s, d):
     return prep.with_global_id(table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang"))

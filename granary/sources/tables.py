@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")
+    return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+
+
 def scan_delimited(spark: SparkSession, path: str, separator: str = ",", header: bool = True, quoted: bool = False) -> DataFrame:
     """Delimited text as string columns.
 
@@ -21,14 +29,18 @@ def scan_delimited(spark: SparkSession, path: str, separator: str = ",", header:
     """
     if quoted:
         return spark.read.option("header", header).option("escape", '"').option("sep", separator[0]).csv(path)
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\uFEFF", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     first = lines.first()
     if first is None:
         return spark.createDataFrame([], "c0 string")
     names = first["line"].split(separator[0])
     if header:
-        # the header is the first line of the file that holds it; equal lines elsewhere are rows of no use either
-        lines = lines.where(F.col("line") != first["line"])
+        # a file's header is the first of the lines equal to it in the file's first block; later equal lines are rows
+        place = F.monotonically_increasing_id()
+        same = (F.col("line") == first["line"]) & (F.col("start") == 0)
+        lines = lines.withColumn("place", place)
+        heads = lines.where(same).groupBy("file").agg(F.min("place").alias("place"))  # one row per file
+        lines = lines.join(heads, ["file", "place"], "left_anti")
     else:
         names = [f"c{k}" for k in range(len(names))]
     fields = F.split("line", re.escape(separator[0]), -1)
@@ -51,8 +63,8 @@ def output_path(root: str, dataset: str, mode: str, ratio: float | None) -> str:
 
 
 def write_retained(kept: DataFrame, path: str) -> None:
-    """One directory per node, header and RFC 4180 quotes."""
-    kept.repartition("node").write.mode("overwrite").partitionBy("node").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """One directory per node, header and RFC 4180 quotes. A node's rows are one file, or several where they are many."""
+    kept.hint("rebalance", "node").write.mode("overwrite").partitionBy("node").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_retained(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +75,29 @@ def read_retained(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def available_ratios(spark: SparkSession, mode_dir: str) -> list[float]:
+    """The ratios of a mode's outputs, from its directories that are whole percents."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(mode_dir)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(hadoop) if f.isDirectory()] if system.exists(hadoop) else []
+    return sorted(int(n) / 100 for n in names if n.isdigit())
+
+
+def load_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV or Parquet dataset, by its extension."""
+    kind = path.rstrip("/").rpartition(".")[2].lower()
+    if kind == "csv":
+        return spark.read.option("header", True).option("inferSchema", True).option("escape", '"').csv(path)
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"{path}: neither .csv nor .parquet")
+
+
+def write_dataset(df: DataFrame, path: str) -> None:
+    """CSV with a header, in as many files as ``df`` has partitions."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_metrics(spark: SparkSession, path: str, dataset: str, mode: str, ratio: float | None, nodes: int, sent: int) -> None:
     """One JSON object; a full run has no keepRatio."""
     row = {"dataset": dataset, "mode": mode, "keepRatio": None if mode == "baseline" else ratio, "nodes": nodes, "totalBytesSent": sent}

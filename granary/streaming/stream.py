@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,12 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from granary.operators.stateful import EVENT, UtilityNode, decisions
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")
-    return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+from granary.sources.tables import work_path
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

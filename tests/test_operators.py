@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from granary import config
 from granary.functions import expr as X
-from granary.operators import evaluate, features, prep, retention, stateful, vectors
+from granary.operators import evaluate, features, prep, retention, rounds, stateful, vectors
+from granary.plans import sweep
 from granary.sources import tables
 
 
@@ -180,3 +181,102 @@ def test_sinks_round_trip(spark, tmp_path):
     assert tables.output_path("o", "d", "random", 0.125) == "o/d/random/13" and tables.output_path("o", "d", "baseline", 1.0) == "o/d/baseline"
     keys = spark.createDataFrame([("x/CreditCard_train.csv",), ("forestType.csv",), ("a_train.CSV",)], "p string").select(tables.dataset_key(F.col("p")).alias("k"))
     assert [r.k for r in keys.collect()] == ["credit_card", "forest_type", "a"]
+
+
+def test_a_new_representative_has_an_empty_bin():
+    state = stateful.UtilityNode(10, 2)
+    state.offer(0, np.array([0.0], np.float32))
+    assert state.bins == {0: stateful.Bin(0, 0.0)}
+    state.offer(1, np.array([4.0], np.float32))
+    # the first item near a bin that holds nothing is scored against the least mean distance
+    assert state.offer(2, np.array([0.5], np.float32)).utility > 1e8
+    assert state.others[2].near == 0 and state.bins[0].load == 1
+
+
+def test_earlier_representatives_win_ties_and_unsound_vectors_are_dropped():
+    state = stateful.UtilityNode(20, 3)
+    for key, x in enumerate((0.0, 2.0, 50.0)):
+        state.offer(key, np.array([x], np.float32))
+    state.offer(3, np.array([1.0], np.float32))
+    assert state.others[3].near == 0
+    assert state.offer(4, np.array([np.nan], np.float32)).kind == "DROPPED"
+    assert stateful.UtilityNode(0, 1).offer(1, np.array([1.0], np.float32)).kind == "DROPPED"
+    assert stateful.ReservoirNode(0, 1).offer(1).kind == "DROPPED"
+
+
+def test_bins_hold_what_is_nearest():
+    state, vectors_of = stateful.UtilityNode(40, 6), make(400, 3, 5)
+    for key, v in enumerate(vectors_of):
+        state.offer(key, v)
+        for item in state.others.values():
+            d = stateful.distances(item.vector, [r.vector for r in state.reps.values()])
+            assert item.distance == pytest.approx(d.min()) and list(state.reps)[int(d.argmin())] == item.near
+    assert state.snapshot()[0] == 40
+
+
+def test_stored_counts_admissions_and_evictions(spark):
+    rows = [(0, 1, "ADMITTED", None), (0, 2, "EVICTED_AND_ADMITTED", 1), (0, 1, "EVICTED_AND_ADMITTED", 2), (0, 3, "DROPPED", None), (1, 2, "ADMITTED", None)]
+    events = spark.createDataFrame(rows, "node int, key long, kind string, evicted_key long")
+    assert {tuple(r) for r in stateful.stored(events).collect()} == {(0, 1), (1, 2)}
+
+
+def test_rounds_of_gossip(spark):
+    items = spark.createDataFrame([(k % 4, k, k, v.tolist(), 30) for k, v in enumerate(make(80, 3))], "node int, seq long, key long, vector array<float>, payload long")
+    events, sent = rounds.simulate(items, "random", 80, 1, 4, 3, F.floor(F.col("seq") / 40), 2, 2)
+    # with room for all and all peers drawn, every node ends with every row; each copy goes to three peers
+    assert {tuple(r) for r in stateful.stored(events).groupBy("node").count().collect()} == {(n, 80) for n in range(4)}
+    assert sent.count() % 3 == 0 and sent.where("src = dst").count() == 0
+    counts = rounds.counters(events).agg(F.sum("seen"), F.sum("own"), F.sum("admitted"), F.sum("dropped_duplicate"), F.sum("evicted")).first()
+    assert counts[0] == 80 + sent.count() and counts[1] == 80 and counts[2] == 320 and counts[0] - counts[3] == 320 and counts[4] == 0
+    tight, _ = rounds.simulate(items, "utility", 6, 2, 4, 2, F.floor(F.col("seq") / 40), 2, 2)
+    assert {r["count"] for r in stateful.stored(tight).groupBy("node").count().collect()} == {6}
+    alone, none = rounds.simulate(items.withColumn("node", F.lit(0)), "utility", 6, 2, 1, 1, F.floor(F.col("seq") / 40), 2, 2)
+    assert stateful.stored(alone).count() == 6 and none.count() == 0
+
+
+def test_windows_of_offers(spark):
+    items = spark.createDataFrame([(0, k, k, v.tolist()) for k, v in enumerate(make(25, 3))], "node int, seq long, key long, vector array<float>")
+    got = stateful.window_reports(stateful.retain_in_order(items, "utility", 8, 3, 1, every=10), 10).orderBy("window_no").collect()
+    assert [r.seen for r in got] == [10, 10, 5] and [r.stored for r in got] == [8, 8, None] and all(r.admitted + r.dropped == r.seen for r in got)
+
+
+@pytest.mark.parametrize("mode,order", [("baseline", "sequential"), ("random", "sequential"), ("utility", "sequential"), ("random", "free"), ("utility", "free")])
+def test_whole_run(spark, tmp_path, mode, order):
+    lines = ["id,x,y,label"] + [f"{k},{v[0]},{v[1]},{k % 3}" for k, v in enumerate(make(200, 2))]
+    (tmp_path / "Some_train.csv").write_text("\n".join(lines) + "\n")
+    cfg = config.RetentionConfig(path=str(tmp_path / "Some_train.csv"), mode=mode, nodes=4, ratios=(0.05, 0.1), ignore=("label",), id_column="id", rounds=2, order=order)
+    totals = sweep.run(spark, cfg, str(tmp_path / "out")).collect()
+    assert len(totals) == (4 if mode == "baseline" else 8) and all(r.admitted + r.dropped == r.seen for r in totals)
+    if mode == "baseline":
+        assert {r.stored for r in totals} == {200} and sum(r.bytes_sent for r in totals) > 0
+        kept = tables.read_retained(spark, str(tmp_path / "out/some/baseline/retained"))
+    else:
+        assert {(r.ratio, r.stored) for r in totals} == {(0.05, 10), (0.1, 20)}
+        assert tables.available_ratios(spark, str(tmp_path / f"out/some/{mode}")) == [0.05, 0.1]
+        kept = tables.read_retained(spark, str(tmp_path / f"out/some/{mode}/10/retained"))
+    assert kept.columns == ["__id", "id", "x", "y", "label", "node"] and kept.where("__id <> id").count() == 0
+    assert tables.read_metrics(spark, str(tmp_path / "out")).count() == (1 if mode == "baseline" else 2)
+    assert kept.groupBy("node", "__id").count().where("count > 1").count() == 0
+
+
+def test_run_refuses_bad_settings(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n1,2\n1,3\n2,4\n")
+    with pytest.raises(ValueError, match="unique"):
+        sweep.run(spark, config.RetentionConfig(path=str(tmp_path / "a.csv"), ratios=(0.9,), id_column="id", nodes=2), str(tmp_path / "o"))
+    with pytest.raises(ValueError, match="share"):
+        sweep.run(spark, config.RetentionConfig(path=str(tmp_path / "a.csv"), ratios=(0.101, 0.102)), str(tmp_path / "o"))
+
+
+def test_rows_equal_to_the_header_stay(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a,b\n1,2\na,b\n")
+    assert [tuple(r) for r in tables.scan_delimited(spark, str(tmp_path / "h.csv")).collect()] == [("1", "2"), ("a", "b")]
+
+
+def test_samples_and_columns(spark):
+    df = spark.createDataFrame([(k, int(k < 6), float(k)) for k in range(30)], "id long, y int, x double")
+    assert prep.sample(df, "id", "y", 10, "binary", 0.3).groupBy().agg(F.sum("y"), F.count("*")).first() == (3, 10)
+    assert prep.sample(df, "id", "y", 10, "multiclass").count() == 10 and prep.sample(df, "id", None, 7, "regression").count() == 7
+    with pytest.raises(ValueError, match="class 1"):
+        prep.sample(df, "id", "y", 10, "binary", 0.9)
+    assert prep.reindexed(df, ["x", "z"]).columns == ["x", "z"]
+    assert prep.numeric_only(df.withColumn("t", F.lit("a")).withColumn("x", F.lit(float("inf")))).first() == (0.0, 1.0, 0.0)
