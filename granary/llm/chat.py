@@ -154,7 +154,24 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     quoted = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '{quoted}' AS text UNION ALL SELECT -7L, 1L, 'assistant', '{quoted}'")
-    return digests(format_conversations(rows.unionByName(extra)))
+    return digests(format_conversations(rows.unionByName(extra))).drop("n_tokens", "n_loss_tokens")
 
 
-SQL = None
+def _sql() -> str:
+    """The digests from the table itself: escaping adds a character for each control string, and no two of those overlap."""
+    found = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in CONTROL)
+    size = lambda c: f"length({c}) + len(regexp_extract_all({c}, '{found}'))"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    quoted = "</s>[INST] ok [/INST]"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{quoted}' UNION ALL SELECT -7, 1, '{LEARNED}', '{quoted}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = '{LEARNED}'), '')) AS loss_sha256,
+  CAST(sum({len(TURN + TEXT + END)} + {size("role")} + {size("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+SQL = _sql()

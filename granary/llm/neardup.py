@@ -294,4 +294,21 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85)
 
 
-SQL = None
+#: An exact join: texts that are similar enough share one of their rarest shingles; then components by recursion.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+cut AS (SELECT doc_id, words, CAST(unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS INTEGER) AS i FROM w WHERE len(words) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(words[i:i + 2], ' ')) AS h FROM cut),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS MATERIALIZED (SELECT doc_id, n, md5(string_agg(CAST(h AS VARCHAR), ',' ORDER BY h)) AS class FROM s JOIN sizes USING (doc_id) GROUP BY ALL),
+reps AS MATERIALIZED (SELECT class, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY class),
+places AS MATERIALIZED (SELECT rep, n, h, row_number() OVER (PARTITION BY rep ORDER BY f, h) AS place FROM (SELECT doc_id AS rep, h, count(*) OVER (PARTITION BY h) AS f FROM s WHERE doc_id IN (SELECT rep FROM reps)) JOIN reps USING (rep)),
+prefix AS MATERIALIZED (SELECT * FROM places WHERE place <= n - (85 * n + 99) // 100 + 1),
+pairs AS MATERIALIZED (SELECT DISTINCT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.h = b.h AND a.rep < b.rep WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN places x ON x.rep = a JOIN places y ON y.rep = b AND y.h = x.h GROUP BY a, b, na, nb HAVING 100 * count(*) >= 85 * (na + nb - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT rep, rep FROM reps UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+comp AS (SELECT b AS rep, min(a) AS component FROM reach GROUP BY b)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN reps USING (class) LEFT JOIN comp ON comp.rep = reps.rep
+"""

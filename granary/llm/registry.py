@@ -19,6 +19,10 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_exact_topk": topk.SQL,
+    "op3_chat_format": chat.SQL,
+    "op4_substring_dedup": substring.SQL,
     "op5_source_mix": mixing.SQL,
+    "op7_near_duplicates": neardup.SQL,
+    "op8_warc": warc.SQL,
     "op9_license_scan": licenses.SQL,
 }

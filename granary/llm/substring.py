@@ -293,4 +293,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
-SQL = None
+#: Windows by the words themselves, joined; no anchors, no automata.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, CAST(unnest(range(1, len(words) - 11)) AS INTEGER) AS i FROM w WHERE len(words) >= 13),
+windows AS (SELECT doc_id, i, md5_number(array_to_string(words[i:i + 12], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (h) WHERE owner < doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, CAST(unnest(range(1, len(words) + 1)) AS BIGINT) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

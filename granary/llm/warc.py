@@ -223,7 +223,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``pages`` written as archives in the shared folder and read back."""
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return reassembled(read_records(spark, path), keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments")
-
-
-SQL = None
+    return reassembled(read_records(spark, path), keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: What the archives hold, from the pages themselves; base32 takes five hex digits to four letters.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY sha1(html)) AS last FROM p),
+n AS (SELECT *, [CAST('0x' || substr(hex, 5 * g + 1, 5) AS INTEGER) FOR g IN range(8)] AS parts FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[CAST(k // 4 + 1 AS INTEGER)] >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to
+FROM n
+"""
