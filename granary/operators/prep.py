@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.expr import dice, finite
+from granary.operators.retention import first_rows, mixed_bucket
 
 ID_NAMES = ("__id", "id", "ID", "Id", "key", "Key")
 
@@ -22,14 +23,15 @@ def quotas(df: DataFrame, label: str, size: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, key: str, label: str, wanted: DataFrame) -> DataFrame:
-    """``quota`` rows of each class, uniformly."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(dice(F.lit("s"), F.col(key)), key))
-    return df.withColumn("place", place).join(wanted, label).where(F.col("place") <= F.col("quota")).drop("place", "quota")
+    """``quota`` rows of each class, uniformly. Classes may be many, so nothing is broadcast by force."""
+    own = df.withColumn("__mixed", dice(F.lit("s"), F.col(key)))
+    return first_rows(own, label, mixed_bucket(F.col("__mixed")), wanted, "__mixed", key, bounded=False).drop("__mixed")
 
 
 def uniform_rows(df: DataFrame, key: str, size: int, salt: str = "u") -> DataFrame:
-    """``size`` rows, uniformly; the sort keeps only each task's first ``size``."""
-    return df.withColumn("mixed", dice(F.lit(salt), F.col(key))).orderBy("mixed", key).limit(size).drop("mixed")
+    """``size`` rows, uniformly, of one group that is never sorted as a whole."""
+    own = df.withColumn("__mixed", dice(F.lit(salt), F.col(key))).withColumn("__all", F.lit(0))
+    return first_rows(own, "__all", mixed_bucket(F.col("__mixed")), size, "__mixed", key).drop("__mixed", "__all")
 
 
 def encoder(train: DataFrame, column: str) -> DataFrame:

@@ -19,7 +19,8 @@ from granary.streaming import stream
 
 NODES, RATIO, FIT_ROWS, EPOCH = 8, 0.1, 20_000, 50
 RATIOS = (0.01, 0.05, 0.1, 0.2, 0.5)
-REPS = 6
+REPS, DIM = 6, 64
+REPS_BYTES = vectors.bytes_of(NODES, REPS, DIM)
 FANOUT = config.overlay_sizes(NODES)[1]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,7 +60,7 @@ def scored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(items scored against their node's representatives, representatives)."""
     items = vector_items(s, d).select("key", "node", "vector")
     reps = vectors.representatives(items, REPS)
-    return vectors.two_nearest(vectors.non_reps(items, reps), reps), reps
+    return vectors.two_nearest(vectors.non_reps(items, reps, REPS_BYTES), reps, REPS_BYTES), reps
 
 
 VECTORS = f"""v AS (
@@ -213,7 +214,7 @@ def two_nearest_reps(s, d):
 def nearest_excluding(s, d):
     items = vector_items(s, d).select("key", "node", "vector")
     reps = vectors.representatives(items, REPS)
-    return vectors.two_nearest(vectors.non_reps(items, reps), reps.where(F.col("rep_rank") > 1)).select("key", "k1", F.round("d1", 6).alias("d1"))
+    return vectors.two_nearest(vectors.non_reps(items, reps, REPS_BYTES), reps.where(F.col("rep_rank") > 1), REPS_BYTES).select("key", "k1", F.round("d1", 6).alias("d1"))
 
 
 REP_UTILITY = "round(ln(1 + d1) * (1 + 0.25 * least(1.0, d1 / d2)), 6)"
@@ -237,7 +238,7 @@ def bin_stats(s, d):
 
 def with_utility(s, d):
     near, _ = scored(s, d)
-    return vectors.utilities(near, vectors.bins(near), capacity_of(s, d), REPS)
+    return vectors.utilities(near, vectors.bins(near), capacity_of(s, d), REPS, size=REPS_BYTES)
 
 
 @query(f"WITH {VECTORS}, {utility_sql(CAPACITY)} SELECT key, node, round(utility, 6) AS utility FROM scored")

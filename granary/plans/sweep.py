@@ -61,7 +61,7 @@ def full(items: DataFrame, cfg: config.RetentionConfig, fanout: int) -> tuple[Da
     return kept, sent, totals
 
 
-def bounded(items: DataFrame, cfg: config.RetentionConfig, fanout: int, n_rows: int, room: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bounded(items: DataFrame, cfg: config.RetentionConfig, fanout: int, n_rows: int, room: int, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept, deliveries, totals) under a budget of ``room`` rows per node."""
     reps = min(cfg.max_reps or config.max_representatives(room), max(1, room - 1))
     nothing = items.select(F.col("node").alias("src"), F.col("node").alias("dst"), "key", "payload").where("false")
@@ -69,9 +69,11 @@ def bounded(items: DataFrame, cfg: config.RetentionConfig, fanout: int, n_rows:
         if cfg.mode.lower() == "random":
             kept = retention.uniform(items, room).select("node", "key")
         else:
-            chosen = vectors.representatives(items.select("node", "key", "vector"), min(reps, vectors.REPS_LIMIT))
-            near = vectors.two_nearest(vectors.non_reps(items.select("node", "key", "vector"), chosen), chosen)
-            scored = vectors.utilities(near, vectors.bins(near), room, reps, cfg.gamma, cfg.balance_min, cfg.balance_max)
+            reps = min(reps, vectors.REPS_LIMIT)
+            own = items.select("node", "key", "vector")
+            chosen, size = vectors.representatives(own, reps), vectors.bytes_of(cfg.nodes, reps, dim)
+            near = vectors.two_nearest(vectors.non_reps(own, chosen, size), chosen, size)
+            scored = vectors.utilities(near, vectors.bins(near), room, reps, cfg.gamma, cfg.balance_min, cfg.balance_max, size)
             kept = chosen.select("node", "key").unionByName(vectors.keep_best(scored, max(0, room - reps)).select("node", "key"))
         seen = items.groupBy("node").agg(F.count(F.lit(1)).alias("seen"))
         held = kept.groupBy("node").agg(F.count(F.lit(1)).alias("admitted"))
@@ -101,17 +103,17 @@ def run(spark: SparkSession, cfg: config.RetentionConfig, out: str) -> DataFrame
     if rows.groupBy("__key").count().where("count > 1").limit(1).count():
         raise ValueError("keys must be unique")
     items, fanout = items_of(rows), min(cfg.fanout or config.overlay_sizes(cfg.nodes)[1], max(1, cfg.nodes - 1))
-    size = F.lit(24) + 8 * F.lit(len(features.feature_columns(rows.drop(*OWN), cfg.ignore, cfg.id_column)))
+    dim = len(features.feature_columns(rows.drop(*OWN), cfg.ignore, cfg.id_column))
     found = []
     for ratio, path in zip(ratios, paths, strict=True):
-        kept, sent, totals = full(items, cfg, fanout) if ratio is None else bounded(items, cfg, fanout, n_rows, config.budget(n_rows, ratio))
+        kept, sent, totals = full(items, cfg, fanout) if ratio is None else bounded(items, cfg, fanout, n_rows, config.budget(n_rows, ratio), dim)
         names = [c for c in rows.columns if c not in OWN]
         ident = [] if "__id" in names else [F.col("__key").alias("__id")]
         whole_rows = kept.join(rows, kept["key"] == rows["__key"]).select("node", *ident, *[F.col(f"`{c}`") for c in names])
         tables.write_retained(whole_rows, f"{path}/retained")
         bytes_out = sent.groupBy(F.col("src").alias("node")).agg(F.sum("payload").alias("bytes_sent"))
         held = kept.groupBy("node").agg(F.count(F.lit(1)).alias("stored"))
-        whole = totals.join(held, "node", "left").join(bytes_out, "node", "left").fillna(0).withColumn("stored_bytes", F.col("stored") * size).select(*TOTALS).withColumn("ratio", F.lit(ratio).cast("double"))
+        whole = totals.join(held, "node", "left").join(bytes_out, "node", "left").fillna(0).withColumn("stored_bytes", F.col("stored") * (24 + 8 * dim)).select(*TOTALS).withColumn("ratio", F.lit(ratio).cast("double"))
         work = tables.work_path(spark, "totals")
         whole.coalesce(1).write.parquet(work)
         found.append(spark.read.schema(whole.schema).parquet(work))

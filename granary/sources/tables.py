@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Up to so many files their headers' places are broadcast.
+MANY_FILES = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +44,7 @@ def scan_delimited(spark: SparkSession, path: str, separator: str = ",", header:
         same = (F.col("line") == first["line"]) & (F.col("start") == 0)
         lines = lines.withColumn("place", place)
         heads = lines.where(same).groupBy("file").agg(F.min("place").alias("place"))  # one row per file
-        lines = lines.join(heads, ["file", "place"], "left_anti")
+        lines = lines.join(F.broadcast(heads) if len(lines.inputFiles()) <= MANY_FILES else heads, ["file", "place"], "left_anti")
     else:
         names = [f"c{k}" for k in range(len(names))]
     fields = F.split("line", re.escape(separator[0]), -1)

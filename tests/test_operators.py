@@ -280,3 +280,27 @@ def test_samples_and_columns(spark):
         prep.sample(df, "id", "y", 10, "binary", 0.9)
     assert prep.reindexed(df, ["x", "z"]).columns == ["x", "z"]
     assert prep.numeric_only(df.withColumn("t", F.lit("a")).withColumn("x", F.lit(float("inf")))).first() == (0.0, 1.0, 0.0)
+
+
+def test_first_rows_equal_a_sort(spark):
+    rows = [(k % 3, k, float(u)) for k, u in enumerate(np.random.default_rng(3).integers(0, 40, 300) / 7)]
+    df = spark.createDataFrame(rows, "node int, key long, utility double")
+    ordered = {n: sorted((r for r in rows if r[0] == n), key=lambda r: (-r[2], r[1])) for n in range(3)}
+    for room in (0, 1, 17, 100, 500):
+        best = {(r.node, r.key): r["rank"] for r in vectors.keep_best(df, room).collect()}
+        assert best == {(n, r[1]): i for n in range(3) for i, r in enumerate(ordered[n][:room], 1)}
+        bucket = retention.utility_bucket(F.col("utility"))
+        assert {tuple(r) for r in retention.first_rows(df, "node", bucket, room, F.desc("utility"), "key").collect()} == {r for n in range(3) for r in ordered[n][:room]}
+    wanted = spark.createDataFrame([(0, 5), (2, 200)], "node int, quota long")
+    got = retention.first_rows(df, "node", retention.utility_bucket(F.col("utility")), wanted, F.desc("utility"), "key", bounded=False)
+    assert {tuple(r) for r in got.collect()} == {*ordered[0][:5], *ordered[2]}
+    assert vectors.keep_best(df.limit(0), 5).count() == 0 and prep.uniform_rows(df, "key", 400).count() == 300
+    huge = spark.createDataFrame([(0, 1, 1e300), (0, 2, 1e9), (0, 3, 0.0)], "node int, key long, utility double")
+    assert [r.key for r in vectors.keep_best(huge, 2).orderBy("rank").collect()] == [1, 2]
+
+
+def test_small_sides_are_broadcast_and_large_ones_not(spark):
+    items = spark.createDataFrame([(k, 0, [float(k)]) for k in range(5)], "key long, node int, vector array<float>")
+    reps = vectors.representatives(items, 2)
+    plan = lambda size: vectors.two_nearest(items, reps, size)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(vectors.bytes_of(1, 2, 1)) and "broadcast" not in plan(None) and "broadcast" not in plan(vectors.SMALL + 1)
