@@ -3,8 +3,8 @@
 A sequence costs ``LINEAR * tokens + QUADRATIC * tokens ** 2`` for each piece in it
 (attention stays inside a piece). Documents become ids plus one end id; full sequences
 are cut off first, and the rests, in descending order, go to the sequence of lowest cost
-that can hold them, among the ``LOOK`` cheapest with free tokens; where none can, the rest
-is cut to fill the cheapest one. The number of sequences is the least that holds all
+that can hold them, among all; only where none can, the rest is cut to fill the cheapest
+one with free tokens. The number of sequences is the least that holds all
 tokens, so a shard pads less than one sequence.
 
 Plan: texts are encoded where they are read; one shuffle deals the ids (two bytes each)
@@ -33,7 +33,6 @@ from .common import arrow_limits, sized_partitions
 LENGTH = 1024
 END_ID = 0
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
-LOOK = 32
 SHARD_DOCS = 4096
 
 
@@ -48,27 +47,36 @@ def assign(lengths: list[int], length: int = LENGTH) -> list[list[tuple[int, int
     """
     total = sum(lengths)
     sequences: list[list[tuple[int, int, int]]] = [[] for _ in range(-(-total // length))]
-    free = [length] * len(sequences)
-    bins = [(0.0, b) for b in range(len(sequences))]  # a heap as it is
+    free, paid = [length] * len(sequences), [0.0] * len(sequences)
+    # pieces only get shorter, so a sequence with room keeps it until it takes a piece
+    room = [(0.0, b) for b in range(len(sequences))]  # a heap as it is
+    waiting = [False] * len(sequences)
+    by_free: list[tuple[int, int]] = []
+    by_cost: list[tuple[float, int]] = []  # entries outlive the wait, here and above
     rest = [(-n, p, 0) for p, n in enumerate(lengths) if n]
     heapq.heapify(rest)
     while rest:
         n, piece, at = heapq.heappop(rest)
         n = -n
-        seen = []
-        while bins and len(seen) < LOOK:
-            seen.append(heapq.heappop(bins))
-            if free[seen[-1][1]] >= n:
-                break
-        chosen = len(seen) - 1 if free[seen[-1][1]] >= n else 0
-        paid, b = seen.pop(chosen)
-        for other in seen:
-            heapq.heappush(bins, other)
+        while by_free and -by_free[0][0] >= n:
+            b = heapq.heappop(by_free)[1]
+            if waiting[b]:
+                waiting[b] = False
+                heapq.heappush(room, (paid[b], b))
+        if room:
+            b = heapq.heappop(room)[1]
+        else:
+            while not waiting[by_cost[0][1]] or paid[by_cost[0][1]] != by_cost[0][0]:
+                heapq.heappop(by_cost)
+            b = heapq.heappop(by_cost)[1]  # the cut fills it
         fits = min(n, free[b])
         sequences[b].append((piece, at, fits))
         free[b] -= fits
-        if free[b]:
-            heapq.heappush(bins, (paid + cost(fits), b))
+        paid[b] += cost(fits)
+        waiting[b] = free[b] > 0
+        if waiting[b]:
+            heapq.heappush(by_free, (-free[b], b))
+            heapq.heappush(by_cost, (paid[b], b))
         if fits < n:
             heapq.heappush(rest, (fits - n, piece, at + fits))
     return sequences

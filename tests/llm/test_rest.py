@@ -100,6 +100,32 @@ def test_assignment_balances_cost():
     assert packing.assign([]) == [] and packing.assign([5, 0]) == [[(0, 0, 5)]]
 
 
+def all_looked_at(lengths, length=1024):
+    """The plain reading of ``assign``: every sequence is looked at for every piece."""
+    out = [[] for _ in range(-(-sum(lengths) // length))]
+    free, paid = [length] * len(out), [0.0] * len(out)
+    rest = [(-n, p, 0) for p, n in enumerate(lengths) if n]
+    while rest:
+        rest.sort()
+        n, p, at = rest.pop(0)
+        able = [b for b in range(len(out)) if free[b] >= -n] or [b for b in range(len(out)) if free[b]]
+        b = min(able, key=lambda b: (paid[b], b))
+        fits = min(-n, free[b])
+        out[b].append((p, at, fits))
+        free[b], paid[b] = free[b] - fits, paid[b] + packing.cost(fits)
+        if fits < -n:
+            rest.append((n + fits, p, at + fits))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["log-normal", "uniform", "mixed"])
+def test_assignment_looks_at_all_sequences(kind):
+    rng = np.random.default_rng(1)
+    drawn = {"log-normal": rng.lognormal(np.log(200), 1, 600) % 1023 + 1, "uniform": rng.integers(1, 1024, 600), "mixed": np.where(rng.random(600) < 0.5, rng.integers(60, 221, 600), rng.integers(700, 901, 600))}
+    lengths = drawn[kind].astype(int).tolist()
+    assert packing.assign(lengths) == all_looked_at(lengths)
+
+
 # WARC
 
 
