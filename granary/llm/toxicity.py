@@ -4,13 +4,17 @@ A word (lower case, outer punctuation off) has three hashed embeddings - of the
 and of its first 4 and 5 bytes, so that inflected forms share - which are summed.
 Filters of widths 1, 2 and 3 run over all words of the text, each filter keeps its
 maximum, and a logistic unit gives the score. Embeddings that training never
-moved are set to 0, so unknown words are neutral. Thresholds are calibrated per language on rows that
-training did not use; the score itself sees the text alone.
+moved are set to 0, so unknown words are neutral. Thresholds are calibrated per language on all labelled
+rows that are neither trained on nor held out; the score itself sees the text alone.
 
-The classifier learns from a bounded sample: the ``PER_CLASS`` rows of each label with
-the smallest hash, of texts of at most ``MOST_CHARS`` characters. Scoring covers every
+The weights are learnt from a bounded sample: the ``PER_CLASS`` rows of each label with
+the smallest hash, of texts of at most ``MOST_CHARS`` characters, without those left for
+calibration (a fifth of each language and class, and up to ``LEAST_ROWS`` of small ones). Scoring covers every
 word of every text. The model is of fixed size (about 4 MB) and is broadcast.
 
+Plan of the calibration: all texts are scored where they are read, only ids and scores meet the
+labels, and the driver gets the counts of each language's bins of scores.
+
 Defined cases: null and empty texts are scored as texts without words; rows that stand twice
 are scored twice; labels that are null or whose document is null teach nothing, and of several
 labels of one document the largest counts; with labels of one class only, or none, every score
@@ -48,6 +52,8 @@ SEED = 20
 WRONG = 4
 #: Rows of either class that a language needs for a threshold of its own.
 LEAST_ROWS = 10
+#: Bins of scores for each unit of log-odds, in calibration.
+BINS = 64
 PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b"""!"#$%&'()*+,-./:;<=>?@[]^_`{|}~""", np.uint8))
 
 
@@ -179,53 +185,89 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return model
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, least: int = 1) -> float | None:
+def best_cut(lowest: np.ndarray, highest: np.ndarray, ones: np.ndarray, zeros: np.ndarray, least: int = 1) -> float | None:
     """The middle of the threshold range with the highest recall less ``WRONG`` times the false-positive rate.
 
-    None with fewer than ``least`` rows of a class.
+    Bins of scores, descending: lowest and highest score, rows of either class. None with fewer than ``least`` rows of a class.
     """
-    n1 = int(labels.sum())
-    n0 = len(labels) - n1
+    n1, n0 = int(ones.sum()), int(zeros.sum())
     if min(n0, n1) < least:
         return None
-    order = np.argsort(-scores, kind="stable")
-    s, one = scores[order], labels[order] == 1
-    gain = np.cumsum(one) / n1 - WRONG * np.cumsum(~one) / n0
-    gain[:-1][s[:-1] == s[1:]] = -WRONG - 1  # a threshold cannot part equal scores
-    k = int(gain.argmax())
-    below = s[k + 1] if k + 1 < len(s) else 0.0
-    return float(np.clip((s[k] + below) / 2, 0.2, 0.8))
+    k = int((np.cumsum(ones) / n1 - WRONG * np.cumsum(zeros) / n0).argmax())
+    below = highest[k + 1] if k + 1 < len(highest) else 0.0
+    return float(np.clip((lowest[k] + below) / 2, 0.2, 0.8))
+
+
+def best_threshold(scores: np.ndarray, labels: np.ndarray, least: int = 1) -> float | None:
+    """``best_cut`` where each distinct score is a bin: a threshold cannot part equal scores."""
+    met, place = np.unique(-scores, return_inverse=True)
+    ones = np.bincount(place, weights=labels == 1)
+    return best_cut(-met, -met, ones, np.bincount(place) - ones, least)
 
 
 def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(1))
 
 
+def left_out(rows: list) -> np.ndarray:
+    """Which of the sampled rows calibration keeps: of each language and class a fifth, evenly, and ``LEAST_ROWS`` if that is at most half."""
+    groups: dict[tuple, list[int]] = {}
+    for i, r in enumerate(rows):
+        groups.setdefault((r.lang, r.toxic), []).append(i)
+    out = np.zeros(len(rows), bool)
+    for own in groups.values():
+        n = len(own)
+        h = max(n // 5, min(LEAST_ROWS, n // 2))
+        out[[i for k, i in enumerate(own) if (k + 1) * h // n > k * h // n]] = True
+    return out
+
+
+def score_bins(docs: DataFrame, known: DataFrame, model: Model) -> DataFrame:
+    """(lang, bin, ones, zeros): counts of the scores of the labelled rows ``known`` (doc_id, toxic), each document once."""
+    told = scored(docs.select("doc_id", "text", "lang"), model).select("doc_id", "lang", "score").where(F.col("doc_id").isNotNull())
+    met = told.join(known, "doc_id").groupBy("doc_id").agg(F.max(F.struct("score", "lang", "toxic")).alias("r")).select("r.*")
+    odds = F.floor(F.log(F.col("score") / (1 - F.col("score"))) * BINS)
+    return met.groupBy("lang", odds.alias("bin")).agg(F.sum((F.col("toxic") == 1).cast("long")).alias("ones"), F.sum((F.col("toxic") == 0).cast("long")).alias("zeros"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
-    """Train and calibrate on a bounded sample of the labelled rows that are not held out."""
+    """Train on a bounded sample of the labelled rows that are not held out, calibrate on all others of them."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("mixed", F.xxhash64("doc_id"))
     sample = [known.where(known["toxic"] == k).orderBy("mixed", "doc_id").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(sample[0].unionByName(sample[1]))  # at most 2 * per_class rows
     own = docs.select("doc_id", "text", "lang").where(F.length(F.coalesce("text", F.lit(""))) <= most_chars)
-    rows = own.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("text", "lang", "toxic", "mixed").collect()
+    rows = own.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "toxic", "mixed").collect()
     rows.sort(key=lambda r: (r.mixed, r.toxic))
     labels_of = np.array([r.toxic for r in rows], np.float32)
     if len(set(labels_of)) < 2:
         model = Model.new()
         model.trained = False
         return model
-    texts = [r.text or "" for r in rows]
-    held = np.arange(len(rows)) % 5 == 4
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], labels_of[~held])
-    kept = [r for r, h in zip(rows, held, strict=True) if h]
-    scores, truth = model.scores(pa.array([r.text or "" for r in kept], pa.large_string())), labels_of[held]
-    if (limit := best_threshold(scores, truth)) is not None:  # the calibrated threshold becomes a score of 0.5
-        model.out_bias -= np.float32(np.log(limit / (1 - limit)))
-        scores = model.scores(pa.array([r.text or "" for r in kept], pa.large_string()))
-    for lang in {r.lang for r in kept if r.lang is not None}:
-        own_rows = np.array([r.lang == lang for r in kept])
-        if (found := best_threshold(scores[own_rows], truth[own_rows], LEAST_ROWS)) is not None:
+    kept = left_out(rows)
+    model = train([r.text or "" for r, k in zip(rows, kept, strict=True) if not k], labels_of[~kept])
+    used = docs.sparkSession.createDataFrame([(r.doc_id,) for r, k in zip(rows, kept, strict=True) if not k], T.StructType([T.StructField("doc_id", known.schema["doc_id"].dataType)]))
+    rest = known.where(F.col("toxic").isin(0, 1)).join(F.broadcast(used), "doc_id", "left_anti").select("doc_id", "toxic")
+    bins = sorted(((r.bin, r.lang, r.ones, r.zeros) for r in score_bins(docs, rest, model).collect()), key=lambda r: -r[0])
+
+    def limit_of(own: list[tuple], shift: float, least: int) -> float | None:
+        sums: dict[int, np.ndarray] = {}
+        for k, _, *n in own:
+            sums[k] = sums.get(k, 0) + np.array(n)
+        at, n = np.array(list(sums)), np.array(list(sums.values())).reshape(-1, 2)
+        lowest, highest = (1 / (1 + np.exp(shift - edge / BINS)) for edge in (at, at + 1))
+        return best_cut(lowest, highest, n[:, 0], n[:, 1], least)
+
+    shift = 0.0
+    if (limit := limit_of(bins, shift, 1)) is not None:  # the calibrated threshold becomes a score of 0.5
+        shift = float(np.log(limit / (1 - limit)))
+        model.out_bias -= np.float32(shift)
+    by_lang: dict[str, list[tuple]] = {}
+    for r in bins:
+        if r[1] is not None:
+            by_lang.setdefault(r[1], []).append(r)
+    for lang, own in by_lang.items():
+        if (found := limit_of(own, shift, LEAST_ROWS)) is not None:
             model.thresholds[lang] = found
     return model
 
@@ -245,9 +287,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
-    limits = F.lit(model.threshold)
+    limits = F.when(F.lit(False), F.lit(model.threshold))
     for lang, value in sorted(model.thresholds.items()):
-        limits = F.when(F.col("lang") == lang, F.lit(value)).otherwise(limits)
+        limits = limits.when(F.col("lang") == lang, F.lit(value))
+    limits = limits.otherwise(F.lit(model.threshold))
     return plain.mapInArrow(run, schema).withColumn("toxic_verdict", F.col("score") >= limits)
 
 

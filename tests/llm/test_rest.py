@@ -235,3 +235,17 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.scored(docs, untrained).agg(F.max("score")).first()[0] == 0.0
     assert toxicity.scored(docs.limit(0), model).count() == 0
     assert toxicity.best_threshold(np.array([0.9, 0.7, 0.3]), np.array([1, 1, 0])) == pytest.approx(0.5)
+
+
+def test_thresholds_use_all_labelled_rows(spark):
+    # "rare" has 12 toxic rows that the sample of 40 a class does not reach, "few" 24 in a table that it covers
+    def rows(lang, a, n, toxic):
+        return [(k, ("you idiot " if toxic else "kind ") + "word " * (k % 9 + 5), lang, int(toxic)) for k in range(a, a + 5 * n) if zlib.crc32(str(k).encode()) % 5][:n]
+
+    big = rows("en", 0, 1500, True) + rows("en", 10_000, 1500, False) + rows("rare", 20_000, 12, True) + rows("rare", 21_000, 12, False)
+    small = rows("en", 0, 60, True) + rows("en", 10_000, 60, False) + rows("few", 20_000, 24, True) + rows("few", 21_000, 24, False)
+    for found, per_class, lang in ((big, 40, "rare"), (small, toxicity.PER_CLASS, "few")):
+        df = spark.createDataFrame(found, "doc_id long, text string, lang string, toxic int")
+        model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), per_class=per_class)
+        assert set(model.thresholds) == {"en", lang}
+        assert df.join(toxicity.scored(df.drop("toxic"), model), "doc_id").where("toxic_verdict <> (toxic = 1)").count() == 0
