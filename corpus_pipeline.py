@@ -9,7 +9,9 @@ the documents'.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import mixing, neardup, packing, substring, toxicity
@@ -27,9 +29,17 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest, of each component of 5-word shingle similarity 0.8 or more; rows without an id stay."""
+    """One document, the smallest, of each component of 5-word shingle similarity 0.8 or more; rows without an id stay.
+
+    Of rows with one id and the same words one stays, the smallest text; other texts of that id stay, as their copies under other ids go.
+    """
     gone = neardup.near_duplicates(docs, words_each=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id")
+    words = word_array(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase))
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.array_join(words, " ")).orderBy("text"))
+    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns, nth.alias("__nth")).where("__nth = 1").select(*docs.columns)
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def test_one_of_each_group_stays(stages):
     assert {r.doc_id for r in stages[2].collect()} == want and len(want) < len(rows)
 
 
+def test_one_of_repeated_rows_stays(spark, sf):
+    long, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, long), (1, long), (1, long.upper()), (2, long), (3, other), (3, "two words"), (4, ""), (4, ""), (5, None), (5, None), (None, other), (None, other)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_chars int"), sf).collect()
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in out)
+    assert got == sorted([("1", long), ("3", other), ("3", "two words"), ("4", ""), ("5", ""), ("None", other), ("None", other)])
+
+
 def test_repeated_passages_go(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
