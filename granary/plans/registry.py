@@ -674,7 +674,7 @@ def pca_project(s, d):
     return pca.transform(scaler.transform(rows)).select("key", "node", vector_to_array("p").alias("p")).select("key", "node", F.get("p", F.lit(0)).alias("p0"), F.get("p", F.lit(1)).alias("p1"))
 
 
-def by_model(s, d, model, trees=20):
+def by_model(s, d, model, trees=300):
     items = vector_items(s, d)
     test = F.col("key") % 5 == 0
     return evaluate.trained_scores(items.where(~test), items.where(test), list(range(NODES)), model, trees)

@@ -304,3 +304,12 @@ def test_small_sides_are_broadcast_and_large_ones_not(spark):
     reps = vectors.representatives(items, 2)
     plan = lambda size: vectors.two_nearest(items, reps, size)._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(vectors.bytes_of(1, 2, 1)) and "broadcast" not in plan(None) and "broadcast" not in plan(vectors.SMALL + 1)
+
+
+def test_forest_per_node_has_the_trees_of_the_operator(spark, sf, monkeypatch):
+    from granary.plans import registry
+
+    asked = []
+    monkeypatch.setattr(registry.evaluate, "trained_scores", lambda kept, test, nodes, model="forest", trees=300: asked.append((model, trees)))
+    registry.QUERIES["forest_per_node"](spark, sf)
+    assert asked == [("forest", 300)]
