@@ -11,8 +11,11 @@ Plan: blocks of rows are made once; blocks of queries - a fixed share of the row
 to every block of rows by an equi-join on the block's number. No score leaves a unit but the
 ``k`` best per query, and no side is collected or broadcast by the operator.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do
-those with a component beyond 2 ** 26 once scaled, whose scores might not fit a long; missing
+Scores that floats cannot hold are summed in 64-bit integers, which wrap, so every score that fits a
+long is exact; pairs whose score might not fit are summed in Python integers, and the query fails if one does not.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; a component
+beyond a long once scaled fails the query; missing
 components count as 0, so lengths may differ and an empty vector scores 0; a row is no
 candidate for a query of its own id; rows that stand twice are candidates of their own, a
 query that stands twice is asked once; ties go to the smaller id; empty tables give no rows;
@@ -32,39 +35,62 @@ from .common import sized_partitions
 
 K = 5
 SCALE = 256
-LARGEST = float(1 << 26)
 ROWS_EACH = 4096
 QUERIES_EACH = 256
 BLOCK = "block long, ids binary, cells binary, dim int"
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, cells): the vectors that take part, as integers."""
-    cells = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) <= LARGEST))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long"), cells.cast("array<int>").alias("cells"))
+def sound(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding): the vectors that take part."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), "embedding")
+
+
+def quantised(vector: list[float]) -> np.ndarray:
+    cells = np.floor(np.array(vector, np.float64) * SCALE)
+    if (np.abs(cells) >= 2.0**63).any():
+        raise OverflowError("a component does not fit a long once scaled")
+    return cells.astype("<i8")
 
 
 def blocks(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` dealt into ``n`` blocks, one row each: ids ascending, and the matrix of cells."""
+    """``rows`` dealt into ``n`` blocks, one row each: ids ascending, and the matrix of cells, of 4 bytes where they fit, else of 8."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        cells = table.column("cells").to_pylist()
+        cells = [quantised(v) for v in table.column("embedding").to_pylist()]
         dim = max(map(len, cells), default=0)
-        matrix = np.zeros((len(ids), dim), "<i4")
+        matrix = np.zeros((len(ids), dim), "<i8")
         for to, at in enumerate(order):
             matrix[to, : len(cells[at])] = cells[at]
+        if np.abs(matrix).max(initial=0) < 1 << 31:
+            matrix = matrix.astype("<i4")
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "cells": pa.array([matrix.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32())})
 
     return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("block").applyInArrow(run, BLOCK)
 
 
+def matrix_of(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i8" if len(raw) == 8 * rows * dim else "<i4").reshape(rows, dim)
+
+
+def check_fit(ids: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> None:
+    """Fail if a candidate's score does not fit a long; only pairs that floats leave in doubt are summed exactly."""
+    dim = min(cells.shape[1], queries.shape[1])
+    a, b = cells[:, :dim].astype(np.float64), queries[:, :dim].astype(np.float64)
+    doubt = np.abs(a @ b.T) + (np.abs(a) @ np.abs(b).T) * (dim + 4) * 2.0**-52 >= 2.0**63
+    for r, q in np.argwhere(doubt & (ids[:, None] != query_ids[None, :])):
+        if not -(1 << 63) <= sum(x * y for x, y in zip(cells[r, :dim].tolist(), queries[q, :dim].tolist(), strict=True)) < 1 << 63:
+            raise OverflowError(f"the score of {ids[r]} for {query_ids[q]} does not fit a long")
+
+
 def best(ids: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's ``k`` best rows, by term-at-a-time accumulation."""
     top = int(np.abs(cells, dtype=np.int64).max(initial=0)) * int(np.abs(queries, dtype=np.int64).max(initial=0)) * max(1, cells.shape[1])
     kind = np.float64 if top < 1 << 52 else np.int64  # whole numbers, exact either way
+    if top >= 1 << 63:
+        check_fit(ids, cells, query_ids, queries)
     scores = np.zeros((len(ids), len(query_ids)), kind)
     for term in range(min(cells.shape[1], queries.shape[1])):
         weights = queries[:, term].astype(kind)
@@ -98,8 +124,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, rows_each: int =
     """The ``k`` best rows of ``vectors`` for each vector of ``queries``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     n, m = sized_partitions(vectors.count(), rows_each), sized_partitions(queries.count(), queries_each)
-    own = blocks(quantised(vectors), n)
-    asked = blocks(quantised(queries).dropDuplicates(["vec_id"]), m).select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("dim").alias("q_dim"))
+    own = blocks(sound(vectors), n)
+    asked = blocks(sound(queries).dropDuplicates(["vec_id"]), m).select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("dim").alias("q_dim"))
     sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     units = own.join(sent, "block").select("ids", "cells", "dim", "q_ids", "q_cells", "q_dim").repartition(sized_partitions(n * m, 4, 8))
@@ -108,8 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, rows_each: int =
         for batch in batches:
             for u in batch.to_pylist():
                 ids, q_ids = np.frombuffer(u["ids"], "<i8"), np.frombuffer(u["q_ids"], "<i8")
-                cells = np.frombuffer(u["cells"], "<i4").reshape(len(ids), u["dim"])
-                asking = np.frombuffer(u["q_cells"], "<i4").reshape(len(q_ids), u["q_dim"])
+                cells, asking = matrix_of(u["cells"], len(ids), u["dim"]), matrix_of(u["q_cells"], len(q_ids), u["q_dim"])
                 found = best(ids, cells, q_ids, asking, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 

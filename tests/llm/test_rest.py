@@ -37,6 +37,15 @@ def test_topk_against_brute_force(spark, rows_each):
     assert topk.search(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def test_topk_of_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0**20, 3.0]), (2, [-(2.0**30), 2.0**-8]), (3, [0.5, -1.0]), (4, [2.0**36, -(2.0**36)]), (50, [2.0**16, 2.0**16])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()}
+    assert got == brute_topk(rows, {0, 50}) and {v for _, _, v, _ in got} == {i for i, _ in rows}
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.search(df, df.where("vec_id = 4")).collect()
+
+
 # packing
 
 
