@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
 from .tokens import json_tokenizer
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -96,7 +95,6 @@ FORMATTED = "conv_id long, formatted string, token_ids array<int>, loss array<bo
 
 def format_conversations(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """One row per conversation: its formatted text, token ids, loss mask, and mask spans in characters."""
-    arrow_limits(conversations.sparkSession)
     turn = F.struct(F.col("turn").alias("t"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x"))
     grouped = conversations.select("conv_id", turn.alias("turn")).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 

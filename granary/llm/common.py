@@ -6,7 +6,6 @@ below 0x80, so words are found on UTF-8 bytes without decoding.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,22 +13,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The separators between words.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 #: Bytes of text that one vectorised step handles.
 SEGMENT = 1 << 20
+#: Bytes that a plan reads for each file of a table that is derived from it.
+FILE_BYTES = 16 << 20
 U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a new one; a cluster fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="granary-")
+        if known.isDefined():
+            found = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            found = tempfile.mkdtemp(prefix="granary-")
+        else:
+            raise ValueError("spark.checkpoint.dir is not set: a cluster must name a folder that its executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -43,9 +50,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def files_for(n_rows: int) -> int:
-    """How many files a table derived from ``n_rows`` rows is written to at most: few for small inputs, no bound that matters for large ones."""
-    return max(16, n_rows >> 12)
+def files_for(docs: DataFrame) -> int:
+    """How many files a table derived from ``docs`` is written to at most: one for each ``FILE_BYTES`` that the plan reads."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(16, min(1 << 20, size // FILE_BYTES))
 
 
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -55,16 +63,42 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets an operator's own."""
+    return F.struct(*[quoted(c).alias(c) for c in docs.columns])
+
+
+def unpacked(row: Column, names: list[str]) -> list[Column]:
+    """The columns of a struct that ``whole`` made."""
+    return [row.getField(c).alias(c) for c in names]
+
 
+#: Keys with more than this share of all rows, and more than so many rows, are hot: fewer than ``HOT_KEYS`` can be.
+HOT_KEYS = 1024
+HOT_ROWS = 512
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Remove a path in the shared folder that is no longer read."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+def joined_evenly(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, spread: Column, keep: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row per key and, in ``count``, how many of the ``total`` rows bear it.
+
+    Hot keys - fewer than ``HOT_KEYS``, as each has over a ``HOT_KEYS``th of all rows - are broadcast, and their rows
+    are dealt by ``spread`` instead of by the key, so no task gets all rows of one. ``count`` is dropped.
+    """
+    values = [c for c in keyed.columns if c not in on and c != count]
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    pack = lambda name: F.struct(F.lit(True).alias("met"), *values).alias(name)
+    hot = F.broadcast(keyed.where(F.col(count) > limit).select(*on, pack("__hot")))
+    cold = keyed.where(F.col(count) <= limit).select(*on, F.lit(0).cast("long").alias("__salt"), pack("__cold"))
+    salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT_KEYS))).cast("long")
+    met = rows.join(hot, on, "left").withColumn("__salt", salt).join(cold, [*on, "__salt"], "left")
+    found = F.coalesce("__hot", "__cold")
+    out = met if keep == "left" else met.where(found.isNotNull())
+    return out.select(*rows.columns, *[found.getField(v).alias(v) for v in values])
 
 
 def sized_partitions(n_rows: int, rows_each: int, least: int = 1) -> int:
@@ -215,8 +249,3 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         b = max(a + 1, int(np.searchsorted(total, done + most, "right")))
         yield batch.slice(a, b - a)
         a = b
-
-
-def arrow_limits(spark: SparkSession, rows: int = 2000) -> None:
-    """Smaller Arrow batches, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, files_for, mix64, sequence_hashes, slices, window_hashes, written
+from .common import Words, files_for, mix64, sequence_hashes, slices, window_hashes, written
 from .components import components
 
 U = np.uint64
@@ -95,8 +95,6 @@ SKETCH = "doc_id long, one long, two long, n_shingles long, registers binary"
 
 
 def sketches(docs: DataFrame, words_each: int) -> DataFrame:
-    arrow_limits(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -264,7 +262,7 @@ def cross_links(members: DataFrame, texts: DataFrame, words_each: int, percent:
 
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (whether it is its component's smallest)."""
-    files = files_for(docs.count())
+    files = files_for(docs)
     sketched = written(sketches(docs, words_each), "sketches", files)
     linked = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))

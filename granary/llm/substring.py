@@ -4,27 +4,29 @@ A word goes if a window of ``window`` words that covers it also starts in a docu
 a smaller id. All windows are judged on the input.
 
 1. Confirm recurring passages. The smallest ``ANCHOR``-word hash in a window is the window's
-   anchor, so equal windows have equal anchors and about a quarter of the words start one.
-   Anchors of two documents or more are found by sums; the parts of documents whose windows
-   have such an anchor are cut out, and only their windows are grouped, each with the smallest
-   document that holds it. The windows that a document is the first to hold, and others hold
-   too, make up its passages.
-2. Compile automata. A document is sent the passages of the documents that its windows started
-   in. The passages of a shard of documents (a bounded part of an Arrow batch) are cut into tiles of
-   ``(window + 1) // 2`` words, one of which lies in any window, and the shard's Aho-Corasick
-   automaton is compiled from their words, spelled in a small alphabet.
-3. Stream. Every document that passages were sent to runs through its shard's automaton. Each
-   occurrence of a tile of those passages gives an alignment of document and passage; where equal
-   words around the tile make up a window, they are marked.
-
-Documents that equal a smaller one word by word are copies as a whole and skip these steps.
-
-Plan: hot passages are pre-aggregated (smallest and largest document of a hash) before each shuffle;
-no group of documents is gathered. Texts are shuffled twice; shuffle files of finished stages are freed.
-
-Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; rows that
-stand twice have one id and don't remove each other; rows of a null id neither lose nor remove words;
-an empty table gives no rows; further columns are kept by ``deduplicated``, whatever their names.
+   anchor, so equal windows have equal anchors and about a quarter of the words start one. Every
+   document's anchors are grouped; those of two different texts or more recur. Runs of words under
+   windows with a recurring anchor are cut out as parts of at most ``PART`` windows, and only their
+   windows are grouped, each with the smallest document that holds it and that document's part. The
+   confirmed windows that a part is the first to hold make up its passages.
+2. Compile sharded automata. Passages are dealt to shards by document and region, so a shard has about
+   ``SHARD`` windows however many the corpus has. A shard's Aho-Corasick automaton is compiled from
+   the windows of its passages, spelled in a small alphabet, each with the smallest document that holds it.
+3. Stream. Each part runs through the automata of the shards that its confirmed windows belong to; parts
+   that hold none, and documents without parts, cannot match. Every occurrence of a window of a smaller
+   document is marked. A shard that very many parts run through is compiled once for each ``SALT_EACH`` of them.
+
+Documents that equal a smaller one word by word are copies as a whole, and skip all three steps: an
+automaton would find all their windows.
+
+Plan: a part is sent to a shard once, however many windows they share, and no passage is sent to a document; so what is
+shuffled grows with the words under recurring anchors. Hot anchors, windows and classes of copies are met as
+``common.joined_evenly`` tells. Texts are shuffled twice, to the anchors and to the marks; no group of documents is gathered.
+
+Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; a very long text is many parts,
+though it is one row; rows that stand twice have one id and don't remove each other, nor do different texts of one id; rows of a null
+id neither lose nor remove words; ties cannot arise, as the smallest id wins; an empty table gives no rows; further columns are
+kept by ``deduplicated``, whatever their names, but for those of its own columns, which it replaces.
 """
 
 from __future__ import annotations
@@ -37,13 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_limits, files_for, sequence_hashes, settle, slices, window_hashes, written
+from .common import Words, files_for, joined_evenly, sequence_hashes, sized_partitions, slices, unpacked, whole, window_hashes, written
+from .native import let, word_array
 
 WINDOW = 13
 ANCHOR = 7
-#: In the automaton a word is so many letters of 6 bits of its hash: an automaton's node seeks among its
-#: children one by one, so whole words as letters would make its root slow. Whole hashes are compared after.
-LETTERS = 4
+#: Windows in a part of a document at most, and words of a document whose passages go to one shard.
+PART = 256
+REGION = 2048
+#: Letters of a shard's windows, about; an automaton has that many nodes at most.
+SHARD_NODES = 1 << 19
+#: Parts that one automaton streams; a shard with more is compiled again for the next ones.
+SALT_EACH = 4096
+#: In the automaton a word is two letters, of 6 and 18 bits of its hash: an automaton's node seeks among its children one by
+#: one, so whole words as letters would make its root slow. Matches are held against whole hashes.
+LETTERS = 2
+OWN = ("n_words", "n_removed", "removed_spans", "kept_words")
 
 
 def anchors_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,70 +74,87 @@ def anchors_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int)
     return least, row[start], start
 
 
+def covered(n: int, start: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """The runs of words that windows at ``start`` cover, of ``n`` words."""
+    if not len(start):
+        return []
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + window, -1)
+    inside = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])
+    step = np.diff(inside)
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+
+
 def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, doc_id), each anchor once per row of ``docs``."""
+    """(anchor, doc_id, sign), each anchor once per row of ``docs``; ``sign`` is a hash of the text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
+                sign = sequence_hashes(words, lower=False)[0]
                 found, row, _ = anchors_of(words.hashes(), words.first, window, anchor)
                 order = np.lexsort((found, row))
                 found, row = found[order], row[order]
                 new = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))[: len(found)])
-                yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), part.column("doc_id").take(pa.array(row[new]))], names=["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[new].view(np.int64)), part.column("doc_id").take(pa.array(row[new])), pa.array(sign[row[new]])], names=["anchor", "doc_id", "sign"]
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, sign long")
 
 
-def covered(n: int, start: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """The runs of words that windows at ``start`` cover, of ``n`` words."""
-    if not len(start):
-        return []
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + window, -1)
-    inside = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])
-    step = np.diff(inside)
-    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+def runs(chosen: list[np.ndarray], words: Words, window: int, most: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, first word, text) of the runs of words under each row's ``chosen`` windows, cut to ``most`` windows each."""
+    for i, start in enumerate(chosen):
+        first = int(words.first[i])
+        for a, b in covered(int(words.first[i + 1]) - first, start, window):
+            for c in range(a, b - window + 1, most):
+                end = min(b, c + most + window - 1)
+                yield i, c, words.data[words.start[first + c] : words.end[first + end - 1]].tobytes()
 
 
-def parts(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, part): the runs of words under windows with one of the row's ``anchors``."""
+def parts(texts: DataFrame, window: int, anchor: int, most: int = PART) -> DataFrame:
+    """(doc_id, content, at, part): the runs of words under windows with one of the row's ``anchors``; ``at`` is a run's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in slices(batch, "text"):
                 words = Words(cut.column("text"))
                 found, row, start = anchors_of(words.hashes(), words.first, window, anchor)
-                ids, out = [], []
                 edges = np.searchsorted(row, np.arange(words.n_rows + 1))
-                for i, (doc, own) in enumerate(zip(cut.column("doc_id").to_pylist(), cut.column("anchors"), strict=True)):
-                    mine = slice(edges[i], edges[i + 1])
-                    hot = start[mine][np.isin(found[mine].view(np.int64), own.values.to_numpy())] - words.first[i]
-                    for a, b in covered(int(words.first[i + 1] - words.first[i]), hot, window):
-                        ids.append(doc)
-                        out.append(words.data[words.start[words.first[i] + a] : words.end[words.first[i] + b - 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "part"])
+                own = cut.column("anchors")
+                hot = [start[a:b][np.isin(found[a:b].view(np.int64), own[i].values.to_numpy())] - words.first[i] for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                rows = list(runs(hot, words, window, most))
+                at = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [cut.column("doc_id").take(at), cut.column("content").take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())],
+                    names=["doc_id", "content", "at", "part"],
+                )
 
-    return texts.select("doc_id", "anchors", "text").mapInArrow(run, "doc_id long, part string")
+    return texts.select("doc_id", "content", "anchors", "text").mapInArrow(run, "doc_id long, content long, at long, part string")
 
 
 def window_rows(cut: DataFrame, window: int) -> DataFrame:
-    """(hash, doc_id) of every window in the parts."""
+    """(hash, doc_id, at) of every window in the parts, once for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "part"):
                 words = Words(part.column("part"))
                 h, row, _ = window_hashes(words.hashes(), words.first, window)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(row))], names=["hash", "doc_id"])
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)])
+                row = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), part.column("doc_id").take(row), part.column("at").take(row)], names=["hash", "doc_id", "at"])
 
-    return cut.select("doc_id", "part").mapInArrow(run, "hash long, doc_id long")
+    return cut.select("doc_id", "at", "part").mapInArrow(run, "hash long, doc_id long, at long")
 
 
 def passages(cut: DataFrame, window: int) -> DataFrame:
-    """(first, passage): runs of the windows in a row's ``hashes``; a window that repeats in a part counts once."""
+    """(shard, first, passage): runs of the windows in a row's ``hashes``; a window that repeats in a part counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,157 +162,185 @@ def passages(cut: DataFrame, window: int) -> DataFrame:
                 words = Words(part.column("part"))
                 h, row, start = window_hashes(words.hashes(), words.first, window)
                 edges = np.searchsorted(row, np.arange(words.n_rows + 1))
-                ids, out = [], []
-                for i, (doc, own) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("hashes"), strict=True)):
-                    mine = h[edges[i] : edges[i + 1]].view(np.int64)
+                own, hot = part.column("hashes"), []
+                for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    mine = h[a:b].view(np.int64)
                     fresh = np.zeros(len(mine), bool)
                     fresh[np.unique(mine, return_index=True)[1]] = True
-                    hot = start[edges[i] : edges[i + 1]][fresh & np.isin(mine, own.values.to_numpy())] - words.first[i]
-                    for a, b in covered(int(words.first[i + 1] - words.first[i]), hot, window):
-                        ids.append(doc)
-                        out.append(words.data[words.start[words.first[i] + a] : words.end[words.first[i] + b - 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["first", "passage"])
+                    hot.append(start[a:b][fresh & np.isin(mine, own[i].values.to_numpy())] - words.first[i])
+                rows = list(runs(hot, words, window, 1 << 30))
+                at = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("shard").take(at), part.column("doc_id").take(at), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())], names=["shard", "first", "passage"]
+                )
 
-    return cut.select("doc_id", "part", "hashes").mapInArrow(run, "first long, passage string")
+    return cut.select("shard", "doc_id", "part", "hashes").mapInArrow(run, "shard long, first long, passage string")
 
 
 def spelled(hashes: np.ndarray) -> str:
-    """``LETTERS`` letters for each word; a word's first letter is of a range of its own."""
+    """``LETTERS`` letters for each word; a word's first letter is of a range of its own, and neither is a surrogate."""
     out = np.empty((len(hashes), LETTERS), "<u4")
-    for j in range(LETTERS):
-        out[:, j] = ((hashes >> np.uint64(6 * j)) & np.uint64(63)) + np.uint64(48 if j else 128)
+    out[:, 0] = (hashes & np.uint64(63)) + np.uint64(128)
+    out[:, 1] = ((hashes >> np.uint64(6)) & np.uint64((1 << 18) - 1)) + np.uint64(0xE000)
     return out.tobytes().decode("utf-32-le")
 
 
 class Automaton:
-    """An Aho-Corasick automaton of the tiles of passages, over spelled words."""
+    """An Aho-Corasick automaton of the windows of passages, over spelled words."""
 
-    def __init__(self, found: list[tuple[int, str]], window: int):
-        self.window, self.tile = window, (window + 1) // 2
-        words = Words(pa.array([p for _, p in found], pa.large_string()))
+    def __init__(self, window: int):
+        self.window, self.owner = window, {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
+        self.ready = False
+
+    def add(self, first: list[int], texts: pa.Array) -> None:
+        """The windows of passages; ``first`` are the documents that hold them."""
+        words = Words(texts)
+        hashes = words.hashes()
+        letters, width = spelled(hashes), LETTERS * self.window
+        whole_hash, row, place = window_hashes(hashes, words.first, self.window)
+        for h, i, p in zip(whole_hash.tolist(), row.tolist(), place.tolist(), strict=True):
+            known, own = self.owner.get(h), first[i]
+            if known is None or own < known:
+                self.owner[h] = own
+            if known is None:
+                key = letters[LETTERS * p : LETTERS * p + width]
+                self.automaton.add_word(key, (*self.automaton.get(key, ()), h))
+
+    def spans(self, docs: list[int], texts: pa.Array) -> list[list[tuple[int, int]]]:
+        """The runs of words of each text in windows of a document smaller than its own."""
+        if not self.ready:
+            self.automaton.make_automaton()
+            self.ready = True
+        words = Words(texts)
         hashes = words.hashes()
-        self.owner = [f for f, _ in found]
-        self.words = [hashes[words.first[k] : words.first[k + 1]].tolist() for k in range(len(found))]
-        self.numbers: dict[tuple[int, str], int] = {x: k for k, x in enumerate(found)}
-        tiles: dict[str, dict[int, list[int]]] = {}
+        whole_hash, _, place = window_hashes(hashes, words.first, self.window)
+        at = np.zeros(len(hashes) + 1, np.uint64)
+        at[place] = whole_hash
+        out: list[list[tuple[int, int]]] = []
+        if not self.owner:
+            return [[] for _ in docs]
         letters = spelled(hashes)
-        for k, own in enumerate(self.words):
-            at = int(words.first[k])
-            for q in range(0, len(own) - self.tile + 1, self.tile):
-                tiles.setdefault(letters[LETTERS * (at + q) : LETTERS * (at + q + self.tile)], {}).setdefault(k, []).append(q)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
-        for key, places in tiles.items():
-            self.automaton.add_word(key, places)
-        self.automaton.make_automaton()
-
-    def marks(self, doc_id: int, hashes: np.ndarray, sent: set[int]) -> np.ndarray:
-        """Which words of a document stand in windows of the passages ``sent`` to it, those of smaller documents.
-
-        Any window that holds a tile lies within ``window - tile`` words of it, and each window holds one.
-        """
-        words, gone = hashes.tolist(), bytearray(len(hashes))
-        sent = {k for k in sent if self.owner[k] < doc_id}
-        tile, more = self.tile, self.window - self.tile
-        for last, places in self.automaton.iter(spelled(hashes)):
-            end = last // LETTERS
-            p = end - tile + 1
-            for k in sent & places.keys():
-                own = self.words[k]
-                for q in places[k]:
-                    if words[p : p + tile] != own[q : q + tile]:
+        for i, doc in enumerate(docs):
+            a, b = int(words.first[i]), int(words.first[i + 1])
+            own, found = at[a:b].tolist(), []
+            for last, spelled_so in self.automaton.iter(letters[LETTERS * a : LETTERS * b]):
+                p = last // LETTERS - self.window + 1
+                if own[p] in spelled_so and self.owner[own[p]] < doc:
+                    found.append(p)
+            out.append(covered(b - a, np.array(found, np.int64), self.window))
+        return out
+
+
+def streamed(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, content, a, b): the words ``a:b`` that go, from rows (shard, salt, kind, doc_id, content, at, part): passages of kind 0, then parts."""
+    dealt = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, automaton = None, Automaton(window)
+        for batch in batches:
+            for part in slices(batch, "part"):
+                keys = list(zip(*(part.column(k).to_pylist() for k in ("shard", "salt", "kind")), strict=True))
+                cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if keys[a][:2] != unit:
+                        unit, automaton = keys[a][:2], Automaton(window)
+                    own = part.slice(a, b - a)
+                    docs = own.column("doc_id").to_pylist()
+                    if keys[a][2] == 0:
+                        automaton.add(docs, own.column("part"))
                         continue
-                    before = after = 0
-                    least = min(more, p, q)
-                    while before < least and words[p - before - 1] == own[q - before - 1]:
-                        before += 1
-                    least = min(more, len(words) - p - tile, len(own) - q - tile)
-                    while after < least and words[p + tile + after] == own[q + tile + after]:
-                        after += 1
-                    if before + after >= more:
-                        gone[p - before : end + 1 + after] = b"\x01" * (before + tile + after)
-        return np.frombuffer(gone, bool)
+                    found = automaton.spans(docs, own.column("part"))
+                    rows = [(d, c, at + x, at + y) for d, c, at, spans in zip(docs, own.column("content").to_pylist(), own.column("at").to_pylist(), found, strict=True) for x, y in spans]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "content", "a", "b"])
 
+    return dealt.select("shard", "salt", "kind", "doc_id", "content", "at", "part").mapInArrow(run, "doc_id long, content long, a long, b long")
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with ``n_words``, ``removed_spans`` (words [start, end)), ``n_removed`` and ``kept_words``, joined by one space."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    files = files_for(docs.count())
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sequences(own: DataFrame) -> DataFrame:
+    """(doc_id, content, one, two, n): two hashes of the words of each text, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
                 one, two = sequence_hashes(words, lower=False)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(one), pa.array(two), pa.array(words.count().astype(np.int64))], names=["doc_id", "content", "one", "two", "n"])
 
-    listed = written(own.withColumn("content", F.xxhash64("text")).mapInArrow(sequences, "doc_id long, content long, one long, two long, n long"), "sequences", files)
-    least = listed.where(F.col("n") >= window).groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
-    copies = listed.join(least, ["one", "two"]).where("doc_id > rep").select("doc_id", "content").distinct()
-    reps = least.select(F.col("rep").alias("doc_id")).distinct()
+    return own.select("doc_id", "content", "text").mapInArrow(run, "doc_id long, content long, one long, two long, n long")
+
+
+def routed(cut: DataFrame, window: int, files: int) -> DataFrame:
+    """What ``streamed`` needs: each passage at its shard, and each part at the shards of its confirmed windows."""
+    windows = window_rows(cut, window)
+    grouped = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    confirmed = written(grouped.where("f.doc_id < last").select("hash", F.col("f.doc_id").alias("first"), F.col("f.at").alias("first_at"), "n"), "windows", files)
+    n_windows, n_rows = (x or 0 for x in confirmed.agg(F.count(F.lit(1)), F.sum("n")).first())
+    shards = sized_partitions(n_windows, SHARD_NODES // (LETTERS * window))
+    shard = lambda doc, at: F.pmod(F.xxhash64(F.col(doc), F.floor(F.col(at) / REGION)), F.lit(shards)).alias("shard")
+    met = joined_evenly(windows, confirmed, ["hash"], "n", n_rows, F.struct("doc_id", "at")).where("first < doc_id")
+    routes = written(met.select("doc_id", "at", shard("first", "first_at")).distinct(), "routes", files)
+    loads = routes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_EACH))
+    salted = joined_evenly(routes, loads, ["shard"], "n", routes.count(), F.struct("doc_id", "at"))
+    salted = salted.select("doc_id", "at", "shard", F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).alias("salt"))
+    sent = cut.join(salted, ["doc_id", "at"]).select("shard", "salt", F.lit(1).alias("kind"), "doc_id", "content", "at", "part")
+    firsts = confirmed.groupBy(F.col("first").alias("doc_id"), F.col("first_at").alias("at")).agg(F.collect_list("hash").alias("hashes"))
+    told = passages(cut.join(firsts, ["doc_id", "at"]).withColumn("shard", shard("doc_id", "at")), window)
+    told = told.join(loads.select("shard", F.sequence(F.lit(0).cast("long"), F.col("salts") - 1).alias("all")), "shard").withColumn("salt", F.explode("all"))
+    told = told.select("shard", "salt", F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(None).cast("long").alias("content"), F.lit(None).cast("long").alias("at"), F.col("passage").alias("part"))
+    return told.unionByName(sent)
+
+
+def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """(spans, copies) of ``docs`` (doc_id, content, text): the words ``a:b`` that go of a text, and the texts that go whole."""
+    files = files_for(docs)
+    own = docs.where(F.col("doc_id").isNotNull())
+    listed = written(sequences(own).where(F.col("n") >= window), "sequences", files)
+    classes = written(listed.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes", files)
+    copies = joined_evenly(listed, classes, ["one", "two"], "rows", listed.count(), F.struct("doc_id", "content")).where("doc_id > rep").select("doc_id", "content").distinct()
 
     found = anchor_rows(own, window, anchor)
-    recurring = written(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "anchors", files)
-    settle(spark)
-    hits = found.join(recurring, "anchor").join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    hits = written(hits, "hits", files)
-    settle(spark)
+    grouped = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("sign").alias("s"), F.max("sign").alias("t"), F.count(F.lit(1)).alias("n"))
+    recurring = written(grouped.where("a < b AND s <> t").select("anchor", "n"), "anchors", files)
+    hits = joined_evenly(found, recurring, ["anchor"], "n", recurring.agg(F.sum("n")).first()[0] or 0, F.col("doc_id"))
+    hits = hits.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     cut = written(parts(own.join(hits, "doc_id"), window, anchor), "parts", files)
-    settle(spark)
-    windows = window_rows(cut, window)
-    confirmed = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-    confirmed = written(confirmed, "windows", files)
-    routes = written(windows.join(confirmed, "hash").where("doc_id > first").select("doc_id", "first").distinct(), "routes", files)
-    settle(spark)
-    firsts = confirmed.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("hash").alias("hashes"))
-    told = passages(cut.join(firsts, "doc_id"), window)
-    sent = routes.join(told, "first").groupBy("doc_id").agg(F.collect_list(F.struct("first", "passage")).alias("__passages"))
-    sent = written(sent, "passages", files)
-    settle(spark)
-
-    plain = docs.withColumn("__content", F.xxhash64("text"))
-    whole = copies.groupBy("doc_id").agg(F.collect_list("content").alias("__copies"))
-    told = sent.join(whole, "doc_id", "full").withColumnRenamed("doc_id", "__doc")
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "removed_spans", "kept_words")]
-    copy = F.coalesce(F.array_contains("__copies", F.col("__content")), F.lit(False)).alias("__copy")
-    joined = plain.join(told, plain["doc_id"] == told["__doc"], "left").select(*kept, copy, "__passages")
+    return streamed(routed(cut, window, files), window), copies
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard in slices(batch, "text"):
-                yield stream(shard, kept, window)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return joined.mapInArrow(run, schema + ", n_words long, n_removed long, removed_spans array<array<int>>, kept_words string")
-
-
-def stream(shard: pa.RecordBatch, kept: list[str], window: int) -> pa.RecordBatch:
-    """Compile the shard's automaton and run all its documents through it."""
-    sent = [[(x["first"], x["passage"]) for x in row.as_py() or ()] for row in shard.column("__passages")]
-    automaton = Automaton(sorted({x for own in sent for x in own}), window) if any(sent) else None
-    words = Words(shard.column("text"))
-    hashes, count = words.hashes(), words.count().astype(np.int64)
-    n_removed, spans, texts = [], [], []
-    ids, copies = shard.column("doc_id").to_pylist(), shard.column("__copy").to_pylist()
-    for i, raw in enumerate(shard.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()):
-        gone = None
-        if copies[i]:
-            gone = np.ones(count[i], bool)
-        elif sent[i]:
-            gone = automaton.marks(ids[i], hashes[words.first[i] : words.first[i + 1]], {automaton.numbers[x] for x in sent[i]})
-        own = (raw or b"").split()
-        if gone is None or not gone.any():
-            n_removed.append(0)
-            spans.append([])
-        else:
-            step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            n_removed.append(int(gone.sum()))
-            spans.append(np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).tolist())
-            own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-        texts.append(b" ".join(own))
-    added = [pa.array(count), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(texts, pa.binary()).cast(pa.string())]
-    return pa.RecordBatch.from_arrays([*(shard.column(c) for c in kept), *added], names=[*kept, "n_words", "n_removed", "removed_spans", "kept_words"])
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with ``n_words``, ``removed_spans`` (words [start, end)), ``n_removed`` and ``kept_words``, joined by one space."""
+    plain = docs.select(whole(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("content"))
+    spans, copies = removed_spans(plain.select("doc_id", "content", "text"), window, anchor)
+    of_text = spans.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))).alias("spans"))
+    told = of_text.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "content"], "full")
+    met = plain.join(told, ["doc_id", "content"], "left").select("row", word_array(F.col("text")).alias("words"), "spans", "copy")
+
+    def merged(s):
+        """Sorted spans with overlapping and adjoining ones as one."""
+        step = lambda out, x: F.when(
+            (F.size(out) > 0) & (F.coalesce(F.get(out, F.size(out) - 1)["b"], F.lit(-1)) >= x["a"]),
+            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.get(out, F.size(out) - 1)["a"].alias("a"), F.greatest(F.get(out, F.size(out) - 1)["b"], x["b"]).alias("b")))),
+        ).otherwise(F.concat(out, F.array(x)))
+        return F.aggregate(s, F.array().cast("array<struct<a:int,b:int>>"), step)
+
+    n = F.size("words")
+    gone = F.when(F.col("copy"), F.array(F.struct(F.lit(0).alias("a"), n.alias("b")))).when(F.col("spans").isNull(), F.array().cast("array<struct<a:int,b:int>>")).otherwise(merged(F.col("spans")))
+    marked = met.select("row", "words", gone.alias("gone"))
+
+    def left(g):
+        """The words outside the spans: what lies between the end of one (or the start) and the next one."""
+        ends = F.concat(F.array(F.lit(0)), F.transform(g, lambda x: x["b"]))
+        starts = F.concat(F.transform(g, lambda x: x["a"]), F.array(n))
+        between = F.zip_with(ends, starts, lambda a, b: F.slice("words", a + 1, b - a))
+        return F.flatten(between)
+
+    kept = F.when(F.size("gone") == 0, F.col("words")).otherwise(let(F.col("gone"), left))
+    removed = F.aggregate("gone", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    as_lists = F.transform("gone", lambda x: F.array(x["a"], x["b"]))
+    names = [c for c in docs.columns if c not in OWN]
+    return marked.select(*unpacked(F.col("row"), names), n.cast("long").alias("n_words"), removed.alias("n_removed"), as_lists.alias("removed_spans"), F.array_join(kept, " ").alias("kept_words"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, arrow_limits, slices
+from .common import Words, slices
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -275,7 +275,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_cha
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, and ``toxic_verdict`` by the threshold of the row's language."""
     spark = docs.sparkSession
-    arrow_limits(spark)
     kept = [c for c in docs.columns if c not in ("score", "toxic_verdict")]
     shared = spark.sparkContext.broadcast(model)
     plain = docs.select(*kept)

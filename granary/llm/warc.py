@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, shared_path
+from .common import shared_path
 
 CRLF = b"\r\n"
 SEGMENT = 16 << 10
@@ -116,7 +116,6 @@ def base32_sha1(payload: bytes) -> str:
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: int = SEGMENT) -> None:
     """Write the pages' records below ``path``; payloads of under ``least_bytes`` are never revisits."""
-    arrow_limits(pages.sparkSession, 500)
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("sha"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"))
     ids = keyed.select("key", "page_id", "sha", (F.octet_length("html") >= least_bytes).alias("long")).distinct()
@@ -152,7 +151,6 @@ RECORD = "origin string, number int, total long, kind string, url string, digest
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record below ``path``; ``origin`` is the record that a continuation belongs to."""
-    arrow_limits(spark, 4)
     schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in RECORD.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +180,6 @@ PAGE = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def reassembled(records: DataFrame, keep_payload: bool = True) -> DataFrame:
     """One row per response or revisit, with its payload put together, checked and decoded."""
-    arrow_limits(records.sparkSession, 500)
     part = F.struct("number", "total", "kind", "url", "digest", "refers_to", "length", "block")
     grouped = records.groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
