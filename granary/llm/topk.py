@@ -1,25 +1,23 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-Vectors become integers, floor(256 * x). Rows and queries are dealt into blocks by a
-hash of their id; each pair of a block of rows and a block of queries is one unit of work.
-In it, every term (vector component) has a postings list of the rows with a value other
-than 0; each query's weight for the term is scattered over the postings into a dense array
-of scores. A partition selection keeps each query's ``k`` best of the block, and the
-blocks' winners are merged by rank.
+Vectors become integers, floor(256 * x). Rows stay where they are read: a task turns each batch of its rows into a block,
+in which every term (vector component) has a postings list of the rows with a value other than 0. The queries come in
+chunks of at most ``CHUNK_BYTES``; each query's weight for a term is scattered over the term's postings into a dense array of
+scores. A partition selection keeps each query's ``k`` best of the block, the task merges them with those of
+its blocks before, and tasks' winners are merged by rank.
 
-Plan: blocks of rows are made once; blocks of queries - a fixed share of the rows - are sent
-to every block of rows by an equi-join on the block's number. No score leaves a unit but the
-``k`` best per query, and no side is collected or broadcast by the operator.
+Plan: no row is shuffled, copied or collected. A chunk of queries, whose size is bounded by the parameter, is broadcast, and
+one pass over the rows answers it; so there are as many passes as chunks. What is shuffled are ``k`` winners for each
+query and task. Results of several chunks are written to the shared folder one by one.
 
 Scores that floats cannot hold are summed in 64-bit integers, which wrap, so every score that fits a
 long is exact; pairs whose score might not fit are summed in Python integers, and the query fails if one does not.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; a component
-beyond a long once scaled fails the query; missing
-components count as 0, so lengths may differ and an empty vector scores 0; a row is no
-candidate for a query of its own id; rows that stand twice are candidates of their own, a
-query that stands twice is asked once; ties go to the smaller id; empty tables give no rows;
-further columns are ignored, whatever their names.
+Defined cases: vectors that are null, or hold null or non-finite components, and rows without an id take no part; a component
+beyond a long once scaled fails the query; missing components count as 0, so lengths may differ and an empty vector scores 0; a
+very long vector is one row of a block; a row is no candidate for a query of its own id; rows that stand twice are candidates
+of their own, a query that stands twice is asked once (by its smallest vector, where they differ); ties go to the smaller id;
+empty tables give no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sized_partitions
+from .common import written
 
 K = 5
 SCALE = 256
+#: Rows that one block of scores holds, and queries.
 ROWS_EACH = 4096
 QUERIES_EACH = 256
-BLOCK = "block long, ids binary, cells binary, dim int"
+#: Bytes of the queries of one chunk, as integers of 8 bytes.
+CHUNK_BYTES = 32 << 20
 
 
 def sound(vectors: DataFrame) -> DataFrame:
@@ -46,33 +46,25 @@ def sound(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), "embedding")
 
 
-def quantised(vector: list[float]) -> np.ndarray:
-    cells = np.floor(np.array(vector, np.float64) * SCALE)
+def quantised(components: np.ndarray) -> np.ndarray:
+    cells = np.floor(components.astype(np.float64) * SCALE)
     if (np.abs(cells) >= 2.0**63).any():
         raise OverflowError("a component does not fit a long once scaled")
-    return cells.astype("<i8")
+    return cells.astype(np.int64)
 
 
-def blocks(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` dealt into ``n`` blocks, one row each: ids ascending, and the matrix of cells, of 4 bytes where they fit, else of 8."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        cells = [quantised(v) for v in table.column("embedding").to_pylist()]
-        dim = max(map(len, cells), default=0)
-        matrix = np.zeros((len(ids), dim), "<i8")
-        for to, at in enumerate(order):
-            matrix[to, : len(cells[at])] = cells[at]
-        if np.abs(matrix).max(initial=0) < 1 << 31:
-            matrix = matrix.astype("<i4")
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "cells": pa.array([matrix.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32())})
-
-    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("block").applyInArrow(run, BLOCK)
-
-
-def matrix_of(raw: bytes, rows: int, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, "<i8" if len(raw) == 8 * rows * dim else "<i4").reshape(rows, dim)
+def block_of(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids ascending, matrix of cells, shorter vectors filled up with 0)."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    own = ids.to_numpy()
+    order = np.argsort(own, kind="stable")
+    length = vectors.value_lengths().to_numpy().astype(np.int64)
+    cells = quantised(vectors.flatten().to_numpy(zero_copy_only=False))
+    dim = int(length.max(initial=0))
+    matrix = np.zeros((len(own), dim), np.int64)
+    matrix[np.repeat(np.arange(len(own)), length), np.arange(len(cells)) - np.repeat(np.cumsum(length) - length, length)] = cells
+    return own[order], matrix[order]
 
 
 def check_fit(ids: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> None:
@@ -120,27 +112,54 @@ def best(ids: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, queries: np.
     return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, rows_each: int = ROWS_EACH, queries_each: int = QUERIES_EACH) -> DataFrame:
-    """The ``k`` best rows of ``vectors`` for each vector of ``queries``: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    n, m = sized_partitions(vectors.count(), rows_each), sized_partitions(queries.count(), queries_each)
-    own = blocks(sound(vectors), n)
-    asked = blocks(sound(queries).dropDuplicates(["vec_id"]), m).select(F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("dim").alias("q_dim"))
-    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    units = own.join(sent, "block").select("ids", "cells", "dim", "q_ids", "q_cells", "q_dim").repartition(sized_partitions(n * m, 4, 8))
+def merged(kept: tuple[np.ndarray, ...] | None, found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best of each query among both, by score, then by id."""
+    q, v, s = (np.concatenate(x) for x in zip(kept, found, strict=True)) if kept else found
+    order = np.lexsort((v, -s.astype(np.float64), q)) if len(s) == 0 or np.abs(s).max() < 1 << 53 else np.array(sorted(range(len(s)), key=lambda i: (q[i], -int(s[i]), v[i])))
+    q, v, s = q[order], v[order], s[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return q[rank < k], v[rank < k], s[rank < k]
+
+
+def answered(rows: DataFrame, asked: list, k: int, rows_each: int, queries_each: int) -> DataFrame:
+    """(query_id, vec_id, score): each task's ``k`` best of its rows for the queries ``asked``, at most a chunk."""
+    queries = rows.sparkSession.sparkContext.broadcast(block_of(pa.array([r.vec_id for r in asked], pa.int64()), pa.array([list(r.embedding) for r in asked], pa.list_(pa.float64()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, asking = queries.value
+        kept: list = [None] * -(-len(q_ids) // queries_each)
         for batch in batches:
-            for u in batch.to_pylist():
-                ids, q_ids = np.frombuffer(u["ids"], "<i8"), np.frombuffer(u["q_ids"], "<i8")
-                cells, asking = matrix_of(u["cells"], len(ids), u["dim"]), matrix_of(u["q_cells"], len(q_ids), u["q_dim"])
-                found = best(ids, cells, q_ids, asking, k)
+            for at in range(0, batch.num_rows, rows_each):
+                part = batch.slice(at, rows_each)
+                ids, cells = block_of(part.column(0), part.column(1))
+                for n, a in enumerate(range(0, len(q_ids), queries_each)):
+                    kept[n] = merged(kept[n], best(ids, cells, q_ids[a : a + queries_each], asking[a : a + queries_each], k), k)
+        for found in kept:
+            if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    partial = units.mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, rows_each: int = ROWS_EACH, queries_each: int = QUERIES_EACH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The ``k`` best rows of ``vectors`` for each vector of ``queries``: query_id, rank, vec_id, score."""
+    rows = sound(vectors)
+    asked = sound(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    chunks = max(1, -(-(n * (dim or 1) * 8) // chunk_bytes))
+    of_chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks))
+    if chunks > 1:
+        asked = written(asked.withColumn("chunk", of_chunk).repartition(chunks, "chunk").sortWithinPartitions("chunk"), "queries")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = None
+    for c in range(chunks):
+        own = (asked.where(F.col("chunk") == c) if chunks > 1 else asked).select("vec_id", "embedding").collect()  # at most a chunk
+        partial = answered(rows, own, k, rows_each, queries_each)
+        found = partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = written(found, "winners") if chunks > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,11 +28,12 @@ def brute_topk(rows, queries, k=5):
 def test_topk_against_brute_force(spark, rows_each):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(0, 0.3, 8).round(1).tolist()) for i in range(150)]
-    rows += [(i, [0.5] * 8) for i in range(200, 230)] + [(300, None), (301, [None, 1.0]), (302, [float("nan")] * 8), (303, []), (304, [1e-4, 0.0]), (305, [0.5] * 12), (306, [float("inf")] * 8)]
+    rows += [(i, [0.5] * 8) for i in range(200, 230)] + [(300, None), (301, [None, 1.0]), (302, [float("nan")] * 8), (303, []), (304, [1e-4, 0.0]), (305, [0.5] * 12), (306, [float("inf")] * 8), (307, [1.0e6] + [0.1] * 7), (308, [-1.0e6] * 3)]
     df = spark.createDataFrame([(i, v, "e", 1) for i, v in rows], "vec_id long, embedding array<float>, score string, block int")
     queries = df.where("vec_id % 50 = 0 OR vec_id > 299")
-    got = {tuple(r) for r in topk.search(df, queries, rows_each=rows_each, queries_each=3).collect()}
-    assert got == brute_topk(rows, {i for i, _ in rows if i % 50 == 0 or i > 299})
+    for chunk_bytes in (topk.CHUNK_BYTES, 8 * 12 * 4):
+        got = {tuple(r) for r in topk.search(df, queries, rows_each=rows_each, queries_each=3, chunk_bytes=chunk_bytes).collect()}
+        assert got == brute_topk(rows, {i for i, _ in rows if i % 50 == 0 or i > 299})
     assert topk.search(df.limit(0), queries).count() == 0 and topk.search(df, queries.limit(0)).count() == 0
     assert topk.search(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
@@ -44,6 +45,11 @@ def test_topk_of_large_components(spark):
     assert got == brute_topk(rows, {0, 50}) and {v for _, _, v, _ in got} == {i for i, _ in rows}
     with pytest.raises(Exception, match="does not fit a long"):
         topk.search(df, df.where("vec_id = 4")).collect()
+    far = spark.createDataFrame([*rows, (6, [1e30, 0.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit a long"):  # no score of it would
+        topk.search(far, far.where("vec_id = 0")).collect()
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (None, [9.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.search(twice, twice.where("vec_id = 0")).collect())) == [(0, 1, 1, 131072), (0, 2, 1, 131072)]
 
 
 # packing
