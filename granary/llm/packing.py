@@ -5,15 +5,17 @@ A sequence costs ``LINEAR * tokens + QUADRATIC * tokens ** 2`` for each piece in
 are cut off first, and the rests, in descending order, go to the sequence of lowest cost
 that can hold them, among all; only where none can, the rest is cut to fill the cheapest
 one with free tokens. The number of sequences is the least that holds all
-tokens, so a shard pads less than one sequence.
+tokens, so a chunk pads less than one sequence.
 
-Plan: texts are encoded where they are read; one shuffle deals the ids (two bytes each)
-by a hash of the document to shards of about ``SHARD_DOCS`` documents, and each shard is
-packed by itself. A shard's number and a place in it make a sequence_id.
+Plan: nothing is shuffled. A task encodes its texts where it reads them, sends out full sequences at once and packs the
+rests of each ``CHUNK_DOCS`` documents by themselves, so it holds under ``CHUNK_DOCS * LENGTH`` ids however long the texts
+are, no key can be hot, and each task pads less than a sequence per chunk. The partition's number and a running
+number make a sequence_id; a table read in other partitions packs otherwise.
 
-Defined cases: null and empty texts are the end id alone; rows that stand twice are packed
-twice, as are their pieces; an empty table gives no rows; further columns are ignored,
-whatever their names.
+Defined cases: null and empty texts are the end id alone; a very long text is many full sequences and a rest; a null doc_id
+is packed as any other; rows that stand twice are packed twice, as are their pieces; pieces of equal length go in the order
+of their rows, and sequences of equal cost in that of their numbers; an empty table gives no rows; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import sized_partitions
 
 LENGTH = 1024
 END_ID = 0
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
-SHARD_DOCS = 4096
+CHUNK_DOCS = 4096
 
 
 def cost(n: int) -> float:
@@ -82,49 +83,60 @@ def assign(lengths: list[int], length: int = LENGTH) -> list[list[tuple[int, int
     return sequences
 
 
-def encoded(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """(doc_id, ids): the ids of each document and the end id, as little-endian 16-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids = [np.append(tokens.ids(t or "", ranks), END_ID).astype("<u2").tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, length: int = LENGTH, ranks: str | None = None, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, ranks: str | None = None, keep_ids: bool = True, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
     """One row per piece; with ``keep_ids`` also its ids as little-endian 32-bit numbers."""
-    shards = sized_partitions(docs.count(), SHARD_DOCS)
     kinds = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")] + [("ids", pa.binary())] * keep_ids)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        docs_ids = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        arrays = [np.frombuffer(i, "<u2").astype("<u4") for _, i in docs_ids]
-        heads = [len(a) // length * length for a in arrays]
-        rows = [(d, at, length, d, a, (s, 0)) for s, (d, at, a) in enumerate((d, at, a) for d, (a, head) in enumerate(zip(arrays, heads, strict=True)) for at in range(0, head, length))]
-        n_full = len(rows)
-        for s, pieces in enumerate(assign([len(a) - h for a, h in zip(arrays, heads, strict=True)], length)):
-            offset = 0
-            for d, at, n in pieces:
-                rows.append((d, heads[d] + at, n, d, arrays[d], (n_full + s, offset)))
-                offset += n
-        out: list[list] = [[] for _ in kinds]
-        for d, at, n, _, a, (s, offset) in rows:
-            raw = a[at : at + n].tobytes()
-            values = [docs_ids[d][0], at, n, zlib.crc32(raw), len(a), (shard << 32) + s, offset] + [raw] * keep_ids
-            for o, v in zip(out, values, strict=True):
-                o.append(v)
-        return pa.Table.from_arrays([pa.array(o, f.type) for o, f in zip(out, kinds, strict=True)], schema=kinds)
-
-    dealt = encoded(docs, ranks).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, PIECE + ", ids binary" * keep_ids)
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def piece(doc: int | None, at: int, ids: np.ndarray, whole: int, sequence: int, offset: int) -> tuple:
+        raw = ids.tobytes()
+        return (doc, at, len(ids), zlib.crc32(raw), whole, sequence, offset, *([raw] * keep_ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rests: list[tuple[int | None, int, np.ndarray, int]] = []
+        number = 0
+
+        def packed(first: int) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for s, pieces in enumerate(assign([len(r[2]) for r in rests], length)):
+                offset = 0
+                for p, at, n in pieces:
+                    doc, head, ids, whole = rests[p]
+                    rows.append(piece(doc, head + at, ids[at : at + n], whole, first + s, offset))
+                    offset += n
+            for a in range(0, len(rows), 1024):
+                yield table(rows[a : a + 1024])
+
+        for batch in batches:
+            rows = []
+            for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                number = number or part << 32
+                ids = np.append(tokens.ids(text or "", ranks), END_ID).astype("<u4")
+                head = len(ids) // length * length
+                for at in range(0, head, length):
+                    rows.append(piece(doc, at, ids[at : at + length], len(ids), number, 0))
+                    number += 1
+                if head < len(ids):
+                    rests.append((doc, head, ids[head:].copy(), len(ids)))
+                if len(rows) >= 256:
+                    yield table(rows)
+                    rows = []
+                if len(rests) >= chunk_docs:
+                    yield from packed(number)
+                    number += -(-sum(len(r[2]) for r in rests) // length)
+                    rests = []
+            if rows:
+                yield table(rows)
+        if rests:
+            yield from packed(number)
+
+    placed = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().cast("long"))
+    return placed.mapInArrow(run, PIECE + ", ids binary" * keep_ids)
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,8 +89,12 @@ def check_pieces(pieces, docs, length=1024):
 
 def test_pack_round_trip(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    pieces = packing.op6_pack(spark, sf).collect()
-    assert check_pieces(pieces, docs) < 1024
+    out = packing.op6_pack(spark, sf)
+    assert check_pieces(out.collect(), docs) < 1024 * out.rdd.getNumPartitions()
+    split = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    few = packing.pack(split, chunk_docs=16)
+    assert check_pieces(few.collect(), docs) < 1024 * (len(docs) // 16 + 5)
+    assert check_pieces(few.coalesce(1).collect(), docs) < 1024 * (len(docs) // 16 + 5)  # numbers stay apart in one task
 
 
 def test_pack_odd_documents(spark):
