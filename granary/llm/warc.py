@@ -5,18 +5,19 @@ and the others revisit it. A payload goes out as an HTTP response with chunked t
 framing; a block longer than ``segment`` bytes is cut into a first record and continuation
 records. Archives are whole-file gzip, written by Spark to the shared folder.
 
-Reading: archives come in as binary files of bounded size and are parsed into records;
-continuation records are grouped by origin identifier, ordered by segment number and
-checked against the total length; then chunked framing is decoded.
+Reading: archives come in as binary files of bounded size, whole-file gzip, one gzip member for each record, or plain;
+they are inflated and parsed step by step. Records that are wholly equal are counted, the others of a page grouped by origin
+identifier, ordered by segment number and checked against the total length; then chunked framing is decoded.
 
 Plan: digests are computed on the JVM; the largest id per digest is summed before the
-shuffle and joined back to ids alone, so a payload that very many pages share moves only
-ids. Payloads are shuffled once to be written and once to be reassembled.
-
-Defined cases: null html is an empty payload; a null page_id never is the largest, unless
-all ids of a payload are null; rows that are wholly equal give equal records, one each;
-a null url gives no target field; an empty table gives an empty archive; further columns
-are ignored, whatever their names.
+shuffle and joined back to ids alone, evenly (``common.joined_evenly``), so a payload that very many pages share moves only
+ids. Payloads are shuffled once to be written and once to be reassembled; equal records are one before that
+second shuffle, so a group is as large as one page, however often its row stands.
+
+Defined cases: null html is an empty payload, as is an empty one; a very long payload is many segments; a null page_id never is the
+largest, unless all ids of a payload are null; rows that are wholly equal give equal records, one each; rows of one id and
+payload but different urls are pages of their own; a null url gives no target field; ties for the largest id are the same id; an
+empty table gives an empty archive; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import joined_evenly, shared_path, written
 
 CRLF = b"\r\n"
 SEGMENT = 16 << 10
@@ -40,6 +41,8 @@ CHUNK = 4096
 #: Bytes of records in one row of an archive, and such rows in one file.
 ROW_BYTES = 4 << 20
 ROWS_EACH = 4
+#: Bytes that one step of inflating takes in.
+STEP = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,24 +93,56 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str
     yield record("response", ident, parts[0], WARC_Segment_Number=1, **fields)
     for k, part in enumerate(parts[1:], 2):
         total = len(block) if k == len(parts) else None
-        yield record("continuation", f"{ident}:{k}", part, WARC_Segment_Number=k, WARC_Segment_Origin_ID=f"<{ident}>", WARC_Segment_Total_Length=total)
+        yield record("continuation", f"{ident}:{k}", part, WARC_Target_URI=fields["WARC_Target_URI"], WARC_Segment_Number=k, WARC_Segment_Origin_ID=f"<{ident}>", WARC_Segment_Total_Length=total)
 
 
-def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record in an archive; field names are lower case."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
+def inflated(data: bytes, step: int = STEP) -> Iterator[bytes]:
+    """The bytes of an archive in turn: of all gzip members one after the other, or as they are."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield from (data[a : a + step] for a in range(0, len(data), step))
+        return
+    view, at, member = memoryview(data), 0, zlib.decompressobj(31)
+    while at < len(view):
+        part = view[at : at + step]
+        out = member.decompress(part)
+        at += len(part) - len(member.unused_data)
+        if out:
+            yield out
+        if member.eof:
+            while at < len(view) and view[at] == 0:  # padding after a member
+                at += 1
+            member = zlib.decompressobj(31)
+        elif at >= len(view):
+            raise ValueError("the archive ends inside a gzip member")
+
+
+def records_in(parts: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record in an archive's bytes; field names are lower case."""
+    parts = iter((parts,)) if isinstance(parts, bytes) else parts
+    held, done = bytearray(), 0
+
+    def more() -> bool:
+        part = next(parts, None)
+        if part is not None:
+            held.extend(part)
+        return part is not None
+
+    while held or more():
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if not held.startswith(b"WARC/1.") or end < 0:
+            raise ValueError(f"no record at byte {done}")
+        lines = held[:end].decode().split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
-        n = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
+        last = end + 4 + int(fields["content-length"])
+        while len(held) < last + 4 and more():
+            pass
+        if len(held) < last + 4 or held[last : last + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {done} does not end where its length says")
+        block = bytes(held[end + 4 : last])
+        del held[: last + 4]
+        done += last + 4
         yield fields, block
-        at = end + 8 + n
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -118,9 +153,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
     """Write the pages' records below ``path``; payloads of under ``least_bytes`` are never revisits."""
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("sha"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"))
-    ids = keyed.select("key", "page_id", "sha", (F.octet_length("html") >= least_bytes).alias("long")).distinct()
-    last = ids.where("long").groupBy("sha").agg(F.max("page_id").alias("last"))
-    revisits = ids.join(last, "sha").where(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))).select("key", "sha", "last")
+    ids = keyed.where(F.octet_length("html") >= least_bytes).select("key", "page_id", "sha").distinct()
+    last = written(ids.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"), "largest")
+    met = joined_evenly(ids, last, ["sha"], "n", last.agg(F.sum("n")).first()[0] or 0, F.col("key"))
+    revisits = met.where(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))).select("key", "sha", "last")
     told = keyed.join(revisits, ["key", "sha"], "left").select("page_id", "url", "html", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +195,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for f, block in records_in(zlib.decompress(content.as_py(), 31)):
+                for f, block in records_in(inflated(content.as_py())):
                     segment, get = f.get("warc-segment-number"), f.get
                     origin = bare(get("warc-segment-origin-id") or f["warc-record-id"])
                     total = number(get("warc-segment-total-length")) or (None if segment else len(block))
@@ -180,8 +216,9 @@ PAGE = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def reassembled(records: DataFrame, keep_payload: bool = True) -> DataFrame:
     """One row per response or revisit, with its payload put together, checked and decoded."""
-    part = F.struct("number", "total", "kind", "url", "digest", "refers_to", "length", "block")
-    grouped = records.groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    part = ("number", "total", "kind", "url", "digest", "refers_to", "length", "block")
+    once = records.groupBy("origin", *part).agg(F.count(F.lit(1)).alias("copies"))
+    grouped = once.groupBy("origin", "url").agg(F.sort_array(F.collect_list(F.struct(*part, "copies"))).alias("parts")).select("origin", "parts")
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PAGE.split(", ")][: None if keep_payload else -1])
 
@@ -199,7 +236,7 @@ def reassembled(records: DataFrame, keep_payload: bool = True) -> DataFrame:
 def page_of(origin: str, parts: list[dict], keep_payload: bool) -> list[tuple]:
     """The rows of one origin; equal records give equal rows."""
     by_number = {p["number"]: p for p in parts}
-    copies = sum(p["number"] == 1 for p in parts)
+    copies = sum(p["copies"] for p in parts if p["number"] == 1)
     if sorted(by_number) != list(range(1, len(by_number) + 1)):
         raise ValueError(f"{origin}: segments are missing")
     first, block = by_number[1], b"".join(by_number[k]["block"] for k in sorted(by_number))

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import math
 import zlib
@@ -185,6 +186,28 @@ def test_archives(spark, least):
         warc.reassembled(warc.read_records(spark, path).where("number <> 2")).collect()
 
 
+@pytest.mark.parametrize("form", ["members", "whole", "plain"])
+def test_archives_of_other_writers(spark, tmp_path, form):
+    payloads = {k: f"page {k} ".encode() * (1 + 40_000 * (k == 3)) for k in range(5)}
+    each = [b"".join(warc.records_of(k, f"http://x/{k}", p, warc.base32_sha1(p), None)) for k, p in payloads.items()]
+    data = {"members": b"".join(map(gzip.compress, each)) + b"\0" * 3, "whole": gzip.compress(b"".join(each)), "plain": b"".join(each)}[form]
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    rows = warc.reassembled(warc.read_records(spark, str(tmp_path))).collect()
+    assert {r.page_id: bytes(r.payload) for r in rows} == payloads and len(rows) == 5
+    assert len(list(warc.records_in(warc.inflated(data, 11)))) == len(list(warc.records_in(b"".join(each))))
+    with pytest.raises(ValueError):
+        list(warc.records_in(warc.inflated(data[:-9])))
+
+
+def test_equal_pages_and_urls_of_one_page(spark):
+    pages = [(1, "u", "x" * 40_000)] * 30 + [(1, "v", "x" * 40_000), (2, "u", "y")] + [(k, "w", "same") for k in range(10, 700)]
+    path = shared_path(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    records = warc.read_records(spark, path)
+    rows = warc.reassembled(records)
+    assert Counter((r.page_id, r.url, r.refers_to) for r in rows.collect()) == Counter((i, u, 699 if u == "w" and i < 699 else None) for i, u, _ in pages)
+
+
 def test_empty_archive(spark):
     path = shared_path(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
