@@ -8,14 +8,15 @@ moved are set to 0, so unknown words are neutral. Thresholds are calibrated per
 rows that are neither trained on nor held out; the score itself sees the text alone.
 
 The weights are learnt from a bounded sample: the ``PER_CLASS`` rows of each label with
-the smallest hash, of texts of at most ``MOST_CHARS`` characters, without those left for
+the smallest hash among texts of at most ``MOST_CHARS`` characters, without those left for
 calibration (a fifth of each language and class, and up to ``LEAST_ROWS`` of small ones). Scoring covers every
-word of every text. The model is of fixed size (about 4 MB) and is broadcast.
+word of every text. The model is of fixed size (12.6 MB) and is broadcast.
 
 Plan of the calibration: all texts are scored where they are read, only ids and scores meet the
 labels, and the driver gets the counts of each language's bins of scores.
 
-Defined cases: null and empty texts are scored as texts without words; rows that stand twice
+Defined cases: null and empty texts are scored as texts without words; very long texts are scored whole; a score equal to a threshold is
+toxic, and equal scores are on one side of any; a null language has the global threshold; rows that stand twice
 are scored twice; labels that are null or whose document is null teach nothing, and of several
 labels of one document the largest counts; with labels of one class only, or none, every score
 is 0; a null doc_id is not held out; an empty table gives no rows; further columns are kept by
@@ -29,11 +30,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, slices
+from .common import Words, quoted, slices, unpacked
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -128,8 +130,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((top @ self.out + self.out_bias).astype(np.float64), -30, 30)))
 
 
+@dataclass
+class Gradients:
+    """Slopes of the mean weighted loss: of ``Model.params`` and of the embedding rows ``numbers``."""
+
+    params: list[np.ndarray]
+    numbers: np.ndarray
+    embedding: np.ndarray
+
+
+def gradients(model: Model, buckets: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> Gradients:
+    """A filter's gradient flows to its maximum alone."""
+    rows, at, windows = model.layout(buckets, first)
+    x, y, top = model.maxima(rows, at, windows)
+    z = top + model.bias
+    h = np.maximum(z, 0)
+    score = 1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30)))
+    g = ((score - labels) * weight / len(labels)).astype(np.float32)
+    g_z = (g[:, None] * model.out) * (z > 0)
+    where = np.empty(top.shape, np.int64)
+    for i in range(len(labels)):
+        where[i] = at[i] + y[at[i] : at[i] + windows[i]].argmax(axis=0)
+    g_filters = [np.zeros_like(f) for f in model.filters]
+    touched, flows = [], []
+    for w, f in enumerate(model.filters):
+        span = slice(w * FILTERS, (w + 1) * FILTERS)
+        for j in range(len(f)):
+            g_filters[w][j] = np.einsum("nfd,nf->df", x[where[:, span] + j], g_z[:, span])
+            flow = g_z[:, span, None] * f[j].T[None]
+            touched.append((where[:, span] + j).ravel())
+            flows.append(flow.reshape(-1, DIM))
+    numbers, place = np.unique(rows[np.concatenate(touched)].ravel(), return_inverse=True)
+    grad = np.zeros((len(numbers), DIM), np.float32)
+    np.add.at(grad, place, np.repeat(np.concatenate(flows), 3, axis=0))
+    keep = numbers < 3 * BUCKETS
+    return Gradients([*g_filters, g_z.sum(0), h.T @ g, g.sum(keepdims=True)], numbers[keep], grad[keep])
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Fit by Adam on the logistic loss; a filter's gradient flows to its maximum alone."""
+    """Fit by Adam on the logistic loss."""
     model, rng = Model.new(seed), np.random.default_rng(seed)
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))
     share = labels.mean()
@@ -146,37 +185,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             own = order[a : a + BATCH]
             cut = np.concatenate([buckets[first[i] : first[i + 1]] for i in own])
             starts = np.concatenate([[0], np.cumsum(first[own + 1] - first[own])])
-            rows, at, windows = model.layout(cut, starts)
-            x, y, top = model.maxima(rows, at, windows)
-            z = top + model.bias
-            h = np.maximum(z, 0)
-            score = 1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30)))
-            g = ((score - labels[own]) * weight[own] / len(own)).astype(np.float32)
-            g_z = (g[:, None] * model.out) * (z > 0)
-            where = np.empty(top.shape, np.int64)
-            for i in range(len(own)):
-                where[i] = at[i] + y[at[i] : at[i] + windows[i]].argmax(axis=0)
-            g_filters = [np.zeros_like(f) for f in model.filters]
-            touched, flows = [], []
-            for w, f in enumerate(model.filters):
-                span = slice(w * FILTERS, (w + 1) * FILTERS)
-                for j in range(len(f)):
-                    met = x[where[:, span] + j]
-                    g_filters[w][j] = np.einsum("nfd,nf->df", met, g_z[:, span])
-                    flow = g_z[:, span, None] * f[j].T[None]
-                    touched.append((where[:, span] + j).ravel())
-                    flows.append(flow.reshape(-1, DIM))
+            found = gradients(model, cut, starts, labels[own], weight[own])
             step += 1
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for p, d, (m, v) in zip(model.params(), [*g_filters, g_z.sum(0), h.T @ g, g.sum(keepdims=True)], moments, strict=True):
+            for p, d, (m, v) in zip(model.params(), found.params, moments, strict=True):
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
                 p -= rate * fix * m / (np.sqrt(v) + 1e-8)
-            numbers, place = np.unique(rows[np.concatenate(touched)].ravel(), return_inverse=True)
-            grad = np.zeros((len(numbers), DIM), np.float32)
-            np.add.at(grad, place, np.repeat(np.concatenate(flows), 3, axis=0))
-            keep = numbers < 3 * BUCKETS
-            numbers, grad = numbers[keep], grad[keep]
+            numbers, grad = found.numbers, found.embedding
             met_buckets[numbers] = True
             m_e[numbers] += 0.1 * (grad - m_e[numbers])
             v_e[numbers] += 0.001 * (grad * grad - v_e[numbers])
@@ -234,10 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_cha
     """Train on a bounded sample of the labelled rows that are not held out, calibrate on all others of them."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("mixed", F.xxhash64("doc_id"))
-    sample = [known.where(known["toxic"] == k).orderBy("mixed", "doc_id").limit(per_class) for k in (0, 1)]
-    ids = F.broadcast(sample[0].unionByName(sample[1]))  # at most 2 * per_class rows
-    own = docs.select("doc_id", "text", "lang").where(F.length(F.coalesce("text", F.lit(""))) <= most_chars)
-    rows = own.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "toxic", "mixed").collect()
+    # lengths come before the limit, so that long texts don't shrink the sample
+    own = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars")).where(F.col("chars") <= most_chars).groupBy("doc_id").agg(F.min("chars").alias("chars"))
+    short = known.join(own, "doc_id")
+    sample = [short.where(short["toxic"] == k).orderBy("mixed", "doc_id").limit(per_class) for k in (0, 1)]
+    ids = F.broadcast(sample[0].unionByName(sample[1]).select("doc_id", "toxic", "mixed"))  # at most 2 * per_class rows
+    texts = docs.select("doc_id", "text", "lang").where(F.length(F.coalesce("text", F.lit(""))) <= most_chars)
+    rows = texts.join(ids, "doc_id").groupBy("doc_id", "toxic", "mixed").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "t.*", "toxic", "mixed").collect()
     rows.sort(key=lambda r: (r.mixed, r.toxic))
     labels_of = np.array([r.toxic for r in rows], np.float32)
     if len(set(labels_of)) < 2:
@@ -274,23 +293,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_cha
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, and ``toxic_verdict`` by the threshold of the row's language."""
-    spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("score", "toxic_verdict")]
-    shared = spark.sparkContext.broadcast(model)
-    plain = docs.select(*kept)
+    names = [c for c in docs.columns if c not in ("score", "toxic_verdict")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.select(F.struct(*[quoted(c).alias(c) for c in names]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                scores = shared.value.scores(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
+            rows = batch.column(0)
+            for part in slices(pa.RecordBatch.from_arrays([rows, pc.struct_field(rows, "text")], names=["row", "text"]), "text", 2 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(shared.value.scores(part.column("text")), pa.float64())], names=["row", "score"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     limits = F.when(F.lit(False), F.lit(model.threshold))
     for lang, value in sorted(model.thresholds.items()):
-        limits = limits.when(F.col("lang") == lang, F.lit(value))
+        limits = limits.when(F.col("row").getField("lang") == lang, F.lit(value))
     limits = limits.otherwise(F.lit(model.threshold))
-    return plain.mapInArrow(run, schema).withColumn("toxic_verdict", F.col("score") >= limits)
+    return plain.mapInArrow(run, schema).select(*unpacked(F.col("row"), names), "score", (F.col("score") >= limits).alias("toxic_verdict"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
