@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -87,3 +87,52 @@ def test_packed_pieces_spell_the_mix(stages):
 
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).select("doc_id", "start", "length").count() == stages[5].count()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, a int, b int, src string, __content string, __passages string, row int, slot int, `q``uote.d` int, n_words int, n_removed int, score string, nth int, content long, id string"
+
+
+def odd_rows():
+    long = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [
+        (1, long(1, 90)), (1, long(2, 60)), (2, long(1, 90)), (3, long(3, 50) + " " + long(1, 45)), (4, long(4, 30)), (4, long(4, 30)), (5, None), (6, ""), (7, " \n\t"),
+        (None, long(1, 90)), (None, long(5, 40)), (8, long(8, 170_000)), (9, "you idiot " * 20 + long(9, 20)), (10, long(3, 50)),
+    ]
+    return [(d, t, "en" if k % 3 else None, ("s", "t", None)[k % 3], len(t or ""), 1, 2, "z", "c", "p", 3, 4, 5, 6, 7, "x", 8, 9, "i") for k, (d, t) in enumerate(texts)]
+
+
+def labelled(spark, path):
+    rows = [(k, 0, k % 2) for k in range(100, 300)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{path}/labels.parquet")
+    return [(k, ("you idiot " if k % 2 else "kind ") + f"word w{k}", "en", "l", 20, 1, 2, "z", "c", "p", 3, 4, 5, 6, 7, "x", 8, 9, "i") for k in range(100, 300)]
+
+
+def test_every_stage_on_odd_rows(spark, tmp_path):
+    labels = labelled(spark, tmp_path)
+    first = spark.createDataFrame(odd_rows() + labels, ODD)
+    docs = first
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+        assert docs.dtypes == first.dtypes, name
+        told = docs.collect()
+        assert all((r["a"], r["b"], r["__content"], r["q`uote.d"], r["n_words"], r["content"]) == (1, 2, "c", 5, 6, 9) for r in told), name
+        ids = Counter(r.doc_id for r in told)
+        assert ids[8] >= 1 and ids[None] >= 2, name  # very long, and without an id
+        if name == "toxicity":
+            assert ids[9] == 0 and ids[1] == 2 and ids[6] == ids[5] == ids[7] == 1 and ids[4] == 2
+        if name == "near_duplicates":
+            assert ids[2] == 0 and ids[1] == 2 and ids[4] == 1 and ids[10] == 1 and ids[5] == 1
+        if name == "repeated_passages":
+            kept = {r.doc_id: r.text for r in told}
+            assert len(brute.words(kept[3])) == 50 and ids[10] == 0 and kept[5] is None and kept[6] == ""
+        if name == "source_mix":
+            assert ids[5] == ids[6] == ids[7] == 0
+    pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    assert sum(p.length for p in pieces) == sum(len(tokens.ids(r.text or "")) + 1 for r in docs.collect())
+
+
+def test_every_stage_on_an_empty_table(spark, tmp_path):
+    labelled(spark, tmp_path)
+    empty = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -291,3 +291,68 @@ def test_thresholds_use_all_labelled_rows(spark):
         model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), per_class=per_class)
         assert set(model.thresholds) == {"en", lang}
         assert df.join(toxicity.scored(df.drop("toxic"), model), "doc_id").where("toxic_verdict <> (toxic = 1)").count() == 0
+
+
+def numeric_gradient(model, texts, labels, weight, at, step=1e-3):
+    """The slope of the weighted loss in one parameter, by two evaluations of the plain forward pass."""
+    array, place = at
+    old, losses = array[place], []
+    for sign in (1, -1):
+        array[place] = old + sign * step
+        p = np.array([plain_score(model, t) for t in texts])
+        losses.append(-(weight * np.where(labels == 1, np.log(p), np.log(1 - p))).mean())
+    array[place] = old
+    return (losses[0] - losses[1]) / (2 * step)
+
+
+def plain_score(model, text):
+    """The classifier word by word: embeddings summed, filters over every window, maxima, a logistic unit."""
+    import pyarrow as pa
+
+    buckets, _ = toxicity.word_buckets(pa.array([text], pa.large_string()))
+    table, n = model.embedding.astype(float), toxicity.BUCKETS
+    x = [table[a] + table[n + b] + table[2 * n + c] for a, b, c in buckets] + [np.zeros(toxicity.DIM)] * toxicity.PAD
+    top = []
+    for f in model.filters:
+        found = [sum(x[i + j] @ f[j].astype(float) for j in range(len(f))) for i in range(len(buckets) + 1)]
+        top.append(np.max(found, axis=0))
+    z = np.maximum(np.concatenate(top) + model.bias, 0) @ model.out + model.out_bias[0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_classifier_against_a_plain_forward_pass():
+    import pyarrow as pa
+
+    model = toxicity.Model.new(3)
+    texts = ["", "one", "One two, (three) four's five", "a b c d e f g " * 30, " \n "]
+    assert np.allclose(model.scores(pa.array(texts)), [plain_score(model, t) for t in texts], atol=1e-5)
+
+
+def test_training_follows_the_numeric_gradient():
+    texts, labels = ["you bad thing", "a kind word here", "bad bad", "fine day today"], np.array([1, 0, 1, 0], np.float32)
+    model = toxicity.Model.new(5)
+    model.out_bias[0] = 0.2
+    weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    import pyarrow as pa
+
+    buckets, first = toxicity.word_buckets(pa.array(texts, pa.large_string()))
+    grads = toxicity.gradients(model, buckets, first, labels, weight)
+    for k, p in enumerate(model.params()):
+        for place in [np.unravel_index(i, p.shape) for i in range(0, p.size, max(1, p.size // 6))]:
+            assert grads.params[k][place] == pytest.approx(numeric_gradient(model, texts, labels, weight, (p, place)), abs=2e-4)
+    for row in grads.numbers[:6]:
+        at = int(np.flatnonzero(grads.numbers == row)[0])
+        assert grads.embedding[at][0] == pytest.approx(numeric_gradient(model, texts, labels, weight, (model.embedding, (int(row), 0))), abs=2e-4)
+
+
+def test_long_texts_do_not_shrink_the_sample(spark):
+    docs = [(k, ("you idiot " if k % 2 else "kind ") + "word " * (200 if k % 4 < 2 else 3), "en") for k in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    seen = []
+    train = toxicity.train
+    toxicity.train = lambda texts, labels: seen.append(texts) or train(texts, labels)
+    try:
+        toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), per_class=100, most_chars=100)
+    finally:
+        toxicity.train = train
+    assert 150 <= len(seen[0]) <= 200 and max(map(len, seen[0])) <= 100
