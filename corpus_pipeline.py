@@ -3,8 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
 returns a DataFrame, which ``run`` writes as Parquet to the shared folder and reads
 again as the next stage's docs. All stages but the last return the columns of
-``documents``. Column names of the operators' own that the documents also bear are
-the documents'.
+``documents``, further ones included: rows go through the stages as one struct, so no name of a column
+meets an operator's own.
+
+Defined cases, in every stage: a null text is an empty one; a null doc_id, source or language is kept and stands for no other one;
+very long texts are worked on whole; an empty table gives an empty table. What a stage does with empty texts, ties and
+repeated rows is told at the stage.
 """
 
 from __future__ import annotations
@@ -15,58 +19,75 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import mixing, neardup, packing, substring, toxicity
-from granary.llm.common import written
+from granary.llm.common import unpacked, whole, written
 from granary.llm.native import word_array
 
 #: A repeated passage has so many words at least.
 PASSAGE = 30
 
 
+def carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """Whole rows as ``row``, and the named columns beside it."""
+    return docs.select(whole(docs).alias("row"), *columns)
+
+
+def rows_of(carrying: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that ``carried`` packed."""
+    return carrying.select(*unpacked(F.col("row"), docs.columns))
+
+
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents over their language's toxicity threshold; learns from ``labels`` of rows that are not held out."""
+    """Without the documents over their language's toxicity threshold; learns from ``labels`` of rows that are not held out.
+
+    An empty text is scored as a text without words; a score equal to the threshold is toxic; rows that stand twice are judged alike.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).where(~F.col("toxic_verdict")).select(*docs.columns)
+    judged = toxicity.scored(carried(docs, "text", "lang"), model)
+    return rows_of(judged.where(~F.col("toxic_verdict")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest, of each component of 5-word shingle similarity 0.8 or more; rows without an id stay.
 
-    Of rows with one id and the same words one stays, the smallest text; other texts of that id stay, as their copies under other ids go.
+    Empty texts are near nothing and stay. Of rows with one id and the same words one stays, the smallest text; other texts of
+    that id stay, as their copies under other ids go. Texts that tie there are equal.
     """
-    gone = neardup.near_duplicates(docs, words_each=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id")
+    own = carried(docs, "doc_id", "text")
+    gone = neardup.near_duplicates(own.select("doc_id", "text"), words_each=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    left = own.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    twice = own.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
     words = word_array(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase))
     nth = F.row_number().over(Window.partitionBy("doc_id", F.array_join(words, " ")).orderBy("text"))
-    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns, nth.alias("__nth")).where("__nth = 1").select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    again = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return rows_of(left.join(twice, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(again), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the passages of ``PASSAGE`` words or more that a smaller document holds; documents left without words go.
 
-    A text that loses nothing stays as it is; the words left of another one are joined by one space.
+    A text that loses nothing, as an empty one, stays as it is; the words left of another one are joined by one space. Rows of one id
+    take nothing from each other.
     """
-    marked = substring.deduplicated(docs.select(*docs.columns), window=PASSAGE)
+    marked = substring.deduplicated(carried(docs, "doc_id", "text"), window=PASSAGE)
     changed = F.col("n_removed") > 0
-    left = marked.where(~changed | (F.col("n_removed") < F.col("n_words"))).withColumn("n_chars", F.when(changed, F.length("kept_words").cast("long")).otherwise(F.col("n_chars")))
-    return left.withColumn("text", F.when(changed, F.col("kept_words")).otherwise(F.col("text"))).select(*docs.columns)
+    left = marked.where(~changed | (F.col("n_removed") < F.col("n_words")))
+    new = {"text": F.col("kept_words"), "n_chars": F.length("kept_words").cast("long")}
+    return left.select(*[F.when(changed, new[c]).otherwise(x).alias(c) if c in new else x for c, x in zip(docs.columns, unpacked(F.col("row"), docs.columns), strict=True)])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each time a document is taken, whole or in part."""
-    _, pieces = mixing.mix(docs)
-    turns = pieces.groupBy("src", "bucket", "nth", "turn").agg(F.first("doc_id").alias("t_doc"), F.min("first").alias("a"), F.max("last").alias("b"))
-    once = docs.dropDuplicates(["doc_id", "source", "text"]).withColumn("__src", mixing.named(F.col("source")))
-    met = once.join(turns, once["doc_id"].eqNullSafe(turns["t_doc"]) & (once["__src"] == turns["src"]))
-    words = word_array(met["text"])
-    whole = (F.col("a") == 0) & (F.col("b") == F.size(words))
-    cut = met.withColumn("__text", F.when(whole, met["text"]).otherwise(F.array_join(F.slice(words, (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")), " ")))
-    return cut.select(*[F.col("__text").alias("text") if c == "text" else F.length("__text").cast("long").alias("n_chars") if c == "n_chars" else met[c] for c in docs.columns])
+    """The words that the mix takes: a row for each time a document is taken, whole or in part, each file in the schedule's order.
+
+    Empty texts are never taken; rows that stand twice, and texts of one id, are documents of their own.
+    """
+    return mixing.mixed_texts(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, with their ids, in sequences of at most 1024 tokens."""
+    """Pieces of documents, with their ids, in sequences of at most 1024 tokens.
+
+    An empty text is the end id alone; rows that stand twice are packed twice; ties go by the order of rows.
+    """
     return packing.pack(docs)
 
 
