@@ -11,19 +11,24 @@ link at the threshold escapes all bands with a probability under 1e-7.
    more than six standard deviations below the threshold; the others are verified on their
    whole sets, streamed past the smallest member's set. The links' components come next.
 3. Members of a bucket that are not yet in one component - other than its smallest, whose
-   pairs are done - are compared with each other in blocks: a block pair counts common
+   pairs are done - go through two sieves. In a bucket of more than ``BLOCK`` members, a document leaves
+   whose shingles that other components hold, too, are too few for any link (``linkable``); this is exact, and
+   pages of one template, all about as far from each other, go by it in linear time. Then
+   the registers are estimated block against block, and members without any promising partner leave.
+4. Only the texts of what is left are compared with each other in blocks of bounded size: a block pair counts common
    shingles by matrix products and returns only links that join two components.
-So every pair that shares a band is verified or already connected, no pairs are listed, and
-a group of copies costs its size. Only a group whose members are near each other, but
-unconnected, costs its size squared, in blocks of ``BLOCK``.
+So every pair that shares a band is estimated and verified, ruled out exactly or already connected, no pairs are listed, and
+a group of copies costs its size. Only groups of near, but unconnected, documents that pass both sieves cost their
+size squared, in blocks of ``BLOCK``.
 
 Plan: texts are shuffled once per stage of verification, and only rows of candidates go on.
-Groups of a common smallest member are salted by their size.
+Groups of a common smallest member are salted by their size; classes, and shingles that very many documents hold, are
+met as ``common.joined_evenly`` tells.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts of fewer words
-than a shingle are one shingle; rows that stand twice are in one class; rows with one id but
-different texts are one node; a null id links with nothing and is kept; an empty table gives no
-rows; further columns are ignored, whatever their names.
+than a shingle are one shingle; a very long text is one set, held whole while it is compared; rows that stand twice are in one class;
+rows with one id but different texts are one node; a null id links with nothing and is kept; of equal texts the smallest id
+stands; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, files_for, mix64, sequence_hashes, slices, window_hashes, written
+from .common import Words, files_for, joined_evenly, mix64, sequence_hashes, slices, window_hashes, written
 from .components import components
 
 U = np.uint64
@@ -45,6 +50,8 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 ROWS_IN_BAND = 4
 BLOCK = 1024
+#: Shingles of the whole sets in a block, about.
+BLOCK_SHINGLES = 4 << 20
 #: Members of a common smallest one that one task streams past it.
 SALT_EACH = 512
 COLUMNS = 4096
@@ -225,13 +232,122 @@ def links_in_block(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray,
     return out
 
 
-def cross_links(members: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """(x, y): links between members (key, doc_id, component) of one key in different components."""
-    mixed = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same")).where("a <> b")
-    once = mixed.groupBy("n", "same", "a", "b").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    own = members.join(once, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+def mixed_keys(members: DataFrame) -> DataFrame:
+    """The members (key, doc_id, component, ...) of keys whose members are in two components or more, equal groups of members once, with ``size``."""
+    of_key = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"))
+    once = of_key.where("a <> b").groupBy("size", "same", "a", "b").agg(F.min("key").alias("key")).select("key", "size")
+    return members.join(once, "key")
+
+
+def dealt(members: DataFrame, blocks: Column) -> DataFrame:
+    """(key, i, j, side, doc_id, component): every member in each pair of blocks that holds its own; ``side`` tells which of the two it is."""
+    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("i"), F.greatest(t, F.col("block")).alias("j"))))
-    units = own.select("key", "doc_id", "component", "block", pair.alias("p")).select("key", "doc_id", "component", "p.i", "p.j", (F.col("block") != F.col("p.i")).cast("int").alias("side"))
+    units = own.select("key", "doc_id", "component", "block", pair.alias("p"))
+    return units.select("key", "p.i", "p.j", (F.col("block") != F.col("p.i")).cast("int").alias("side"), "doc_id", "component")
+
+
+def linkable(members: DataFrame, texts: DataFrame, words_each: int, percent: int, files: int) -> DataFrame:
+    """``members`` without those that too few shingles of other components allow a link.
+
+    A link of sets of n and m shingles with o in common has o >= t * n. The shingles of a document that another component holds
+    are s at most; and if no member of the key shares more than a part r of its own, m >= o / r, so that the
+    similarity is at most s / (n - s + s / r).
+    """
+    nodes = members.groupBy("doc_id").agg(F.min("component").alias("component"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                sets = shingles(words, words_each)
+                sign, size = sequence_hashes(words, lower=True)[0], np.array([len(s) for s in sets], np.int64)
+                row = np.repeat(np.arange(len(sets)), size)
+                flat = np.concatenate(sets) if sets else np.zeros(0, U)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat.view(np.int64)), part.column("doc_id").take(at), part.column("component").take(at), pa.array(sign[row]), pa.array(size[row])], names=["h", "doc_id", "component", "sign", "n"]
+                )
+
+    held = texts.join(nodes, "doc_id").select("doc_id", "component", "text").mapInArrow(run, "h long, doc_id long, component long, sign long, n long")
+    common_to = held.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("rows")).where("a <> b").select("h", "rows")
+    common_to = written(common_to, "common", files)
+    met = joined_evenly(held, common_to, ["h"], "rows", common_to.agg(F.sum("rows")).first()[0] or 0, F.col("doc_id"))
+    able = met.groupBy("doc_id", "sign", "n").agg(F.count(F.lit(1)).alias("s")).where(100 * F.col("s") >= percent * F.col("n"))
+    able = written(able.select("doc_id", "n", "s", (F.col("s") / F.col("n")).alias("part")), "able", files)
+    parts = members.join(able, "doc_id")
+    most = parts.groupBy("key").agg(F.max("part").alias("r"), F.count(F.lit(1)).alias("rows"))
+    bounded = joined_evenly(parts, most, ["key"], "rows", parts.count(), F.col("doc_id"))
+    near = F.col("s") * 100 >= percent * (F.col("n") - F.col("s") + F.col("s") / F.col("r")) * (1 - 1e-9)
+    return bounded.where(near).select("key", "doc_id", "component").distinct()
+
+
+def near_in_block(registers: np.ndarray, sizes: np.ndarray, groups: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have a promising partner of another group: on the other side, or anywhere if one side is empty."""
+    left, right = (np.flatnonzero(side == k) for k in (0, 1))
+    if not len(left) or not len(right):
+        left = right = np.arange(len(sizes))
+    out = np.zeros(len(sizes), bool)
+    least = percent / 100
+    other = registers[right]
+    in_other = (other != EMPTY).astype(np.float32)
+    for a in range(0, len(left), 128):
+        rows = left[a : a + 128]
+        own = registers[rows]
+        both = (own != EMPTY).astype(np.float32) @ in_other.T
+        alike = np.zeros((len(rows), len(right)), np.float32)
+        for r in range(BUCKETS):
+            alike += (own[:, r][:, None] == other[:, r][None, :]) & (own[:, r] != EMPTY)[:, None]
+        used = (own != EMPTY).sum(axis=1)[:, None] + (other != EMPTY).sum(axis=1)[None, :] - both
+        n, m = sizes[rows][:, None].astype(np.float64), sizes[right][None, :].astype(np.float64)
+        ratio = n / m
+        chance = COLLISION * 2.0 ** (BUCKET_BITS - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
+        found = np.maximum(alike - chance, 0) / np.maximum(used, 1)
+        near = (found >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (groups[rows][:, None] != groups[right][None, :])
+        out[rows] |= near.any(axis=1)
+        out[right] |= near.any(axis=0)
+    return out
+
+
+def promising_members(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The members that have a partner of another component in their key which registers and sizes allow, by blocks of registers alone."""
+    units = dealt(members, F.ceil(F.col("size") / BLOCK)).join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
+    rows = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "doc_id", "component", "n_shingles", "registers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            unit = pa.Table.from_batches(held)
+            side, ids, groups, sizes = (unit.column(k).to_numpy() for k in ("side", "doc_id", "component", "n_shingles"))
+            registers = np.frombuffer(b"".join(unit.column("registers").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
+            near = near_in_block(registers, sizes, groups, side, percent)
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(near.sum()), at[0])), pa.array(ids[near]), pa.array(groups[near])], names=["key", "doc_id", "component"])
+
+        for batch in batches:
+            keys = [batch.column(k).to_numpy() for k in ("key", "i", "j")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if batch.num_rows else []
+            for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                unit = tuple(int(k[a]) for k in keys)
+                if unit != at and held:
+                    yield from done()
+                    held = []
+                at = unit
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from done()
+
+    return rows.mapInArrow(run, "key long, doc_id long, component long").distinct()
+
+
+def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """(x, y): links between members (key, doc_id, component) of one key in different components, by their whole sets."""
+    sets = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    loads = members.join(sets, "doc_id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("loads"))
+    units = dealt(members.join(loads, "key"), F.col("loads"))
     rows = units.join(texts, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id").select("key", "i", "j", "doc_id", "component", "side", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,26 +378,35 @@ def cross_links(members: DataFrame, texts: DataFrame, words_each: int, percent:
 
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (whether it is its component's smallest)."""
-    files = files_for(docs)
+    files = files_for(docs.select("doc_id", "text"))
     sketched = written(sketches(docs, words_each), "sketches", files)
     linked = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = linked.groupBy("one", "two").agg(F.min("doc_id").alias("rep"))
+    classes = written(linked.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes", files)
     firsts = classes.select(F.col("rep").alias("doc_id"), "one", "two")
     reps = written(linked.join(firsts, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]), "reps", files)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     banded = bands(reps)
-    leads = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("key", "lead")
-    members = written(banded.join(leads, "key").where("doc_id <> lead").distinct(), "members", files)
+    leads = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows")).where("lead <> last").select("key", "lead", "rows")
+    leads = written(leads, "leads", files)
+    met = joined_evenly(banded, leads, ["key"], "rows", leads.agg(F.sum("rows")).first()[0] or 0, F.col("doc_id"))
+    members = written(met.where("doc_id <> lead").distinct(), "members", files)
     candidates = members.select("lead", "doc_id").distinct()
     first = written(verified(promising(candidates, reps, percent), own, words_each, percent), "links", files)
     groups = written(components(first, files), "groups", files)
     named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    second = written(cross_links(named, own, words_each, percent), "links", files)
-    final = components(first.unionByName(second), files)
-    of_class = classes.join(final, classes["rep"] == final["node"], "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
+    apart = written(mixed_keys(named), "apart", files)
+    large = apart.where(F.col("size") > BLOCK).drop("size")
+    if large.limit(1).count():
+        sieved = written(linkable(large, own, words_each, percent, files), "linkable", files)
+        apart = apart.where(F.col("size") <= BLOCK).unionByName(mixed_keys(sieved))
+    near = written(promising_members(apart, reps, percent), "promising", files)
+    second = written(cross_links(near, reps, own, words_each, percent), "links", files)
+    final = written(components(first.unionByName(second), files), "components", files)
+    of_class = classes.join(final, classes["rep"] == final["node"], "left").select("one", "two", F.coalesce("component", "rep").alias("component"), "rows")
     of_doc = final.select(F.col("node").alias("doc_id"), F.col("component").alias("own_component"))
-    rows = sketched.select("doc_id", "one", "two", "n_shingles").join(of_class, ["one", "two"], "left").join(of_doc, "doc_id", "left")
+    listed = sketched.select("doc_id", "one", "two", "n_shingles")
+    rows = joined_evenly(listed, of_class, ["one", "two"], "rows", sketched.count(), F.col("doc_id"), keep="left").join(of_doc, "doc_id", "left")
     # a copy's component is its class's; an id that has links under another text stays with those
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.least(F.coalesce("component", "doc_id"), F.coalesce("own_component", "component", "doc_id")))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

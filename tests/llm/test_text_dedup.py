@@ -58,7 +58,7 @@ def near_rows(n, seed=0):
     return rows + [(900, "x " * 60_000), (901, "x x x")]
 
 
-@pytest.mark.parametrize("block,k,percent", [(1024, 3, 85), (16, 3, 85), (1024, 5, 80)])
+@pytest.mark.parametrize("block,k,percent", [(1024, 3, 85), (4, 3, 85), (4, 5, 80)])
 def test_components_against_brute_force(spark, monkeypatch, block, k, percent):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = near_rows(60)
@@ -144,3 +144,40 @@ def test_queries_over_whole_tables(spark, sf):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.op4_substring_dedup(spark, sf).collect()}
     assert got == {d: (n, m, hashlib.sha256(t.encode()).hexdigest()) for d, (n, m, t) in repeats.items()}
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.op7_near_duplicates(spark, sf).collect()} == near
+
+
+def template_rows(n, part, seed=4):
+    """Pages of one template, alike to each other, and a few pairs that are copies but for a word."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(200)]
+    own = int(200 * (1 - part) / 2)
+    rows = [(k, " ".join(base + [f"p{rng.random()}" for _ in range(own)])) for k in range(n)]
+    return rows + [(n + k, rows[k * 7][1] + " more") for k in range(5)]
+
+
+@pytest.mark.parametrize("part", [0.5, 0.75])
+def test_templates_leave_by_their_own_shingles(spark, monkeypatch, part):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = template_rows(60, part)
+    out = neardup.near_duplicates(frame(spark, rows), 5, 90).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == {(d, *x) for d, x in brute.near_components(rows, 5, 90).items()}
+
+
+def test_linkable_is_exact(spark):
+    rows = template_rows(40, 0.6) + [(200, "a b c d e f g h"), (201, "a b c d e f g h i")]
+    df = frame(spark, rows).select("doc_id", "text")
+    members = spark.createDataFrame([(k % 2, d, d) for d, _ in rows for k in (0, 1)], "key long, doc_id long, component long")
+    left = {r.doc_id for r in neardup.linkable(members, df, 3, 85, 16).collect()}
+    assert {0, 40, 7, 41, 200, 201} <= left and len(left) < 15  # pairs stay, lone pages go
+
+
+def test_near_in_block_finds_what_estimates_allow():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    sets = [base, np.union1d(base[10:], base[:5]), np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64)), base]
+    registers = np.stack([neardup.registers(s) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    side = np.zeros(4, int)
+    assert neardup.near_in_block(registers, sizes, np.array([0, 1, 2, 0]), side, 85).tolist() == [True, True, False, True]
+    assert neardup.near_in_block(registers, sizes, np.array([0, 0, 2, 0]), side, 85).tolist() == [False] * 4
+    assert neardup.near_in_block(registers, sizes, np.array([0, 1, 2, 3]), np.array([0, 0, 0, 1]), 85).tolist() == [True, True, False, True]
