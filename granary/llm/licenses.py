@@ -1,22 +1,23 @@
 """Licence scans in DataFrame functions only: TF-IDF cosine to templates, then inheritance by directory.
 
-Every line of a file is a unit, and so is the whole text of a licence file. Terms are lower-case
-runs of letters, digits and inner dots. A term's weight is its count times its idf,
-ln((1 + N) / (1 + df)) + 1, with df and N counted over all files; terms outside the templates'
-vocabulary, whose df is not counted, weigh as a term of no file. A unit's licence is the template of
+Every line of a file is a unit, so is every block of lines that lines without letters or digits set apart (a comment
+header, a paragraph), and so is the whole text of a licence file. Terms are lower-case
+runs of letters, digits and inner dots, so comment marks don't count. A term's weight is its count times its idf,
+ln((1 + N) / (1 + df)) + 1, with df and N counted over all files, for all terms. A unit's licence is that of the template of
 the highest cosine if that is ``LEAST`` or more, a file's own licence that of its best unit.
 A file without one inherits from the nearest ancestor directory that holds a licence file
 with a licence.
 
-Plan: df comes from one pass that keeps only the templates' terms (the result is as large as the
-vocabulary, which is fixed). With the weights known, each template has terms without which no unit
-can reach ``LEAST`` - the rest of its terms are too light - so a second pass sends on only lines that
-hold one of them; this loses no unit. Their terms are counted by partial sums, and texts are never
+Plan: df is counted in one pass, by partial sums, and written, one row per term. With the templates' weights known, each
+template has terms without which no unit can reach ``LEAST`` - the rest of its terms are too light - so a second pass sends
+on only units that hold one of them; this loses no unit. Their terms are counted by partial sums and met by their df, terms
+that very many units hold as ``common.joined_evenly`` tells; templates, a fixed table, are broadcast. Texts are never
 shuffled. Inheritance is resolved once for each distinct directory by an equi-join of its ancestors
 with the licence directories.
 
-Defined cases: a null text has no units; a null path has no directory and inherits nothing, a null key finds no licence; rows that
-stand twice each return a row, as their counts scale and their cosines stay; ties go to the earlier
+Defined cases: null and empty texts have no units; a very long text without blank lines is one block; a null path has no directory
+and inherits nothing, a null key is a key of its own; rows that stand twice each return a row, as their counts scale and their
+cosines stay, and different texts of one key are judged apart; ties go to the earlier
 template, and among licence files of a directory to the better score, then the smaller path; an
 empty table gives no rows; further columns are ignored, whatever their names.
 """
@@ -30,16 +31,12 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names and short headers of common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+from .common import joined_evenly, written
+from .licence_texts import TEMPLATES
+
+Templates = tuple[tuple[str, str], ...]
+#: What sets blocks of lines apart.
+BETWEEN = "\n[^A-Za-z0-9]*\n"
 #: Names of licence files.
 LICENCE_FILES = ("LICENSE", "LICENCE", "COPYING")
 LEAST = 0.7
@@ -55,14 +52,9 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(flat, " "), lambda t: t != "")
 
 
-def weigh(files: DataFrame, templates: dict[str, str]) -> tuple[dict[str, float], float]:
-    """(idf of the templates' terms, idf of every other term)."""
-    vocabulary = sorted({t for x in templates.values() for t in plain_terms(x)})
-    n = files.count()
-    own = F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))
-    df = {r.term: r["count"] for r in files.select(F.explode(own).alias("term")).groupBy("term").count().collect()}
-    idf = lambda d: math.log((1 + n) / (1 + d)) + 1
-    return {t: idf(df.get(t, 0)) for t in vocabulary}, idf(0)
+def frequencies(files: DataFrame) -> DataFrame:
+    """(term, df): in how many of the files each term stands."""
+    return files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def needed(template: str, idf: dict[str, float], least: float) -> list[str]:
@@ -79,38 +71,52 @@ def is_licence_file(path: Column) -> Column:
     return F.upper(F.regexp_extract(F.coalesce(path, F.lit("")), "([^/.]*)(\\.[^/]*)?$", 1)).isin(*LICENCE_FILES)
 
 
-def own_licences(files: DataFrame, templates: dict[str, str], least: float = LEAST) -> DataFrame:
-    """(key, own_score, own_license) of the files (key, path, text) that have a licence of their own."""
-    idf, other = weigh(files, templates)
-    must = sorted({t for x in templates.values() for t in needed(x, idf, least)})
-    holds = "(^|[^a-z0-9.])(" + "|".join(re.escape(t) for t in must) + ")($|[^a-z0-9])"
-    text = F.coalesce("text", F.lit(""))
-    units = F.concat(F.split(text, "\n"), F.when(is_licence_file(F.col("path")), F.array(text)).otherwise(F.array().cast("array<string>")))
-    lines = files.where(F.lower(text).rlike(holds)).select("key", F.posexplode(units).alias("unit", "line")).where(F.lower("line").rlike(holds))
-    counted = lines.select("key", "unit", F.explode(terms(F.col("line"))).alias("term")).groupBy("key", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    pairs = lambda d: F.create_map(*[F.lit(x) for t, w in sorted(d.items()) for x in (t, w)])
-    weighed = counted.withColumn("w", F.col("tf") * F.coalesce(F.element_at(pairs(idf), F.col("term")), F.lit(other)))
-    vectors = {name: {t: c * idf[t] for t, c in Counter(plain_terms(x)).items()} for name, x in templates.items()}
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    cosines = [
-        (F.sum(F.col("w") * F.coalesce(F.element_at(pairs(v), F.col("term")), F.lit(0.0))) / (norm * math.sqrt(sum(w * w for w in v.values())))).alias(f"c{k}")
-        for k, v in enumerate(vectors.values())
-    ]
-    scored = weighed.groupBy("key", "unit").agg(*cosines)
-    best = F.greatest(*[F.struct(F.round(f"c{k}", 6).alias("score"), F.lit(-k).alias("k")) for k in range(len(vectors))])
-    found = scored.select("key", best.alias("best")).where(F.col("best.score") >= least).groupBy("key").agg(F.max("best").alias("best"))
-    name = F.element_at(F.array(*map(F.lit, vectors)), (1 - F.col("best.k")).cast("int"))
-    return found.select("key", F.col("best.score").alias("own_score"), name.alias("own_license"))
+def units(text: Column, path: Column) -> Column:
+    """The lines of a text, its blocks of several lines, and all of it if it is a licence file; empty ones are left out."""
+    t = F.coalesce(text, F.lit(""))
+    blocks = F.filter(F.split(t, BETWEEN), lambda b: F.contains(F.btrim(b, F.lit("\n")), F.lit("\n")))
+    whole = F.when(is_licence_file(path), F.array(t)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(F.split(t, "\n"), blocks, whole), lambda u: u != "")
+
+
+def own_licences(files: DataFrame, templates: Templates, least: float = LEAST) -> DataFrame:
+    """(key, content, own_score, own_license) of the files (key, path, text, content) that have a licence of their own."""
+    spark = files.sparkSession
+    n = files.count()
+    df = written(frequencies(files), "frequencies")
+    vocabulary = sorted({t for _, x in templates for t in plain_terms(x)})
+    known = {r.term: r.df for r in df.where(F.col("term").isin(vocabulary)).collect()}  # as large as the templates
+    idf = {t: math.log((1 + n) / (1 + known.get(t, 0))) + 1 for t in vocabulary}
+    must = sorted({t for _, x in templates for t in needed(x, idf, least)})
+    each = files.select("key", "content", F.posexplode(units(F.col("text"), F.col("path"))).alias("unit", "line"))
+    held = each.select("key", "content", "unit", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", F.array(*map(F.lit, must))))
+    counted = written(held.select("key", "content", "unit", F.explode("terms").alias("term")).groupBy("key", "content", "unit", "term").agg(F.count(F.lit(1)).alias("tf")), "counted")
+    met = counted.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(df, "term")
+    weighed = joined_evenly(counted, written(met, "met"), ["term"], "rows", counted.count(), F.struct("key", "unit"))
+    weighed = weighed.withColumn("w", F.col("tf") * (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1))
+    vectors = [{t: c * idf[t] for t, c in Counter(plain_terms(x)).items()} for _, x in templates]
+    norms = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    table = F.broadcast(spark.createDataFrame([(t, k, w / norms[k]) for k, v in enumerate(vectors) for t, w in sorted(v.items())], "term string, k int, v double"))
+    unit = ["key", "content", "unit"]
+    of_unit = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).select(F.col("key").alias("u_key"), F.col("content").alias("u_content"), F.col("unit").alias("u_unit"), "norm")
+    dots = weighed.join(table, "term").groupBy(*unit, "k").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(of_unit, F.col("key").eqNullSafe(F.col("u_key")) & (F.col("content") == F.col("u_content")) & (F.col("unit") == F.col("u_unit")))
+    scored = scored.select("key", "content", F.struct(F.round(F.col("dot") / F.col("norm"), 6).alias("score"), (-F.col("k")).alias("k")).alias("best"))
+    found = scored.where(F.col("best.score") >= least).groupBy("key", "content").agg(F.max("best").alias("best"))
+    name = F.element_at(F.array(*[F.lit(name) for name, _ in templates]), (1 - F.col("best.k")).cast("int"))
+    return found.select("key", "content", F.col("best.score").alias("own_score"), name.alias("own_license"))
 
 
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: Templates = TEMPLATES, least: float = LEAST) -> DataFrame:
     """``files`` has key, path and text; returns key, path, own and inherited licence, and the one that holds."""
-    own = own_licences(files, templates or TEMPLATES, least)
-    listed = files.select("key", "path", parent(F.col("path")).alias("dir"), is_licence_file(F.col("path")).alias("is_file")).join(own, "key", "left")
+    files = files.select("key", "path", "text", F.xxhash64("path", "text").alias("content"))
+    own = own_licences(files, templates, least).select(F.col("key").alias("o_key"), F.col("content").alias("o_content"), "own_score", "own_license")
+    listed = files.select("key", "path", "content", parent(F.col("path")).alias("dir"), is_licence_file(F.col("path")).alias("is_file"))
+    listed = listed.join(own, F.col("key").eqNullSafe(F.col("o_key")) & (F.col("content") == F.col("o_content")), "left")
     given = listed.where(F.col("is_file") & F.col("own_license").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("g"))
     given = given.select(F.col("dir").alias("ancestor"), F.col("g.own_license").alias("inherited_license"), F.col("g.path").alias("inherited_from"))
     dirs = listed.where(F.col("dir").isNotNull()).select("dir").distinct()
@@ -140,7 +146,7 @@ def _sql() -> str:
     def split(column: str) -> str:
         return rf"[t FOR t IN string_split(regexp_replace(regexp_replace(lower({column}), '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', '\1', 'g'), ' ') IF t <> '']"
 
-    rows = ", ".join(f"({k}, '{name}', '{t}', CAST({c} AS DOUBLE))" for k, (name, x) in enumerate(TEMPLATES.items()) for t, c in sorted(Counter(plain_terms(x)).items()))
+    rows = ", ".join(f"({k}, '{name}', '{t}', CAST({c} AS DOUBLE))" for k, (name, x) in enumerate(TEMPLATES) for t, c in sorted(Counter(plain_terms(x)).items()))
     return rf"""
 WITH files AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -148,18 +154,16 @@ WITH files AS (
     doc_id % 50 = 0 AS is_file, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name
   FROM documents),
 template(k, license, term, n) AS (VALUES {rows}),
-df AS (
-  SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({split("text")}) AS term FROM files) WHERE term IN (SELECT term FROM template) GROUP BY term),
-idf AS (
-  SELECT term, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM template) LEFT JOIN df USING (term)),
-tw AS (SELECT k, license, term, n * idf AS w FROM template JOIN idf USING (term)),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({split("text")}) AS term FROM files) GROUP BY term),
+total AS (SELECT count(*) AS n FROM files),
+tw AS (SELECT k, license, template.term, template.n * (ln((1 + total.n) / (1 + coalesce(df, 0))) + 1) AS w FROM template LEFT JOIN df USING (term), total),
 tn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM tw GROUP BY k),
 units AS (
   SELECT doc_id, i, l[i] AS line FROM (
     SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
-      SELECT doc_id, string_split(text, chr(10)) || CASE WHEN is_file THEN [text] ELSE [] END AS l FROM files))),
+      SELECT doc_id, string_split(text, chr(10)) || [b FOR b IN string_split_regex(text, '\n[^A-Za-z0-9]*\n') IF contains(trim(b, chr(10)), chr(10))] || CASE WHEN is_file THEN [text] ELSE [] END AS l FROM files))),
 tf AS (SELECT doc_id, i, term, count(*) AS tf FROM (SELECT doc_id, i, unnest({split("line")}) AS term FROM units) GROUP BY ALL),
-uw AS (SELECT doc_id, i, term, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM files)) + 1) AS w FROM tf LEFT JOIN idf USING (term)),
+uw AS (SELECT doc_id, i, term, tf * (ln((1 + total.n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), total),
 un AS (SELECT doc_id, i, sqrt(sum(w * w)) AS norm FROM uw GROUP BY ALL),
 cos AS (
   SELECT doc_id, k, license, round(sum(uw.w * tw.w) / any_value(un.norm * tn.norm), 6) AS score

@@ -2,19 +2,18 @@
 
 Every line of a text is normalised (lower case, digits to 0, runs of blanks to
 one space, ends trimmed) and hashed. Per host, the distinct documents that hold
-a line are counted; lines held by more than ``max(max_docs, max_share * documents
-of the host)`` documents are boilerplate and are removed. A document that keeps
+a line are counted; a line that more than ``max_docs`` documents hold and more than
+``max_share`` of the host's documents, or more than ``most_docs`` in any host, is boilerplate and is removed. A document that keeps
 less than ``least_left`` of its words is depleted and rejected.
 
-Plan: the texts are never shuffled. One row per line goes through a distinct
-(so a row that stands twice counts once), counts are summed before they are
-shuffled, and the frequent lines - at most all lines divided by ``max_docs`` -
-are joined back by (host, line), which adaptive execution splits where one line
-is hot.
+Plan: the texts are never shuffled. A first pass counts (host, line, document) as three hashes,
+summed before they are shuffled. A second one meets the lines with the frequent ones - at most all lines divided by
+``max_docs`` -, which are broadcast where there are ``BROADCAST_ROWS`` of them at most, and met by a join dealt by
+``common.joined_evenly`` beyond; only removed lines are shuffled, as ids and counts.
 
-Defined cases: a null text has no words or lines and fails the base rules; a null
-host is a host of its own; rows that are wholly equal count as one document but
-each returns a row; an empty table returns no rows; further columns of the input,
+Defined cases: null and empty texts have no words or lines and fail the base rules; a very long text is many lines; a null
+host is a host of its own; a null doc_id is a document of its own for each text; rows that are wholly equal count as one document but
+each returns a row; a count equal to a limit is under it; an empty table returns no rows; further columns of the input,
 whatever their names, are ignored by ``line_rules`` and kept by ``clean_lines``.
 """
 
@@ -23,12 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import joined_evenly, unpacked, whole, written
 from .native import let, word_array
 
 SYMBOLS = "#*$%&|<>"
 MAX_DOCS = 20
 MAX_SHARE = 0.005
+#: More documents than this make a line boilerplate in a host of any size, or a hot host would be judged ever more loosely.
+MOST_DOCS = 1000
 LEAST_LEFT = 0.3
+#: Frequent lines, of 16 bytes, that are broadcast at most.
+BROADCAST_ROWS = 1 << 18
 _BLANKS = " \t\x0b\f\r"
 
 
@@ -89,38 +93,40 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
 
 
-def _host(source: Column) -> Column:
-    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, host, content, other): host and content as hashes; ``other`` tells documents without an id apart."""
+    host = F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))
+    return docs.select("doc_id", "text", host.alias("host"), F.xxhash64("source", "text").alias("content")).withColumn("other", F.when(F.col("doc_id").isNull(), F.col("content")))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", _host(F.col("source")).alias("host"), F.xxhash64("source", "text").alias("content"))
+def _lines(keyed: DataFrame) -> DataFrame:
+    """(host, doc_id, other, content, place, line, words) of every line that is not blank."""
+    each = keyed.select("host", "doc_id", "other", "content", F.posexplode(normal_lines(F.col("text"))).alias("place", "line")).where(F.col("line") != "")
+    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return each.select("host", "doc_id", "other", "content", "place", F.xxhash64("line").alias("line"), words.alias("words"))
 
 
-def frequent_in(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_in(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, most_docs: int = MOST_DOCS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, content, line, words, place) of every line that is removed from its document."""
     keyed = _keyed(docs)
-    lines = (
-        keyed.select("host", "doc_id", "content", F.posexplode(normal_lines(F.col("text"))).alias("place", "line"))
-        .where(F.col("line") != "")
-        .select("host", "doc_id", "content", "place", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"))
-        .distinct()
-    )
-    hosts = keyed.groupBy("host").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("host_docs"))
-    counts = lines.groupBy("host", "line").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("line_docs"))
-    frequent = (
-        counts.where(F.col("line_docs") > max_docs)
-        .join(hosts, "host")
-        .where(F.col("line_docs") > F.greatest(F.lit(float(max_docs)), F.col("host_docs") * F.lit(max_share)))
-        .select("host", "line")
-    )
-    return lines.join(frequent, ["host", "line"]).select("doc_id", "content", "line", "words", "place")
-
-
-def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    hosts = keyed.select("host", "doc_id", "other").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    counts = _lines(keyed).select("host", "line", "doc_id", "other").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs"))
+    limit = F.least(F.greatest(F.lit(float(max_docs)), F.col("host_docs") * F.lit(max_share)), F.lit(float(most_docs)))
+    frequent = counts.where(F.col("line_docs") > min(max_docs, most_docs)).join(hosts, "host").where(F.col("line_docs") > limit)
+    frequent = written(frequent.select("host", "line", "line_docs"), "frequent")
+    n, rows = frequent.agg(F.count(F.lit(1)), F.sum("line_docs")).first()
+    lines = _lines(keyed)
+    if n <= broadcast_rows:
+        gone = lines.join(F.broadcast(frequent.select("host", "line")), ["host", "line"])
+    else:
+        gone = joined_evenly(lines, frequent, ["host", "line"], "line_docs", rows, F.struct("doc_id", "place"))
+    return gone.select("doc_id", "content", "line", "words", "place").distinct()
+
+
+def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT, most_docs: int = MOST_DOCS) -> DataFrame:
     """One row per input row: base counts, what line frequency removes, and the verdicts."""
     removed = (
-        frequent_in(docs, max_docs, max_share)
+        frequent_in(docs, max_docs, max_share, most_docs)
         .groupBy(F.col("doc_id").alias("r_doc"), F.col("content").alias("r_content"))
         .agg(F.sum("words").alias("removed_words"), F.count(F.lit(1)).alias("removed_lines"))
     )
@@ -136,17 +142,19 @@ def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX
     )
 
 
-def clean_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def clean_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
     """The documents with their frequent lines taken out of ``text``; all columns stay."""
     gone = (
-        frequent_in(docs, max_docs, max_share)
-        .groupBy(F.col("doc_id").alias("__gone_doc"), F.col("content").alias("__gone_content"))
-        .agg(F.sort_array(F.collect_list("place")).alias("__gone"))
+        frequent_in(docs, max_docs, max_share, most_docs)
+        .groupBy(F.col("doc_id").alias("gone_doc"), F.col("content").alias("gone_content"))
+        .agg(F.sort_array(F.collect_list("place")).alias("gone"))
     )
-    keyed = docs.withColumn("__content", F.xxhash64("source", "text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__gone_doc"]) & (keyed["__content"] == gone["__gone_content"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    own = docs.select(whole(docs).alias("row"), "doc_id", F.xxhash64("source", "text").alias("content"))
+    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("content") == F.col("gone_content")), "left")
+    text = F.col("row").getField("text")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(left).alias("text")
+    return joined.select(*[cleaned if c == "text" else x for c, x in zip(docs.columns, unpacked(F.col("row"), docs.columns), strict=True)])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +185,7 @@ lines AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words F
 hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM keyed GROUP BY host),
 frequent AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS line_docs FROM lines GROUP BY host, line) JOIN hosts USING (host)
-  WHERE line_docs > greatest({MAX_DOCS}, host_docs * {MAX_SHARE})),
+  WHERE line_docs > least(greatest({MAX_DOCS}, host_docs * {MAX_SHARE}), {MOST_DOCS})),
 removed AS (
   SELECT doc_id, sum(words) AS removed_words, count(*) AS removed_lines FROM lines JOIN frequent USING (host, line) GROUP BY doc_id),
 stats AS (

@@ -39,6 +39,18 @@ def test_base_counts_against_brute_force(spark):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
+def test_lines_by_join_null_ids_and_the_ceiling(spark):
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, f"Menu\n{body(k)}", "a") for k in range(15)] + [(-1, f"Menu\n{body(99)}", "a")] + [(None, f"Menu\n{body(0)}", "a")]
+    df = spark.createDataFrame([(*r, "keep", 1, 2) for r in rows], "doc_id long, text string, source string, `__content` string, `gone` int, `q``d.e` int")
+    for more in (1 << 18, 0):
+        assert {r.line for r in quality.frequent_in(df, max_docs=15, broadcast_rows=more).select("line").collect()} and not quality.frequent_in(df, max_docs=16, broadcast_rows=more).count()
+    out = quality.clean_lines(df, max_docs=15)
+    assert out.columns == df.columns and {r["__content"] for r in out.collect()} == {"keep"} and {r.text for r in out.collect()} == {body(k) for k in (*range(15), 99)}
+    assert quality.clean_lines(df, max_docs=15, max_share=2.0).where("text LIKE 'Menu%'").count() == len(rows)
+    assert quality.clean_lines(df, max_docs=15, max_share=2.0, most_docs=10).where("text LIKE 'Menu%'").count() == 0
+
+
 def test_frequent_lines_go_and_depleted_documents_fail(spark):
     body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(k, f"Menu  {k % 10}\n{body(k)}", "a") for k in range(30)]  # the menu line is frequent, its digit is 0 once normalised

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,17 +228,60 @@ def test_licences_by_hand(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
     rows = [
         (1, "p/LICENSE", f"some words\n{mit}\n"), (2, "p/a/b/x.txt", "words"), (3, "p/a/COPYING.md", apache), (4, "p/a/b/y.txt", f"words\n  {apache.upper()}"),
-        (5, "q/x.txt", None), (6, "pq/x.txt", "the under"), (7, None, mit), (8, "p/a/b/x.txt", "under the license " * 30_000), (9, "LICENSE", mit), (9, "LICENSE", mit),
+        (5, "q/x.txt", None), (6, "pq/x.txt", "the under"), (7, None, mit), (8, "p/a/b/x.txt", "under the license " * 30_000), (9, "LICENSE", mit), (9, "LICENSE", mit), (None, "s/x.txt", mit), (10, "s/y.txt", mit), (10, "s/z.txt", "words"),
     ]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "key long, path string, text string, own_score double")
     out = licenses.scan(df).collect()
     got = {r.key: (r.own_license, r.inherited_license, r.inherited_from, r.license) for r in out}
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and got[None][0] == "MIT" and sorted(str(r.own_license) for r in out if r.key == 10) == ["MIT", "None"]
     assert got[2] == (None, "Apache-2.0", "p/a/COPYING.md", "Apache-2.0") and got[4][0] == got[4][3] == "Apache-2.0"
     assert got[1][0] == "MIT" and got[5] == (None, "MIT", "LICENSE", "MIT") and got[6][1] == "MIT" and got[7] == ("MIT", None, None, "MIT")
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def plain_licences(files):
+    """{key: (licence, score)} by the rule itself: every unit against every template."""
+    n, split = len(files), lambda t: [x for x in licenses.plain_terms(t) if x]
+    df = Counter(t for _, _, text in files for t in set(split(text or "")))
+    idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1
+    vector = lambda text: {t: c * idf(t) for t, c in Counter(split(text)).items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    out = {}
+    for key, path, text in files:
+        text, best = text or "", (0, 0)
+        blocks = [b for b in re.split(licenses.BETWEEN, text) if "\n" in b.strip("\n")]
+        for unit in [*text.split("\n"), *blocks, *([text] if path.rpartition("/")[2].split(".")[0].upper() in licenses.LICENCE_FILES else [])]:
+            v = vector(unit)
+            for k, (_, template) in enumerate(licenses.TEMPLATES if v else ()):
+                w = vector(template)
+                score = round(sum(x * w.get(t, 0) for t, x in v.items()) / norm(v) / norm(w), 6)
+                best = max(best, (score, -k))
+        out[key] = (licenses.TEMPLATES[-best[1]][0], best[0]) if best[0] >= licenses.LEAST else (None, None)
+    return out
+
+
+#: Licence notices as they stand in files, wrapped and commented.
+IN_FILES = {
+    "MIT": "Copyright (c) 2020 Some Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n",
+    "Apache-2.0": "# Copyright 2019 Some Body\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.\n\nimport os\n",
+    "GPL-3.0": "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU General Public License for more details.\n */\nint main;\n",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.\n",
+}
+
+
+def test_licences_as_they_stand_in_files(spark):
+    rng = np.random.default_rng(0)
+    words = [f"w{k}" for k in range(300)] + ["the", "of", "software", "license", "and", "is", "this"]
+    files = [(k, f"p/{k}/x.txt", "\n".join(" ".join(rng.choice(words, 9)) for _ in range(6))) for k in range(200)]
+    files += [(1000 + k, f"q/{k}/" + ("LICENSE" if name in ("MIT", "ISC") else "a.c"), text) for k, (name, text) in enumerate(IN_FILES.items())]
+    files += [(2000, "r/a.txt", "that was released under the MIT License."), (2001, "r/b.txt", "a licence of no kind\n\n\nthe software is this")]
+    df = spark.createDataFrame(files, "key long, path string, text string")
+    got = {r.key: (r.own_license, r.own_score) for r in licenses.scan(df).collect()}
+    assert got == plain_licences(files)
+    assert [got[1000 + k][0] for k in range(len(IN_FILES))] == list(IN_FILES) and got[2001][0] is None
+    assert sum(x is not None for x, _ in got.values()) <= len(IN_FILES) + 1
+
+
 @pytest.mark.parametrize("name", ["op2_exact_topk", "op3_chat_format", "op4_substring_dedup", "op7_near_duplicates", "op8_warc", "op9_license_scan"])
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
