@@ -10,7 +10,7 @@ with a licence.
 
 Plan: df is counted in one pass, by partial sums, and written, one row per term. With the templates' weights known, each
 template has terms without which no unit can reach ``LEAST`` - the rest of its terms are too light - so a second pass sends
-on only units that hold one of them; this loses no unit. Their terms are counted by partial sums and met by their df, terms
+on only units, of texts, that hold one of them; this loses no unit. Their terms are counted by partial sums and met by their df, terms
 that very many units hold as ``common.joined_evenly`` tells; templates, a fixed table, are broadcast. Texts are never
 shuffled. Inheritance is resolved once for each distinct directory by an equi-join of its ancestors
 with the licence directories.
@@ -58,13 +58,16 @@ def frequencies(files: DataFrame) -> DataFrame:
 
 
 def needed(template: str, idf: dict[str, float], least: float) -> list[str]:
-    """Terms of which a unit must have one to reach ``least``: the others together are too light."""
-    weights = sorted(((c * idf[t]) ** 2, t) for t, c in Counter(plain_terms(template)).items())
-    total, light, k = sum(w for w, _ in weights), 0.0, 0
-    while light + weights[k][0] < least * least * total:
-        light += weights[k][0]
-        k += 1
-    return [t for _, t in weights[k:]]
+    """Terms of which a unit must have one to reach ``least``: the others together are too light. Common terms are left to the others."""
+    count = Counter(plain_terms(template))
+    total, light, out = sum((c * idf[t]) ** 2 for t, c in count.items()), 0.0, []
+    for t in sorted(count, key=lambda t: (idf[t], t)):
+        weight = (count[t] * idf[t]) ** 2
+        if light + weight < least * least * total * (1 - 1e-6):
+            light += weight
+        else:
+            out.append(t)
+    return out
 
 
 def is_licence_file(path: Column) -> Column:
@@ -88,8 +91,9 @@ def own_licences(files: DataFrame, templates: Templates, least: float = LEAST) -
     known = {r.term: r.df for r in df.where(F.col("term").isin(vocabulary)).collect()}  # as large as the templates
     idf = {t: math.log((1 + n) / (1 + known.get(t, 0))) + 1 for t in vocabulary}
     must = sorted({t for _, x in templates for t in needed(x, idf, least)})
-    each = files.select("key", "content", F.posexplode(units(F.col("text"), F.col("path"))).alias("unit", "line"))
-    held = each.select("key", "content", "unit", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", F.array(*map(F.lit, must))))
+    some = F.array(*map(F.lit, must))
+    each = files.where(F.arrays_overlap(terms(F.col("text")), some)).select("key", "content", F.posexplode(units(F.col("text"), F.col("path"))).alias("unit", "line"))
+    held = each.select("key", "content", "unit", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", some))
     counted = written(held.select("key", "content", "unit", F.explode("terms").alias("term")).groupBy("key", "content", "unit", "term").agg(F.count(F.lit(1)).alias("tf")), "counted")
     met = counted.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(df, "term")
     weighed = joined_evenly(counted, written(met, "met"), ["term"], "rows", counted.count(), F.struct("key", "unit"))
