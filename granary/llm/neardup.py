@@ -11,15 +11,16 @@ link at the threshold escapes all bands with a probability under 1e-7.
    more than six standard deviations below the threshold; the others are verified on their
    whole sets, streamed past the smallest member's set. The links' components come next.
 3. Members of a bucket that are not yet in one component - other than its smallest, whose
-   pairs are done - go through two sieves. In a bucket of more than ``BLOCK`` members, a document leaves
-   whose shingles that other components hold, too, are too few for any link (``linkable``); this is exact, and
-   pages of one template, all about as far from each other, go by it in linear time. Then
-   the registers are estimated block against block, and members without any promising partner leave.
+   pairs are done - go through two sieves. Those outside the bucket's largest component are the others; only pairs with one of
+   them are open. First the registers are estimated, blocks of others against all blocks, and members without any promising
+   partner leave. Then, in a bucket with more than ``BLOCK`` others left, a document leaves
+   whose shingles that other components hold, too, are too few for any link (``linkable``); this is exact, and no text of the
+   pages of one template, all about as far from each other, is compared.
 4. Only the texts of what is left are compared with each other in blocks of bounded size: a block pair counts common
    shingles by matrix products and returns only links that join two components.
 So every pair that shares a band is estimated and verified, ruled out exactly or already connected, no pairs are listed, and
-a group of copies costs its size. Only groups of near, but unconnected, documents that pass both sieves cost their
-size squared, in blocks of ``BLOCK``.
+a group of copies costs its size, also if up to ``BLOCK`` of its bucket are not connected to it. Members that are not connected cost
+their number squared in comparisons of 256 bytes, and only those near each other that pass the sieves in comparisons of sets, in blocks of ``BLOCK``.
 
 Plan: texts are shuffled once per stage of verification, and only rows of candidates go on.
 Groups of a common smallest member are salted by their size; classes, and shingles that very many documents hold, are
@@ -50,6 +51,8 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 ROWS_IN_BAND = 4
 BLOCK = 1024
+#: Members whose registers one block holds.
+REGISTER_BLOCK = 8192
 #: Shingles of the whole sets in a block, about.
 BLOCK_SHINGLES = 4 << 20
 #: Members of a common smallest one that one task streams past it.
@@ -130,10 +133,11 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
 
 
-def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def promising(pairs: DataFrame, reps: DataFrame, percent: int, files: int) -> DataFrame:
     """The (lead, doc_id) pairs whose sizes and registers allow a link."""
-    other = reps.select(F.col("doc_id").alias("lead"), F.col("n_shingles").alias("m"), F.col("registers").alias("lead_registers"))
-    sized = pairs.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "registers"), "doc_id").join(other, "lead")
+    loads = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("rows"))
+    other = written(reps.select(F.col("doc_id").alias("lead"), F.col("n_shingles").alias("m"), F.col("registers").alias("lead_registers")).join(loads, "lead"), "leads", files)
+    sized = joined_evenly(pairs.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "registers"), "doc_id"), other, ["lead"], "rows", pairs.count(), F.col("doc_id"))
     sized = sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("lead", "doc_id", "n", "m", "registers", "lead_registers")
     least = percent / 100
 
@@ -160,8 +164,8 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def verified(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
     """(x, y): the (lead, doc_id) pairs that are links by their whole sets."""
-    size = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-    salted = pairs.join(size, "lead").select("lead", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / SALT_EACH)).alias("salt"), F.lit(1).alias("kind"), F.col("doc_id").alias("node"))
+    size = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")).withColumn("salts", F.ceil(F.col("rows") / SALT_EACH))
+    salted = joined_evenly(pairs, size, ["lead"], "rows", pairs.count(), F.col("doc_id")).select("lead", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), F.col("doc_id").alias("node"))
     leads = salted.select("lead", "salt").distinct().select("lead", "salt", F.lit(0).alias("kind"), F.col("lead").alias("node"))
     need = salted.unionByName(leads)
     rows = need.join(texts.withColumnRenamed("doc_id", "node"), "node")
@@ -232,19 +236,36 @@ def links_in_block(sets: list[np.ndarray], groups: np.ndarray, side: np.ndarray,
     return out
 
 
-def mixed_keys(members: DataFrame) -> DataFrame:
-    """The members (key, doc_id, component, ...) of keys whose members are in two components or more, equal groups of members once, with ``size``."""
-    of_key = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"))
-    once = of_key.where("a <> b").groupBy("size", "same", "a", "b").agg(F.min("key").alias("key")).select("key", "size")
-    return members.join(once, "key")
+def mixed_keys(members: DataFrame, files: int) -> DataFrame:
+    """The members (key, doc_id, component) of keys whose members are in two components or more, equal groups of members once.
 
+    ``main`` tells whether the row's component is the key's largest, ``mains`` and ``others`` how many rows of the key are and are not of it.
+    """
+    of_component = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"))
+    of_key = of_component.groupBy("key").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.max("n").alias("mains"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("same").alias("same")
+    )
+    mixed = of_key.where("components > 1")
+    once = mixed.groupBy("rows", "same", "mains", "largest").agg(F.min("key").alias("key")).select("key", "rows", "mains", (F.col("rows") - F.col("mains")).alias("others"), "largest")
+    once = written(once.withColumn("count", F.col("rows")), "mixed", files)
+    met = joined_evenly(members, once.drop("rows"), ["key"], "count", once.agg(F.sum("count")).first()[0] or 0, F.col("doc_id"))
+    return met.select("key", "doc_id", "component", (F.col("component") == F.col("largest")).alias("main"), "mains", "others")
+
+
+def dealt(members: DataFrame, main_blocks: Column, other_blocks: Column) -> DataFrame:
+    """(key, i, j, side, doc_id, component): every member in each pair of blocks that holds its own, but for pairs of main blocks, which are connected.
 
-def dealt(members: DataFrame, blocks: Column) -> DataFrame:
-    """(key, i, j, side, doc_id, component): every member in each pair of blocks that holds its own; ``side`` tells which of the two it is."""
-    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("i"), F.greatest(t, F.col("block")).alias("j"))))
+    Blocks of the other members are numbered first. ``side`` tells which block of a pair a member is of.
+    """
+    own = members.withColumns({"bo": other_blocks, "bm": main_blocks}).withColumn("block", F.when(F.col("main"), F.col("bo") + F.pmod(F.xxhash64("doc_id"), F.col("bm"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("bo"))))
+    last = F.when(F.col("main"), F.col("bo")).otherwise(F.col("bo") + F.col("bm")) - 1
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda t: F.struct(F.greatest(t, F.col("block")).alias("i"), F.least(t, F.col("block")).alias("j"))))
     units = own.select("key", "doc_id", "component", "block", pair.alias("p"))
-    return units.select("key", "p.i", "p.j", (F.col("block") != F.col("p.i")).cast("int").alias("side"), "doc_id", "component")
+    return units.select("key", "p.i", "p.j", (F.col("block") != F.col("p.j")).cast("int").alias("side"), "doc_id", "component")
+
+
+def blocks_of(rows: str, each: int) -> Column:
+    return F.ceil(F.col(rows) / each)
 
 
 def linkable(members: DataFrame, texts: DataFrame, words_each: int, percent: int, files: int) -> DataFrame:
@@ -290,14 +311,17 @@ def near_in_block(registers: np.ndarray, sizes: np.ndarray, groups: np.ndarray,
     out = np.zeros(len(sizes), bool)
     least = percent / 100
     other = registers[right]
+    columns = np.ascontiguousarray(other.T)
     in_other = (other != EMPTY).astype(np.float32)
-    for a in range(0, len(left), 128):
-        rows = left[a : a + 128]
+    for a in range(0, len(left), 64):
+        rows = left[a : a + 64]
         own = registers[rows]
         both = (own != EMPTY).astype(np.float32) @ in_other.T
-        alike = np.zeros((len(rows), len(right)), np.float32)
+        mine = np.where(own == EMPTY, np.uint16(EMPTY - 1), own)  # equal to none
+        alike, equal = np.zeros((len(rows), len(right)), np.uint8), np.empty((len(rows), len(right)), bool)
         for r in range(BUCKETS):
-            alike += (own[:, r][:, None] == other[:, r][None, :]) & (own[:, r] != EMPTY)[:, None]
+            np.equal(mine[:, r, None], columns[r][None, :], out=equal)
+            alike += equal.view(np.uint8)
         used = (own != EMPTY).sum(axis=1)[:, None] + (other != EMPTY).sum(axis=1)[None, :] - both
         n, m = sizes[rows][:, None].astype(np.float64), sizes[right][None, :].astype(np.float64)
         ratio = n / m
@@ -311,7 +335,7 @@ def near_in_block(registers: np.ndarray, sizes: np.ndarray, groups: np.ndarray,
 
 def promising_members(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The members that have a partner of another component in their key which registers and sizes allow, by blocks of registers alone."""
-    units = dealt(members, F.ceil(F.col("size") / BLOCK)).join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
+    units = dealt(members, blocks_of("mains", REGISTER_BLOCK), blocks_of("others", REGISTER_BLOCK)).join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
     rows = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "doc_id", "component", "n_shingles", "registers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,11 +367,16 @@ def promising_members(members: DataFrame, reps: DataFrame, percent: int) -> Data
     return rows.mapInArrow(run, "key long, doc_id long, component long").distinct()
 
 
-def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
+def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, words_each: int, percent: int, files: int) -> DataFrame:
     """(x, y): links between members (key, doc_id, component) of one key in different components, by their whole sets."""
     sets = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    loads = members.join(sets, "doc_id").groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("loads"))
-    units = dealt(members.join(loads, "key"), F.col("loads"))
+    sized = members.join(sets, "doc_id")
+    of_main = lambda main: F.sum(F.when(F.col("main") == F.lit(main), F.col("n")).otherwise(0))
+    loads = sized.groupBy("key").agg(of_main(True).alias("main_shingles"), of_main(False).alias("other_shingles"), F.count(F.lit(1)).alias("rows"))
+    loads = written(loads, "loads", files)
+    held = joined_evenly(members, loads, ["key"], "rows", loads.agg(F.sum("rows")).first()[0] or 0, F.col("doc_id"))
+    by_size = lambda rows, n: F.greatest(blocks_of(rows, BLOCK), F.ceil(F.col(n) / BLOCK_SHINGLES))
+    units = dealt(held, by_size("mains", "main_shingles"), by_size("others", "other_shingles"))
     rows = units.join(texts, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id").select("key", "i", "j", "doc_id", "component", "side", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,16 +421,16 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     met = joined_evenly(banded, leads, ["key"], "rows", leads.agg(F.sum("rows")).first()[0] or 0, F.col("doc_id"))
     members = written(met.where("doc_id <> lead").distinct(), "members", files)
     candidates = members.select("lead", "doc_id").distinct()
-    first = written(verified(promising(candidates, reps, percent), own, words_each, percent), "links", files)
+    first = written(verified(promising(candidates, reps, percent, files), own, words_each, percent), "links", files)
     groups = written(components(first, files), "groups", files)
     named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = written(mixed_keys(named), "apart", files)
-    large = apart.where(F.col("size") > BLOCK).drop("size")
+    apart = written(mixed_keys(named, files), "apart", files)
+    near = written(mixed_keys(written(promising_members(apart, reps, percent), "promising", files), files), "near", files)
+    large = near.where(F.col("others") > BLOCK).select("key", "doc_id", "component")
     if large.limit(1).count():
         sieved = written(linkable(large, own, words_each, percent, files), "linkable", files)
-        apart = apart.where(F.col("size") <= BLOCK).unionByName(mixed_keys(sieved))
-    near = written(promising_members(apart, reps, percent), "promising", files)
-    second = written(cross_links(near, reps, own, words_each, percent), "links", files)
+        near = near.where(F.col("others") <= BLOCK).unionByName(mixed_keys(sieved, files))
+    second = written(cross_links(near, reps, own, words_each, percent, files), "links", files)
     final = written(components(first.unionByName(second), files), "components", files)
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("one", "two", F.coalesce("component", "rep").alias("component"), "rows")
     of_doc = final.select(F.col("node").alias("doc_id"), F.col("component").alias("own_component"))

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, files_for, joined_evenly, sequence_hashes, sized_partitions, slices, unpacked, whole, window_hashes, written
@@ -86,23 +86,30 @@ def covered(n: int, start: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
 
 
-def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, doc_id, sign), each anchor once per row of ``docs``; ``sign`` is a hash of the text's words."""
+def sketches(own: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(doc_id, content, one, two, n, anchors): two hashes of the words of each text, their number, and its distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                sign = sequence_hashes(words, lower=False)[0]
+                one, two = sequence_hashes(words, lower=False)
                 found, row, _ = anchors_of(words.hashes(), words.first, window, anchor)
-                order = np.lexsort((found, row))
-                found, row = found[order], row[order]
-                new = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (row[1:] != row[:-1]))[: len(found)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[new].view(np.int64)), part.column("doc_id").take(pa.array(row[new])), pa.array(sign[row[new]])], names=["anchor", "doc_id", "sign"]
-                )
+                found, row = distinct_in_rows(found, row)
+                edges = np.searchsorted(row, np.arange(words.n_rows + 1)).astype(np.int32)
+                anchors = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))
+                columns = [part.column("doc_id"), part.column("content"), pa.array(one), pa.array(two), pa.array(words.count().astype(np.int64)), anchors]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "one", "two", "n", "anchors"])
+
+    return own.select("doc_id", "content", "text").mapInArrow(run, "doc_id long, content long, one long, two long, n long, anchors array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, sign long")
+
+def distinct_in_rows(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once for each row; ``row`` ascends."""
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(hashes)])
+    return hashes[new], row[new]
 
 
 def runs(chosen: list[np.ndarray], words: Words, window: int, most: int) -> Iterator[tuple[int, int, bytes]]:
@@ -137,20 +144,25 @@ def parts(texts: DataFrame, window: int, anchor: int, most: int = PART) -> DataF
 
 
 def window_rows(cut: DataFrame, window: int) -> DataFrame:
-    """(hash, doc_id, at) of every window in the parts, once for each part."""
+    """(hash, place) of every window in the parts, once for each part; ``place`` is ``doc_id * 2 ** 32 + at``, whose minimum needs no sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "part"):
                 words = Words(part.column("part"))
                 h, row, _ = window_hashes(words.hashes(), words.first, window)
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)])
-                row = pa.array(row[new])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), part.column("doc_id").take(row), part.column("at").take(row)], names=["hash", "doc_id", "at"])
+                h, row = distinct_in_rows(h, row)
+                doc, at = (part.column(k).to_numpy()[row] for k in ("doc_id", "at"))
+                place = np.stack([(doc << 32) | at, doc >> 32], axis=1)  # the low and the high half of 128 bits
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.Array.from_buffers(pa.decimal128(38, 0), len(h), [None, pa.py_buffer(place.tobytes())])], names=["hash", "place"])
+
+    return cut.select("doc_id", "at", "part").mapInArrow(run, "hash long, place decimal(38,0)")
 
-    return cut.select("doc_id", "at", "part").mapInArrow(run, "hash long, doc_id long, at long")
+
+def placed(place: str) -> tuple[Column, Column]:
+    """(doc_id, at) of a place."""
+    at = F.expr(f"pmod({place}, 4294967296BD)")
+    return F.expr(f"({place} - pmod({place}, 4294967296BD)) div 4294967296BD"), at.cast("long")
 
 
 def passages(cut: DataFrame, window: int) -> DataFrame:
@@ -258,28 +270,16 @@ def streamed(rows: DataFrame, window: int) -> DataFrame:
     return dealt.select("shard", "salt", "kind", "doc_id", "content", "at", "part").mapInArrow(run, "doc_id long, content long, a long, b long")
 
 
-def sequences(own: DataFrame) -> DataFrame:
-    """(doc_id, content, one, two, n): two hashes of the words of each text, and their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
-                one, two = sequence_hashes(words, lower=False)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(one), pa.array(two), pa.array(words.count().astype(np.int64))], names=["doc_id", "content", "one", "two", "n"])
-
-    return own.select("doc_id", "content", "text").mapInArrow(run, "doc_id long, content long, one long, two long, n long")
-
-
 def routed(cut: DataFrame, window: int, files: int) -> DataFrame:
     """What ``streamed`` needs: each passage at its shard, and each part at the shards of its confirmed windows."""
     windows = window_rows(cut, window)
-    grouped = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    confirmed = written(grouped.where("f.doc_id < last").select("hash", F.col("f.doc_id").alias("first"), F.col("f.at").alias("first_at"), "n"), "windows", files)
+    grouped = windows.groupBy("hash").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).where("place < last")
+    told = grouped.select("hash", placed("place")[0].alias("first"), placed("place")[1].alias("first_at"), placed("last")[0].alias("last"), "n")
+    confirmed = written(told.where("first < last").drop("last"), "windows", files)
     n_windows, n_rows = (x or 0 for x in confirmed.agg(F.count(F.lit(1)), F.sum("n")).first())
     shards = sized_partitions(n_windows, SHARD_NODES // (LETTERS * window))
     shard = lambda doc, at: F.pmod(F.xxhash64(F.col(doc), F.floor(F.col(at) / REGION)), F.lit(shards)).alias("shard")
-    met = joined_evenly(windows, confirmed, ["hash"], "n", n_rows, F.struct("doc_id", "at")).where("first < doc_id")
+    met = joined_evenly(windows, confirmed, ["hash"], "n", n_rows, F.col("place")).withColumns(dict(zip(("doc_id", "at"), placed("place"), strict=True))).where("first < doc_id")
     routes = written(met.select("doc_id", "at", shard("first", "first_at")).distinct(), "routes", files)
     loads = routes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_EACH))
     salted = joined_evenly(routes, loads, ["shard"], "n", routes.count(), F.struct("doc_id", "at"))
@@ -296,15 +296,17 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     """(spans, copies) of ``docs`` (doc_id, content, text): the words ``a:b`` that go of a text, and the texts that go whole."""
     files = files_for(docs)
     own = docs.where(F.col("doc_id").isNotNull())
-    listed = written(sequences(own).where(F.col("n") >= window), "sequences", files)
+    listed = written(sketches(own, window, anchor).where(F.col("n") >= window), "sketches", files)
     classes = written(listed.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes", files)
-    copies = joined_evenly(listed, classes, ["one", "two"], "rows", listed.count(), F.struct("doc_id", "content")).where("doc_id > rep").select("doc_id", "content").distinct()
+    rows = listed.select("doc_id", "content", "one", "two")
+    copies = joined_evenly(rows, classes, ["one", "two"], "rows", rows.count(), F.struct("doc_id", "content")).where("doc_id > rep").select("doc_id", "content").distinct()
 
-    found = anchor_rows(own, window, anchor)
-    grouped = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("sign").alias("s"), F.max("sign").alias("t"), F.count(F.lit(1)).alias("n"))
+    found = listed.select("doc_id", "one", F.explode("anchors").alias("anchor"))
+    grouped = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("one").alias("s"), F.max("one").alias("t"), F.count(F.lit(1)).alias("n"))
     recurring = written(grouped.where("a < b AND s <> t").select("anchor", "n"), "anchors", files)
-    hits = joined_evenly(found, recurring, ["anchor"], "n", recurring.agg(F.sum("n")).first()[0] or 0, F.col("doc_id"))
-    hits = hits.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    firsts = classes.select(F.col("rep").alias("doc_id"), "one", "two")
+    of_reps = listed.join(firsts, ["doc_id", "one", "two"], "left_semi").select("doc_id", F.explode("anchors").alias("anchor"))
+    hits = joined_evenly(of_reps, recurring, ["anchor"], "n", recurring.agg(F.sum("n")).first()[0] or 0, F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     cut = written(parts(own.join(hits, "doc_id"), window, anchor), "parts", files)
     return streamed(routed(cut, window, files), window), copies
 

@@ -61,6 +61,7 @@ def near_rows(n, seed=0):
 @pytest.mark.parametrize("block,k,percent", [(1024, 3, 85), (4, 3, 85), (4, 5, 80)])
 def test_components_against_brute_force(spark, monkeypatch, block, k, percent):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "REGISTER_BLOCK", block + 3)
     rows = near_rows(60)
     out = neardup.near_duplicates(frame(spark, rows), k, percent).collect()
     want = brute.near_components(rows, k, percent)
@@ -122,6 +123,7 @@ def repeat_rows(seed=0):
 
 def test_substring_dedup_against_brute_force(spark):
     rows = repeat_rows()
+    rows = [*rows, (-5, rows[2][1] + " q"), (-(1 << 62), " ".join(brute.words(rows[3][1])[:40])), ((1 << 61) + 3, rows[4][1] + " z")]
     out = substring.deduplicated(frame(spark, [*rows, rows[0]])).collect()
     want = brute.without_repeats(rows, 13)
     assert len(out) == len(rows) + 1
