@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, files_for, joined_evenly, sequence_hashes, sized_partitions, slices, unpacked, whole, window_hashes, written
@@ -44,9 +44,9 @@ from .native import let, word_array
 
 WINDOW = 13
 ANCHOR = 7
-#: Windows in a part of a document at most, and words of a document whose passages go to one shard.
+#: Windows in a part of a document at most, and words of a document in a region of it.
 PART = 256
-REGION = 2048
+REGION = 512
 #: Letters of a shard's windows, about; an automaton has that many nodes at most.
 SHARD_NODES = 1 << 19
 #: Parts that one automaton streams; a shard with more is compiled again for the next ones.
@@ -143,8 +143,11 @@ def parts(texts: DataFrame, window: int, anchor: int, most: int = PART) -> DataF
     return texts.select("doc_id", "content", "anchors", "text").mapInArrow(run, "doc_id long, content long, at long, part string")
 
 
-def window_rows(cut: DataFrame, window: int) -> DataFrame:
-    """(hash, place) of every window in the parts, once for each part; ``place`` is ``doc_id * 2 ** 32 + at``, whose minimum needs no sort."""
+def window_rows(cut: DataFrame, window: int, bits: int) -> DataFrame:
+    """(hash, place, doc_id, at) of every window in the parts, once for each part.
+
+    ``place`` is the document and, in its lowest ``bits``, the region of the part: its minimum is that of the smallest document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,16 +156,10 @@ def window_rows(cut: DataFrame, window: int) -> DataFrame:
                 h, row, _ = window_hashes(words.hashes(), words.first, window)
                 h, row = distinct_in_rows(h, row)
                 doc, at = (part.column(k).to_numpy()[row] for k in ("doc_id", "at"))
-                place = np.stack([(doc << 32) | at, doc >> 32], axis=1)  # the low and the high half of 128 bits
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.Array.from_buffers(pa.decimal128(38, 0), len(h), [None, pa.py_buffer(place.tobytes())])], names=["hash", "place"])
-
-    return cut.select("doc_id", "at", "part").mapInArrow(run, "hash long, place decimal(38,0)")
-
+                place = (doc << bits) | np.minimum(at // REGION, (1 << bits) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), place, doc, at)], names=["hash", "place", "doc_id", "at"])
 
-def placed(place: str) -> tuple[Column, Column]:
-    """(doc_id, at) of a place."""
-    at = F.expr(f"pmod({place}, 4294967296BD)")
-    return F.expr(f"({place} - pmod({place}, 4294967296BD)) div 4294967296BD"), at.cast("long")
+    return cut.select("doc_id", "at", "part").mapInArrow(run, "hash long, place long, doc_id long, at long")
 
 
 def passages(cut: DataFrame, window: int) -> DataFrame:
@@ -272,21 +269,25 @@ def streamed(rows: DataFrame, window: int) -> DataFrame:
 
 def routed(cut: DataFrame, window: int, files: int) -> DataFrame:
     """What ``streamed`` needs: each passage at its shard, and each part at the shards of its confirmed windows."""
-    windows = window_rows(cut, window)
-    grouped = windows.groupBy("hash").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).where("place < last")
-    told = grouped.select("hash", placed("place")[0].alias("first"), placed("place")[1].alias("first_at"), placed("last")[0].alias("last"), "n")
-    confirmed = written(told.where("first < last").drop("last"), "windows", files)
+    widest = cut.agg(F.max(F.greatest(F.col("doc_id"), -(F.col("doc_id") + 1)))).first()[0] or 0
+    bits = max(0, min(32, 62 - int(widest).bit_length()))
+    windows = window_rows(cut, window, bits)
+    grouped = windows.groupBy("hash").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+    first = lambda place: F.shiftright(place, bits)
+    confirmed = written(grouped.where(first("place") < first("last")).select("hash", "place", "n"), "windows", files)
     n_windows, n_rows = (x or 0 for x in confirmed.agg(F.count(F.lit(1)), F.sum("n")).first())
     shards = sized_partitions(n_windows, SHARD_NODES // (LETTERS * window))
-    shard = lambda doc, at: F.pmod(F.xxhash64(F.col(doc), F.floor(F.col(at) / REGION)), F.lit(shards)).alias("shard")
-    met = joined_evenly(windows, confirmed, ["hash"], "n", n_rows, F.col("place")).withColumns(dict(zip(("doc_id", "at"), placed("place"), strict=True))).where("first < doc_id")
-    routes = written(met.select("doc_id", "at", shard("first", "first_at")).distinct(), "routes", files)
+    # four regions that follow each other go to one shard
+    shard = F.pmod(F.xxhash64(F.shiftright("place", 2)), F.lit(shards)).alias("shard")
+    met = joined_evenly(windows.select("hash", "doc_id", "at"), confirmed, ["hash"], "n", n_rows, F.struct("doc_id", "at")).where(first("place") < F.col("doc_id"))
+    routes = written(met.select("doc_id", "at", shard).distinct(), "routes", files)
     loads = routes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / SALT_EACH))
     salted = joined_evenly(routes, loads, ["shard"], "n", routes.count(), F.struct("doc_id", "at"))
     salted = salted.select("doc_id", "at", "shard", F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).alias("salt"))
     sent = cut.join(salted, ["doc_id", "at"]).select("shard", "salt", F.lit(1).alias("kind"), "doc_id", "content", "at", "part")
-    firsts = confirmed.groupBy(F.col("first").alias("doc_id"), F.col("first_at").alias("at")).agg(F.collect_list("hash").alias("hashes"))
-    told = passages(cut.join(firsts, ["doc_id", "at"]).withColumn("shard", shard("doc_id", "at")), window)
+    firsts = confirmed.groupBy("place").agg(F.collect_list("hash").alias("hashes"))
+    place = F.shiftleft("doc_id", bits).bitwiseOR(F.least(F.floor(F.col("at") / REGION), F.lit((1 << bits) - 1)))
+    told = passages(cut.withColumn("place", place).join(firsts, "place").withColumn("shard", shard), window)
     told = told.join(loads.select("shard", F.sequence(F.lit(0).cast("long"), F.col("salts") - 1).alias("all")), "shard").withColumn("salt", F.explode("all"))
     told = told.select("shard", "salt", F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(None).cast("long").alias("content"), F.lit(None).cast("long").alias("at"), F.col("passage").alias("part"))
     return told.unionByName(sent)
