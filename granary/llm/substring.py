@@ -54,6 +54,7 @@ SALT_EACH = 4096
 #: In the automaton a word is two letters, of 6 and 18 bits of its hash: an automaton's node seeks among its children one by
 #: one, so whole words as letters would make its root slow. Matches are held against whole hashes.
 LETTERS = 2
+#: The columns that the operator adds.
 OWN = ("n_words", "n_removed", "removed_spans", "kept_words")
 
 
@@ -312,13 +313,14 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     return streamed(routed(cut, window, files), window), copies
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with ``n_words``, ``removed_spans`` (words [start, end)), ``n_removed`` and ``kept_words``, joined by one space."""
-    plain = docs.select(whole(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("content"))
-    spans, copies = removed_spans(plain.select("doc_id", "content", "text"), window, anchor)
+def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(row, n_words, n_removed, removed_spans, kept_words): each row of ``docs`` as a struct, and what ``deduplicated`` adds to it."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    spans, copies = removed_spans(own, window, anchor)
     of_text = spans.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))).alias("spans"))
     told = of_text.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "content"], "full")
-    met = plain.join(told, ["doc_id", "content"], "left").select("row", word_array(F.col("text")).alias("words"), "spans", "copy")
+    plain = docs.select(whole(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"))
+    met = plain.join(told, ["doc_id", "content"], "left").select("row", word_array(F.col("row").getField("text")).alias("words"), "spans", "copy")
 
     def merged(s):
         """Sorted spans with overlapping and adjoining ones as one."""
@@ -330,7 +332,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 
     n = F.size("words")
     gone = F.when(F.col("copy"), F.array(F.struct(F.lit(0).alias("a"), n.alias("b")))).when(F.col("spans").isNull(), F.array().cast("array<struct<a:int,b:int>>")).otherwise(merged(F.col("spans")))
-    marked = met.select("row", "words", gone.alias("gone"))
+    judged = met.select("row", "words", gone.alias("gone"))
 
     def left(g):
         """The words outside the spans: what lies between the end of one (or the start) and the next one."""
@@ -342,8 +344,12 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     kept = F.when(F.size("gone") == 0, F.col("words")).otherwise(let(F.col("gone"), left))
     removed = F.aggregate("gone", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     as_lists = F.transform("gone", lambda x: F.array(x["a"], x["b"]))
-    names = [c for c in docs.columns if c not in OWN]
-    return marked.select(*unpacked(F.col("row"), names), n.cast("long").alias("n_words"), removed.alias("n_removed"), as_lists.alias("removed_spans"), F.array_join(kept, " ").alias("kept_words"))
+    return judged.select("row", n.cast("long").alias("n_words"), removed.alias("n_removed"), as_lists.alias("removed_spans"), F.array_join(kept, " ").alias("kept_words"))
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with ``n_words``, ``removed_spans`` (words [start, end)), ``n_removed`` and ``kept_words``, joined by one space."""
+    return marked(docs, window, anchor).select(*unpacked(F.col("row"), [c for c in docs.columns if c not in OWN]), *OWN)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, quoted, slices, unpacked
+from .common import Words, slices, unpacked, whole
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -291,11 +291,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_cha
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, and ``toxic_verdict`` by the threshold of the row's language."""
-    names = [c for c in docs.columns if c not in ("score", "toxic_verdict")]
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score, toxic_verdict): each row of ``docs`` as a struct, its score, and the verdict by the threshold of its language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(F.struct(*[quoted(c).alias(c) for c in names]).alias("row"))
+    plain = docs.select(whole(docs).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +307,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     for lang, value in sorted(model.thresholds.items()):
         limits = limits.when(F.col("row").getField("lang") == lang, F.lit(value))
     limits = limits.otherwise(F.lit(model.threshold))
-    return plain.mapInArrow(run, schema).select(*unpacked(F.col("row"), names), "score", (F.col("score") >= limits).alias("toxic_verdict"))
+    return plain.mapInArrow(run, schema).select("row", "score", (F.col("score") >= limits).alias("toxic_verdict"))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score`` and ``toxic_verdict``."""
+    names = [c for c in docs.columns if c not in ("score", "toxic_verdict")]
+    return judged(docs, model).select(*unpacked(F.col("row"), names), "score", "toxic_verdict")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
