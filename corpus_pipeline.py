@@ -26,13 +26,8 @@ from granary.llm.native import word_array
 PASSAGE = 30
 
 
-def carried(docs: DataFrame, *columns: str) -> DataFrame:
-    """Whole rows as ``row``, and the named columns beside it."""
-    return docs.select(whole(docs).alias("row"), *columns)
-
-
 def rows_of(carrying: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows that ``carried`` packed."""
+    """The rows of ``docs`` that stand in ``carrying`` as the struct ``row``."""
     return carrying.select(*unpacked(F.col("row"), docs.columns))
 
 
@@ -42,8 +37,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     An empty text is scored as a text without words; a score equal to the threshold is toxic; rows that stand twice are judged alike.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = toxicity.scored(carried(docs, "text", "lang"), model)
-    return rows_of(judged.where(~F.col("toxic_verdict")), docs)
+    return rows_of(toxicity.judged(docs, model).where(~F.col("toxic_verdict")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Empty texts are near nothing and stay. Of rows with one id and the same words one stays, the smallest text; other texts of
     that id stay, as their copies under other ids go. Texts that tie there are equal.
     """
-    own = carried(docs, "doc_id", "text")
-    gone = neardup.near_duplicates(own.select("doc_id", "text"), words_each=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    own, text = docs.select(whole(docs).alias("row"), "doc_id"), F.col("row").getField("text")
+    gone = neardup.near_duplicates(docs, words_each=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     left = own.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
     twice = own.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
-    words = word_array(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase))
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.array_join(words, " ")).orderBy("text"))
+    words = word_array(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase))
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.array_join(words, " ")).orderBy(text))
     again = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
     return rows_of(left.join(twice, F.col("doc_id") == F.col("twice"), "left_anti").unionByName(again), docs)
 
@@ -68,7 +62,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A text that loses nothing, as an empty one, stays as it is; the words left of another one are joined by one space. Rows of one id
     take nothing from each other.
     """
-    marked = substring.deduplicated(carried(docs, "doc_id", "text"), window=PASSAGE)
+    marked = substring.marked(docs, window=PASSAGE)
     changed = F.col("n_removed") > 0
     left = marked.where(~changed | (F.col("n_removed") < F.col("n_words")))
     new = {"text": F.col("kept_words"), "n_chars": F.length("kept_words").cast("long")}
