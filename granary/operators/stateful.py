@@ -6,6 +6,7 @@ Parallelism is the number of nodes (at most 36). The order-free forms have no su
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,13 +28,15 @@ class Bin:
 
 @dataclass
 class Item:
-    """``utility`` is that of storing it; ``rank`` its utility as a representative."""
+    """``utility`` is that of storing it; ``rank`` its utility as a representative; the second nearest representative stands in when the nearest goes."""
 
     vector: np.ndarray
     utility: float
     near: int | None = None
     distance: float = 0.0
     rank: float = np.inf
+    second: int | None = None
+    second_distance: float = np.inf
 
 
 @dataclass
@@ -67,16 +70,66 @@ class UtilityNode:
     reps: dict[int, Item] = field(default_factory=dict)
     others: dict[int, Item] = field(default_factory=dict)
     bins: dict[int, Bin] = field(default_factory=dict)
+    #: (utility, key) of items that are no representatives; entries outlive their items and are passed over.
+    heap: list[tuple[float, int]] = field(default_factory=list)
+    #: The representatives' keys and vectors as a matrix, or the vectors as a list where lengths differ; None after a change.
+    slots: tuple | None = None
+
+    def slot_distances(self, v: np.ndarray, but: int | None) -> tuple[list[int], np.ndarray]:
+        """(keys, distances of ``v``) of the representatives other than ``but``, in their order."""
+        if self.slots is None:
+            vectors = [r.vector for r in self.reps.values()]
+            alike = len({len(x) for x in vectors}) == 1
+            self.slots = list(self.reps), np.array(vectors, np.float64) if alike else vectors
+        keys, vectors = self.slots
+        if isinstance(vectors, list) or vectors.shape[1] != len(v):
+            d = distances(v, list(vectors))
+        else:
+            d = np.sqrt(((vectors - v.astype(np.float64)) ** 2).sum(axis=1))
+            d[~np.isfinite(d)] = np.inf
+        if but in self.reps:
+            at = keys.index(but)
+            keys, d = keys[:at] + keys[at + 1 :], np.delete(d, at)
+        return keys, d
+
+    def two_nearest(self, key: int | None, v: np.ndarray) -> tuple[int | None, float, int | None, float]:
+        """The nearest and the second nearest representative other than ``key``, with their distances; earlier ones win ties."""
+        keys, d = self.slot_distances(v, key) if self.reps else ([], np.zeros(0))
+        if not len(keys):
+            return None, np.inf, None, np.inf
+        order = np.argsort(d, kind="stable")[:2]
+        found = [(keys[j], float(d[j])) if np.isfinite(d[j]) else (None, np.inf) for j in order] + [(None, np.inf)]
+        return *found[0], *found[1]
 
     def nearest(self, key: int | None, v: np.ndarray) -> tuple[int | None, float, float]:
-        """(nearest representative other than ``key``, its distance, the second distance); earlier ones win ties."""
-        keys = [k for k in self.reps if k != key]
-        if not keys:
-            return None, np.inf, np.inf
-        d = distances(v, [self.reps[k].vector for k in keys])
-        order = np.argsort(d, kind="stable")[:2]
-        first = keys[order[0]] if np.isfinite(d[order[0]]) else None
-        return first, float(d[order[0]]), float(d[order[1]]) if len(order) > 1 else np.inf
+        """(nearest representative other than ``key``, its distance, the second distance)."""
+        first, d1, _, d2 = self.two_nearest(key, v)
+        return first, d1, d2
+
+    def keep(self, key: int, item: Item) -> None:
+        """Put an item that is no representative, or has a new utility, where ``worst`` finds it."""
+        self.others[key] = item
+        heapq.heappush(self.heap, (item.utility, key))
+        if len(self.heap) > 64 + 4 * len(self.others):
+            self.heap = [(x.utility, k) for k, x in self.others.items()]
+            heapq.heapify(self.heap)
+
+    def worst(self, but: int | None = None) -> int | None:
+        """The key of the least (utility, key) among items that are no representatives, other than ``but``."""
+        held, found = None, None
+        while self.heap:
+            utility, key = self.heap[0]
+            item = self.others.get(key)
+            if item is None or item.utility != utility:
+                heapq.heappop(self.heap)
+            elif key == but:
+                held = heapq.heappop(self.heap)
+            else:
+                found = key
+                break
+        if held:
+            heapq.heappush(self.heap, held)
+        return found
 
     def store_utility(self, near: int | None, d: float) -> float:
         if not np.isfinite(d):
@@ -115,25 +168,25 @@ class UtilityNode:
         if self.holds(key):
             raise ValueError(f"key {key} is stored already; keys must be unique")
         if self.reps:
-            near, d1, d2 = self.nearest(key, v)
+            near, d1, second, d2 = self.two_nearest(key, v)
             utility, as_rep = self.store_utility(near, d1), self.rep_utility(d1, d2)
             if not np.isfinite(utility):
                 return Decision("DROPPED", "UTILITY", utility=utility)
         else:
-            near, d1, utility, as_rep = None, np.inf, np.inf, np.inf
+            near, d1, second, d2, utility, as_rep = None, np.inf, None, np.inf, np.inf, np.inf
         full = len(self.reps) + len(self.others) >= self.capacity
         promote = len(self.reps) < min(BOOTSTRAP, self.capacity, self.max_reps) or not self.reps or as_rep > PROMOTE * self.least_rep()
-        item, evicted = Item(v, utility, near, d1), None
+        item, evicted = Item(v, utility, near, d1, second=second, second_distance=d2), None
         if full and not self.others:
             return Decision("DROPPED", "UTILITY", utility=utility)
         if not promote:
             if full:
-                worst = min(self.others, key=lambda k: (self.others[k].utility, k))
+                worst = self.worst()
                 if utility <= self.others[worst].utility:
                     return Decision("DROPPED", "UTILITY", utility=utility)
                 evicted = worst
                 self._leave(self.others.pop(worst))
-            self.others[key] = item
+            self.keep(key, item)
             self._join(item)
         else:
             evicted = self._promote(key, item, as_rep, full)
@@ -145,17 +198,21 @@ class UtilityNode:
             rank = lambda k: self.reps[k].rank if np.isfinite(self.reps[k].rank) else -np.inf
             demoted = min(self.reps, key=rank)  # the earliest one of equals
             if (as_rep if np.isfinite(as_rep) else 0.0) <= rank(demoted):
-                self.others[key] = item
+                if full:
+                    raise AssertionError("a promotion at a full node has a better rank than the least one")
+                self.keep(key, item)
                 self._join(item)
                 return None
             old = self.reps[demoted]
             self.reps = {(key if k == demoted else k): (item if k == demoted else r) for k, r in self.reps.items()}
-            near, d1, _ = self.nearest(demoted, old.vector)
-            self.others[demoted] = Item(old.vector, self.store_utility(near, d1), near, d1)
+            self.slots = None
+            near, d1, second, d2 = self.two_nearest(demoted, old.vector)
+            self.keep(demoted, Item(old.vector, self.store_utility(near, d1), near, d1, second=second, second_distance=d2))
         else:
             self.reps[key] = item
+            self.slots = None
         if full:
-            evicted = min((k for k in self.others if k != demoted), key=lambda k: (self.others[k].utility, k))
+            evicted = self.worst(but=demoted)
             del self.others[evicted]  # the bins are counted anew below, after they have scored what moves
         self._renew(key, demoted)
         return evicted
@@ -166,16 +223,26 @@ class UtilityNode:
         if keys:
             to_new = distances(self.reps[added].vector, [self.others[k].vector for k in keys])
             for k, d in zip(keys, to_new, strict=True):
-                item = self.others[k]
-                if item.near == removed or item.near is None:
-                    others = [r for r in self.reps if r != added]
-                    back = distances(item.vector, [self.reps[r].vector for r in others]) if others else np.array([np.inf])
-                    j = int(back.argmin())
-                    item.near, item.distance = (others[j], float(back[j])) if np.isfinite(back[j]) else (None, np.inf)
+                item, before = self.others[k], self.others[k].utility
+                if item.near is None:
+                    item.near, item.distance, item.second, item.second_distance = self.two_nearest(k, item.vector)
                     item.utility = self.store_utility(item.near, item.distance)
-                if d < item.distance:
-                    item.near, item.distance = added, float(d)
-                    item.utility = self.store_utility(added, item.distance)
+                else:
+                    if item.near == removed:
+                        item.near, item.distance = item.second, item.second_distance
+                        item.utility = self.store_utility(item.near, item.distance)
+                        item.second, item.second_distance, _ = self.nearest(item.near, item.vector)
+                    elif item.second == removed and removed is not None:
+                        item.second, item.second_distance, _ = self.nearest(item.near, item.vector)
+                    if d < item.distance:
+                        if item.near != added:
+                            item.second, item.second_distance = item.near, item.distance
+                        item.near, item.distance = added, float(d)
+                        item.utility = self.store_utility(added, item.distance)
+                    elif added != item.near and d < item.second_distance:
+                        item.second, item.second_distance = added, float(d)
+                if item.utility != before:
+                    self.keep(k, item)
         for k, rep in self.reps.items():
             _, d1, d2 = self.nearest(k, rep.vector)
             rep.rank = self.rep_utility(d1, d2)

@@ -313,3 +313,37 @@ def test_forest_per_node_has_the_trees_of_the_operator(spark, sf, monkeypatch):
     monkeypatch.setattr(registry.evaluate, "trained_scores", lambda kept, test, nodes, model="forest", trees=300: asked.append((model, trees)))
     registry.QUERIES["forest_per_node"](spark, sf)
     assert asked == [("forest", 300)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_state_machine_equals_its_plain_restatement(seed):
+    from tests.plain_node import PlainNode
+
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(2, 60))
+    reps = int(rng.integers(1, max(2, capacity)))
+    grid = rng.integers(0, 4, (400, 2)).astype(np.float32) if seed % 2 else rng.normal(size=(400, 3)).astype(np.float32)  # a grid has many ties
+    grid[rng.random(400) < 0.02] = np.nan
+    ours, plain = stateful.UtilityNode(capacity, reps, gamma=float(rng.uniform(0, 2))), None
+    plain = PlainNode(capacity, reps, ours.gamma)
+    for key, v in enumerate(grid):
+        d = ours.offer(key, v)
+        assert (d.kind, d.evicted) == plain.offer(key, v), (seed, key)
+    assert set(ours.reps) == {r[0] for r in plain.reps} and set(ours.others) == set(plain.items)
+
+
+def test_an_offer_costs_the_same_at_a_large_budget():
+    import time
+
+    def seconds(capacity):
+        node = stateful.UtilityNode(capacity, 16)
+        rng = np.random.default_rng(0)
+        for key in range(capacity):
+            node.offer(key, rng.normal(size=4).astype(np.float32))
+        changes, began = 0, time.perf_counter()
+        for key in range(capacity, capacity + 1500):
+            changes += node.offer(key, rng.normal(size=4).astype(np.float32)).rep_change
+        return (time.perf_counter() - began) / 1500, changes
+
+    small, large = seconds(500), seconds(8000)
+    assert large[1] > 20 or large[0] < 6 * small[0]
