@@ -69,3 +69,37 @@ def trained_scores(kept: DataFrame, test: DataFrame, nodes: list[int], model: st
         scores = accuracy_scores(told).select(F.lit(node).alias("node"), "macro_f1", "balanced_accuracy")
         out = scores if out is None else out.unionByName(scores)
     return out
+
+
+def mean_std(results: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """Mean and population deviation of each metric over the nodes, one row per ``by``; nulls don't count."""
+    return results.groupBy(*by).agg(*[f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
+def mean_per_setting(results: DataFrame, metrics: list[str]) -> DataFrame:
+    """The mean of each metric per model, mode and ratio, in that order; full retention, whose ratio is null, comes first."""
+    return results.groupBy("model", "mode", "ratio").agg(*[F.avg(m).alias(m) for m in metrics]).orderBy("model", "mode", F.asc_nulls_first("ratio"))
+
+
+def in_order(results: DataFrame) -> DataFrame:
+    """Results by mode, ratio (null first) and node. Results are one row per run and node."""
+    return results.orderBy("mode", F.asc_nulls_first("ratio"), "node")
+
+
+def subset(results: DataFrame, modes: list[str] | None = None, ratios: list[float] | None = None) -> DataFrame:
+    """The results of some modes and ratios; full retention has no ratio and stays."""
+    out = results if modes is None else results.where(F.col("mode").isin(modes))
+    return out if ratios is None else out.where(F.col("ratio").isNull() | F.col("ratio").isin(ratios))
+
+
+def ratio_sets(results: DataFrame) -> DataFrame:
+    """(ratio, in_all): the ratios that any mode has, and whether all modes with ratios have it."""
+    own = results.where(F.col("ratio").isNotNull()).select("mode", "ratio").distinct()
+    modes = own.agg(F.count_distinct("mode").alias("modes"))
+    return own.groupBy("ratio").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(modes), F.lit(True)).select("ratio", (F.col("n") == F.col("modes")).alias("in_all"))
+
+
+def confusion_totals(pred: DataFrame, by: list[str]) -> DataFrame:
+    """tp, fp, fn, tn of (label 0/1, predicted 0/1), summed over all rows of each ``by``."""
+    cell = lambda label, told: F.count_if((F.col("label") == label) & (F.col("predicted") == told)).cast("long")
+    return pred.groupBy(*by).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"))

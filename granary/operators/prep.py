@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.expr import dice, finite
+from granary.operators.features import with_seq
 from granary.operators.retention import first_rows, mixed_bucket
 
+#: The names of id columns, and the mark of a missing category.
 ID_NAMES = ("__id", "id", "ID", "Id", "key", "Key")
+MISSING = "<NA>"
 
 
 def quotas(df: DataFrame, label: str, size: int) -> DataFrame:
@@ -46,7 +49,7 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def categorical(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("<NA>"))
+    return F.coalesce(c.cast("string"), F.lit(MISSING))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
@@ -68,9 +71,11 @@ def numeric_only(df: DataFrame) -> DataFrame:
 def sample(df: DataFrame, key: str, label: str | None, size: int, kind: str, positive: float | None = None) -> DataFrame:
     """``size`` rows: ``regression`` uniformly, ``multiclass`` by the classes' shares, ``binary`` also at a wanted share of label 1.
 
-    A class that has fewer rows than its quota is an error.
+    Fewer rows than wanted, in all or of a class, are an error.
     """
     if kind == "regression":
+        if (have := df.count()) < size:
+            raise ValueError(f"there are {have} rows, {size} are wanted")
         return uniform_rows(df, key, size)
     if kind not in ("multiclass", "binary"):
         raise ValueError(f"unknown kind {kind!r}")
@@ -87,8 +92,25 @@ def sample(df: DataFrame, key: str, label: str | None, size: int, kind: str, pos
 
 
 def with_global_id(df: DataFrame) -> DataFrame:
-    """The first id column found, renamed and cast; without one, a unique number per row."""
+    """The first id column found, renamed and cast; without one, rows are numbered from 0 in the order of the scan."""
     for name in ID_NAMES:
         if name in df.columns:
             return df.withColumnRenamed(name, "__id").withColumn("__id", F.col("__id").cast("long"))
-    return df.withColumn("__id", F.monotonically_increasing_id())
+    return with_seq(df.withColumn("__place", F.monotonically_increasing_id()), "__place", "__id").drop("__place")
+
+
+def split_with_drift(df: DataFrame, time: str, key: str, test_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(train, test): the ``test_rows`` latest rows by ``time`` are the test set, ties go to the larger ``key``, a unique number. Too few rows are an error.
+
+    Rows are counted in buckets of time; only the bucket at the cut is sorted.
+    """
+    at = F.col(time).cast("timestamp") if dict(df.dtypes)[time] in ("date", "timestamp", "timestamp_ntz") else F.col(time)
+    number = at.cast("double")
+    have, first, last = df.agg(F.count(F.lit(1)), F.min(number), F.max(number)).first()
+    if have <= test_rows:
+        raise ValueError(f"there are {have} rows, {test_rows} of them are wanted for the test")
+    bucket = F.floor((F.lit(last) - number) / F.lit(max(last - first, 1e-9)) * 4095)
+    own = df.withColumns({"__all": F.lit(0), "__time": -number, "__key": -F.col(key)})
+    late = first_rows(own, "__all", bucket, test_rows, "__time", "__key").select(F.col(key).alias("__test"))
+    met = F.col(key) == F.col("__test")
+    return df.join(late, met, "left_anti"), df.join(late, met, "left_semi")

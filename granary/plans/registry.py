@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from granary import config
 from granary.functions import expr as X
 from granary.operators import evaluate, features, gossip, prep, retention, rounds, stateful, vectors
-from granary.sources.tables import dataset_key, percent_of, table
+from granary.sources import tables
+from granary.sources.tables import dataset_key, percent_even, percent_of, table
 from granary.streaming import stream
 
 NODES, RATIO, FIT_ROWS, EPOCH = 8, 0.1, 20_000, 50
@@ -520,10 +521,11 @@ def numeric_clean(s, d):
     return prep.numeric_only(table(s, d, "customer").withColumn("c_acctbal", bad))
 
 
-@query("SELECT DISTINCT CAST(round(greatest(0.01, (event_id % 40) / 40.0) * 100) AS INTEGER) AS ratio_int FROM events WHERE event_id % 40 % 2 = 0")
+@query("SELECT DISTINCT greatest(1, event_id % 400) / 400 AS ratio, CAST(floor(greatest(1, event_id % 400) / 400 * 100 + 0.5) AS INTEGER) AS half_up, CAST(round_even(greatest(1, event_id % 400) / 400 * 100, 0) AS INTEGER) AS half_even FROM events")
 def ratio_percents(s, d):
-    share = F.greatest(F.lit(0.01), (F.col("event_id") % 40) / 40.0)
-    return table(s, d, "events").where("event_id % 40 % 2 = 0").select(percent_of(share).alias("ratio_int")).distinct()
+    """Ratios in whole percent, halves up and halves to even; every other one is a half or a quarter."""
+    ratio = F.greatest(F.lit(1), F.col("event_id") % 400) / 400
+    return table(s, d, "events").select(ratio.alias("ratio"), percent_of(ratio).alias("half_up"), percent_even(ratio).alias("half_even")).distinct()
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang HAVING count(*) > 0 ORDER BY lang")
@@ -669,9 +671,11 @@ def pca_project(s, d):
 
     rows = vector_items(s, d).select("key", "node", array_to_vector("vector").alias("raw"))
     base = rows.where("node = 0")
+    n = base.count()
+    wider = (n / max(1, n - 1)) ** 0.5  # to the population deviation; the components stay as they are
     scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(base)
     pca = PCA(k=2, inputCol="x", outputCol="p").fit(scaler.transform(base))
-    return pca.transform(scaler.transform(rows)).select("key", "node", vector_to_array("p").alias("p")).select("key", "node", F.get("p", F.lit(0)).alias("p0"), F.get("p", F.lit(1)).alias("p1"))
+    return pca.transform(scaler.transform(rows)).select("key", "node", vector_to_array("p").alias("p")).select("key", "node", (F.get("p", F.lit(0)) * wider).alias("p0"), (F.get("p", F.lit(1)) * wider).alias("p1"))
 
 
 def by_model(s, d, model, trees=300):
@@ -690,6 +694,68 @@ def logistic_per_node(s, d):
     return by_model(s, d, "logistic")
 
 
+RESULTS = """results AS (
+  SELECT l_returnflag AS model, l_linestatus AS mode, CASE WHEN l_quantity < 10 THEN NULL ELSE floor(l_quantity / 10) / 10 END AS ratio,
+    CAST(l_suppkey % 8 AS INTEGER) AS node, l_discount AS score FROM lineitem)"""
+
+
+def results_of(s: SparkSession, d: str) -> DataFrame:
+    """lineitem as results of runs: model, mode, ratio (null: full retention), node and a score."""
+    ratio = F.when(F.col("l_quantity") >= 10, F.floor(F.col("l_quantity") / 10) / 10)
+    return table(s, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("mode"), ratio.alias("ratio"), (F.col("l_suppkey") % 8).cast("int").alias("node"), F.col("l_discount").alias("score"))
+
+
+@query(f"WITH {RESULTS} SELECT mode, ratio, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std FROM results GROUP BY ALL")
+def results_mean_std(s, d):
+    return evaluate.mean_std(results_of(s, d), ["mode", "ratio"], ["score"]).select("mode", "ratio", F.round("score_mean", 6).alias("score_mean"), F.round("score_std", 6).alias("score_std"))
+
+
+@query(f"WITH {RESULTS} SELECT model, mode, ratio, round(avg(score), 6) AS score FROM results GROUP BY ALL")
+def results_mean_per_setting(s, d):
+    return evaluate.mean_per_setting(results_of(s, d), ["score"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {RESULTS} SELECT mode, ratio, node, round(max(score), 6) AS score FROM results WHERE mode = 'F' AND (ratio IS NULL OR ratio IN (0.1, 0.3)) GROUP BY ALL")
+def results_subset_in_order(s, d):
+    best = evaluate.subset(results_of(s, d), ["F"], [0.1, 0.3]).groupBy("mode", "ratio", "node").agg(F.round(F.max("score"), 6).alias("score"))
+    return evaluate.in_order(best)
+
+
+@query(f"WITH {RESULTS}, own AS (SELECT DISTINCT model AS mode, ratio FROM results WHERE ratio IS NOT NULL AND NOT (model = 'A' AND ratio > 0.25)) SELECT ratio, count(*) = (SELECT count(DISTINCT mode) FROM own) AS in_all FROM own GROUP BY ratio")
+def results_ratio_sets(s, d):
+    own = results_of(s, d).select(F.col("model").alias("mode"), "ratio").where("NOT (mode = 'A' AND coalesce(ratio, 0) > 0.25)")
+    return evaluate.ratio_sets(own)
+
+
+@query("SELECT CAST(doc_id % 8 AS INTEGER) AS node, count(*) FILTER (toxic = 1 AND quality = 1) AS tp, count(*) FILTER (toxic = 0 AND quality = 1) AS fp, count(*) FILTER (toxic = 1 AND quality = 0) AS fn, count(*) FILTER (toxic = 0 AND quality = 0) AS tn FROM labels GROUP BY ALL")
+def confusion_per_node(s, d):
+    return evaluate.confusion_totals(table(s, d, "labels").select((F.col("doc_id") % 8).cast("int").alias("node"), F.col("toxic").alias("label"), F.col("quality").alias("predicted")), ["node"])
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) > (SELECT count(*) FROM events) - 777 AS in_test FROM events")
+def time_split(s, d):
+    train, test = prep.split_with_drift(table(s, d, "events"), "ts", "event_id", 777)
+    return train.select("event_id", F.lit(False).alias("in_test")).unionByName(test.select("event_id", F.lit(True).alias("in_test")))
+
+
+@query("SELECT c_custkey AS __id, c_mktsegment FROM customer")
+def csv_round_trip(s, d):
+    """Customers written as delimited text to the shared folder and scanned again."""
+    path = tables.work_path(s, "csv")
+    table(s, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment").write.option("header", True).csv(path)
+    return prep.with_global_id(tables.scan_delimited(s, path))
+
+
+@query("SELECT CAST(c_custkey % 4 AS INTEGER) AS node, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY ALL")
+def retained_round_trip(s, d):
+    """Retained rows written, one directory per node, and scanned with their node."""
+    path = f"{tables.work_path(s, 'retained')}/retained"
+    kept = table(s, d, "customer").select((F.col("c_custkey") % 4).cast("int").alias("node"), F.col("c_custkey").alias("__id"), "c_name")
+    tables.write_retained(kept, path)
+    back = tables.read_retained(s, path)
+    return back.groupBy(F.col("node").cast("int").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__id").cast("long")).alias("keys"))
+
+
 # streaming
 
 

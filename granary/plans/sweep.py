@@ -107,6 +107,10 @@ def run(spark: SparkSession, cfg: config.RetentionConfig, out: str) -> DataFrame
     found = []
     for ratio, path in zip(ratios, paths, strict=True):
         kept, sent, totals = full(items, cfg, fanout) if ratio is None else bounded(items, cfg, fanout, n_rows, config.budget(n_rows, ratio), dim)
+        # what is kept is met three times below, and computed once
+        once = tables.work_path(spark, "kept")
+        kept.write.parquet(once)
+        kept = spark.read.schema(kept.schema).parquet(once)
         names = [c for c in rows.columns if c not in OWN]
         ident = [] if "__id" in names else [F.col("__key").alias("__id")]
         whole_rows = kept.join(rows, kept["key"] == rows["__key"]).select("node", *ident, *[F.col(f"`{c}`") for c in names])

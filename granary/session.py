@@ -8,18 +8,22 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "granary", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with AQE on and UTC time; ``conf`` adds or replaces settings."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    """A session with AQE on and UTC time; ``conf`` adds or replaces settings.
+
+    Master and shuffle partitions are those of the cluster that submits, unless they are given. Without either, as for a
+    plain ``python -m granary``, all cores of the machine are the master.
+    """
     settings = {
-        "spark.sql.shuffle.partitions": cpus,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
     } | conf
-    builder = SparkSession.builder.appName(app).master(master or f"local[{cpus}]")
+    builder = SparkSession.builder.appName(app)
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or "SPARK_CONF_DIR" in os.environ
+    if master or not submitted:
+        builder = builder.master(master or "local[*]")
+        settings = {"spark.ui.enabled": "false"} | settings
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

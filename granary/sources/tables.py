@@ -20,9 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-")
-    return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, which Hadoop removes when the application ends.
+
+    It lies in ``spark.checkpoint.dir``; where that is unset, a local master gets a folder of its own, and a cluster fails.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster must name a folder that its executors share")
+        base = tempfile.mkdtemp(prefix="granary-")
+    path = f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def scan_delimited(spark: SparkSession, path: str, separator: str = ",", header: bool = True, quoted: bool = False) -> DataFrame:
@@ -62,6 +72,11 @@ def percent_of(ratio: Column) -> Column:
     return F.floor(ratio * 100 + 0.5).cast("int")
 
 
+def percent_even(ratio: Column) -> Column:
+    """A ratio in whole percent, halves to the even one."""
+    return F.bround(ratio * 100, 0).cast("int")
+
+
 def output_path(root: str, dataset: str, mode: str, ratio: float | None) -> str:
     return f"{root}/{dataset}/{mode}" + ("" if mode == "baseline" or ratio is None else f"/{math.floor(ratio * 100 + 0.5)}")
 

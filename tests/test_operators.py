@@ -347,3 +347,25 @@ def test_an_offer_costs_the_same_at_a_large_budget():
 
     small, large = seconds(500), seconds(8000)
     assert large[1] > 20 or large[0] < 6 * small[0]
+
+
+def test_time_split_by_hand(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([5, 1, 9, 9, 9, 2, None])], "key long, t int")
+    train, test = prep.split_with_drift(df.where("t IS NOT NULL"), "t", "key", 2)
+    assert {r.key for r in test.collect()} == {3, 4} and {r.key for r in train.collect()} == {0, 1, 2, 5}
+    with pytest.raises(ValueError):
+        prep.split_with_drift(df, "t", "key", 7)
+    with pytest.raises(ValueError):
+        prep.sample(df, "key", None, 8, "regression")
+    assert [r["__id"] for r in prep.with_global_id(df.select("t").repartition(3)).orderBy("__id").collect()] == list(range(7))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from granary.sources import tables
+
+    class Spark:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.work_path(Spark, "x")
