@@ -2,7 +2,7 @@
 
 Every line of a file is a unit, so is every block of lines that lines without letters or digits set apart (a comment
 header, a paragraph), and so is the whole text of a licence file. Terms are lower-case
-runs of letters, digits and inner dots, so comment marks don't count. A term's weight is its count times its idf,
+runs of letters, digits and dots that end in a letter or digit, so comment marks don't count. A term's weight is its count times its idf,
 ln((1 + N) / (1 + df)) + 1, with df and N counted over all files, for all terms. A unit's licence is that of the template of
 the highest cosine if that is ``LEAST`` or more, a file's own licence that of its best unit.
 A file without one inherits from the nearest ancestor directory that holds a licence file
@@ -10,7 +10,7 @@ with a licence.
 
 Plan: df is counted in one pass, by partial sums, and written, one row per term. With the templates' weights known, each
 template has terms without which no unit can reach ``LEAST`` - the rest of its terms are too light - so a second pass sends
-on only units, of texts, that hold one of them; this loses no unit. Their terms are counted by partial sums and met by their df, terms
+on only units that hold one of them; this loses no unit. Their terms are counted by partial sums and met by their df, terms
 that very many units hold as ``common.joined_evenly`` tells; templates, a fixed table, are broadcast. Texts are never
 shuffled. Inheritance is resolved once for each distinct directory by an equi-join of its ancestors
 with the licence directories.
@@ -35,6 +35,8 @@ from .common import joined_evenly, written
 from .licence_texts import TEMPLATES
 
 Templates = tuple[tuple[str, str], ...]
+#: A term.
+TERM = "[a-z0-9.]*[a-z0-9]"
 #: What sets blocks of lines apart.
 BETWEEN = "\n[^A-Za-z0-9]*\n"
 #: Names of licence files.
@@ -44,12 +46,11 @@ LEAST = 0.7
 
 def plain_terms(text: str) -> list[str]:
     """The terms of a template; ``terms`` is the same as a column."""
-    return [t for t in re.sub(r"\.( |$)", r"\1", re.sub("[^a-z0-9.]+", " ", text.lower())).split(" ") if t]
+    return re.findall(TERM, text.lower())
 
 
 def terms(text: Column) -> Column:
-    flat = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9.]+", " "), "\\.( |$)", "$1")
-    return F.filter(F.split(flat, " "), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
 def frequencies(files: DataFrame) -> DataFrame:
@@ -74,12 +75,21 @@ def is_licence_file(path: Column) -> Column:
     return F.upper(F.regexp_extract(F.coalesce(path, F.lit("")), "([^/.]*)(\\.[^/]*)?$", 1)).isin(*LICENCE_FILES)
 
 
-def units(text: Column, path: Column) -> Column:
-    """The lines of a text, its blocks of several lines, and all of it if it is a licence file; empty ones are left out."""
-    t = F.coalesce(text, F.lit(""))
-    blocks = F.filter(F.split(t, BETWEEN), lambda b: F.contains(F.btrim(b, F.lit("\n")), F.lit("\n")))
-    whole = F.when(is_licence_file(path), F.array(t)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.concat(F.split(t, "\n"), blocks, whole), lambda u: u != "")
+def units(files: DataFrame, some: Column) -> DataFrame:
+    """(key, content, block, line, terms): the blocks of lines of each text, all of a licence file's, and the lines of blocks of several (``line`` 0 and up).
+
+    Only units that hold one of the terms ``some``; a line does only if its block does, so terms are taken of blocks first.
+    """
+    text = F.coalesce("text", F.lit(""))
+    parts = F.transform(F.split(text, BETWEEN), lambda b: F.struct(b.alias("text"), F.lit(False).alias("all")))
+    every = F.array(F.struct(text.alias("text"), F.lit(True).alias("all")))
+    blocks = F.concat(parts, F.when(is_licence_file(F.col("path")), every).otherwise(F.slice(parts, 1, 0)))
+    each = files.select("key", "content", F.posexplode(blocks).alias("block", "b")).select("key", "content", "block", "b.*").withColumn("terms", terms(F.col("text")))
+    held = each.where(F.arrays_overlap("terms", some))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), terms(x).alias("terms")))
+    of_lines = F.when(~F.col("all") & F.contains(F.btrim("text", F.lit("\n")), F.lit("\n")), F.filter(lines, lambda x: F.arrays_overlap(x["terms"], some))).otherwise(F.slice(lines, 1, 0))
+    unit = F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.col("terms").alias("terms"))), of_lines)).alias("unit")
+    return held.select("key", "content", "block", unit).select("key", "content", "block", "unit.*")
 
 
 def own_licences(files: DataFrame, templates: Templates, least: float = LEAST) -> DataFrame:
@@ -91,20 +101,19 @@ def own_licences(files: DataFrame, templates: Templates, least: float = LEAST) -
     known = {r.term: r.df for r in df.where(F.col("term").isin(vocabulary)).collect()}  # as large as the templates
     idf = {t: math.log((1 + n) / (1 + known.get(t, 0))) + 1 for t in vocabulary}
     must = sorted({t for _, x in templates for t in needed(x, idf, least)})
-    some = F.array(*map(F.lit, must))
-    each = files.where(F.arrays_overlap(terms(F.col("text")), some)).select("key", "content", F.posexplode(units(F.col("text"), F.col("path"))).alias("unit", "line"))
-    held = each.select("key", "content", "unit", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", some))
-    counted = written(held.select("key", "content", "unit", F.explode("terms").alias("term")).groupBy("key", "content", "unit", "term").agg(F.count(F.lit(1)).alias("tf")), "counted")
+    unit = ["key", "content", "block", "line"]
+    held = units(files, F.array(*map(F.lit, must)))
+    counted = written(held.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf")), "counted")
     met = counted.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(df, "term")
-    weighed = joined_evenly(counted, written(met, "met"), ["term"], "rows", counted.count(), F.struct("key", "unit"))
+    weighed = joined_evenly(counted, written(met, "met"), ["term"], "rows", counted.count(), F.struct(*unit))
     weighed = weighed.withColumn("w", F.col("tf") * (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1))
     vectors = [{t: c * idf[t] for t, c in Counter(plain_terms(x)).items()} for _, x in templates]
     norms = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
     table = F.broadcast(spark.createDataFrame([(t, k, w / norms[k]) for k, v in enumerate(vectors) for t, w in sorted(v.items())], "term string, k int, v double"))
-    unit = ["key", "content", "unit"]
-    of_unit = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).select(F.col("key").alias("u_key"), F.col("content").alias("u_content"), F.col("unit").alias("u_unit"), "norm")
+    of_unit = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).select(*[F.col(c).alias(f"u_{c}") for c in unit], "norm")
     dots = weighed.join(table, "term").groupBy(*unit, "k").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(of_unit, F.col("key").eqNullSafe(F.col("u_key")) & (F.col("content") == F.col("u_content")) & (F.col("unit") == F.col("u_unit")))
+    same = F.col("key").eqNullSafe(F.col("u_key")) & (F.col("content") == F.col("u_content")) & (F.col("block") == F.col("u_block")) & (F.col("line") == F.col("u_line"))
+    scored = dots.join(of_unit, same)
     scored = scored.select("key", "content", F.struct(F.round(F.col("dot") / F.col("norm"), 6).alias("score"), (-F.col("k")).alias("k")).alias("best"))
     found = scored.where(F.col("best.score") >= least).groupBy("key", "content").agg(F.max("best").alias("best"))
     name = F.element_at(F.array(*[F.lit(name) for name, _ in templates]), (1 - F.col("best.k")).cast("int"))
@@ -148,7 +157,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     def split(column: str) -> str:
-        return rf"[t FOR t IN string_split(regexp_replace(regexp_replace(lower({column}), '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', '\1', 'g'), ' ') IF t <> '']"
+        return f"regexp_extract_all(lower({column}), '{TERM}')"
 
     rows = ", ".join(f"({k}, '{name}', '{t}', CAST({c} AS DOUBLE))" for k, (name, x) in enumerate(TEMPLATES) for t, c in sorted(Counter(plain_terms(x)).items()))
     return rf"""
