@@ -240,7 +240,7 @@ def sequence_hashes(words: Words, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts in ``column`` hold about ``most`` bytes; one long text stays whole."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, a = np.cumsum(size), 0

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import slices
 
 LENGTH = 1024
 END_ID = 0
@@ -114,7 +115,7 @@ def pack(docs: DataFrame, length: int = LENGTH, ranks: str | None = None, keep_i
 
         for batch in batches:
             rows = []
-            for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, text, part in (r for cut in slices(batch, "text") for r in zip(*(cut.column(k).to_pylist() for k in range(3)), strict=True)):
                 number = number or part << 32
                 ids = np.append(tokens.ids(text or "", ranks), END_ID).astype("<u4")
                 head = len(ids) // length * length

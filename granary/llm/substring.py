@@ -48,7 +48,7 @@ ANCHOR = 7
 PART = 256
 REGION = 512
 #: Letters of a shard's windows, about; an automaton has that many nodes at most.
-SHARD_NODES = 1 << 19
+SHARD_NODES = 1 << 18
 #: Parts that one automaton streams; a shard with more is compiled again for the next ones.
 SALT_EACH = 4096
 #: In the automaton a word is two letters, of 6 and 18 bits of its hash: an automaton's node seeks among its children one by

@@ -299,7 +299,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0)
-            for part in slices(pa.RecordBatch.from_arrays([rows, pc.struct_field(rows, "text")], names=["row", "text"]), "text", 2 << 20):
+            for part in slices(pa.RecordBatch.from_arrays([rows, pc.struct_field(rows, "text")], names=["row", "text"]), "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(shared.value.scores(part.column("text")), pa.float64())], names=["row", "score"])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
