@@ -40,7 +40,8 @@ class RetentionConfig:
     """Settings of a run.
 
     ``ratios`` are shares of all rows that each node may keep. ``order``: ``sequential`` nodes decide row by row and
-    gossip in ``rounds``; ``free`` nodes keep what an order-free rule picks, and do not gossip.
+    gossip in ``rounds``; ``interleaved`` ones gossip between rows (``view``, ``shuffle``, ``swap``, ``cycle``, ``batch``, ``queue``), all in one
+    task a ratio; ``free`` nodes keep what an order-free rule picks, and do not gossip.
     """
 
     path: str = ""
@@ -61,6 +62,12 @@ class RetentionConfig:
     rounds: int = 8
     order: str = "sequential"
     report_every: int = 1000
+    view: int | None = None
+    shuffle: int | None = None
+    swap: int = 50
+    cycle: int = 50
+    batch: int = 64
+    queue: int = 100_000
 
     def __post_init__(self):
         checks = {
@@ -75,8 +82,15 @@ class RetentionConfig:
             "max_reps": self.max_reps is None or self.max_reps >= 1,
             "fanout": self.fanout is None or self.fanout >= 1,
             "rounds": self.rounds >= 1,
-            "order": self.order in ("sequential", "free"),
+            "order": self.order in ("sequential", "interleaved", "free"),
+            "interleaved full retention": self.order != "interleaved" or self.mode.lower() != "baseline",
             "report_every": self.report_every >= 1,
+            "view": self.view is None or self.view >= 1,
+            "shuffle": self.shuffle is None or self.shuffle >= 1,
+            "swap": self.swap >= 1,
+            "cycle": self.cycle >= 1,
+            "batch": self.batch >= 1,
+            "queue": self.queue >= 1,
         }
         wrong = [k for k, good in checks.items() if not good]
         if wrong:

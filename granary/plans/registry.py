@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary import config
 from granary.functions import expr as X
-from granary.operators import evaluate, features, gossip, prep, retention, rounds, stateful, vectors
+from granary.operators import evaluate, features, fleet, gossip, prep, retention, rounds, stateful, vectors
 from granary.sources import tables
 from granary.sources.tables import dataset_key, percent_even, percent_of, table
 from granary.streaming import stream
@@ -463,6 +463,49 @@ def gossip_counters(s, d):
     return rounds.counters(events).join(bytes_out, "node", "left").fillna(0, ["bytes_sent"])
 
 
+# the fleet row by row
+
+CREW = 4
+
+
+def whole_fleet(s, d):
+    """Nodes that may keep everything and know all others: what happens does not depend on any draw."""
+    items = stream_items(s, d).withColumn("node", X.owner(F.col("seq"), CREW)).withColumn("vector", F.array(F.coalesce("value", F.lit(0.0)).cast("float")))
+    others = CREW - 1
+    return fleet.simulate(items, [("random", table(s, d, "events").count(), 1)], fleet.Fleet(CREW, others, others, others))
+
+
+@query(f"""WITH {ITEMS}, own AS (SELECT CAST(seq % {CREW} AS INTEGER) AS node, count(*) AS own FROM items GROUP BY ALL), whole AS (SELECT count(*) AS n, CAST(sum(payload) AS BIGINT) AS bytes FROM items)
+SELECT node, own + {CREW - 1} * n AS seen, n AS admitted, own + {CREW - 2} * n AS dropped, CAST(0 AS BIGINT) AS evicted, n AS stored, CAST(0 AS BIGINT) AS queue, CAST(0 AS BIGINT) AS lost, {CREW - 1} * bytes AS bytes_sent FROM own, whole""")
+def fleet_totals(s, d):
+    """The owner sends each row to all others; each of them sends it on to all others, which hold it."""
+    return fleet.finals(whole_fleet(s, d)).select("node", "seen", "admitted", "dropped", "evicted", "stored", "queue", "lost", "bytes_sent")
+
+
+@query(f"WITH {ITEMS} SELECT CAST(range AS INTEGER) AS node, key FROM items, range({CREW})")
+def fleet_stored(s, d):
+    return fleet.stored(whole_fleet(s, d)).select("node", "key")
+
+
+def fleet_runs(s, d):
+    """Both bounded modes at two ratios, gossiping among eight nodes with derived views."""
+    items = vector_items(s, d).withColumn("payload", X.payload_bytes(F.col("key"), F.col("label")))
+    n, (view, fanout) = table(s, d, "embeddings").count(), config.overlay_sizes(NODES)
+    runs = [(mode, room, config.max_representatives(room)) for mode in ("random", "utility") for r in (0.05, RATIO) for room in [config.budget(n, r)]]
+    return fleet.simulate(items, runs, fleet.Fleet(NODES, fanout, view, view, every=100))
+
+
+@query()
+def fleet_finals(s, d):
+    return fleet.finals(fleet_runs(s, d))
+
+
+@query()
+def fleet_progress(s, d):
+    """Stored rows, queue lengths, utility and bytes sent after every hundred rows."""
+    return fleet.progress(fleet_runs(s, d))
+
+
 # metrics
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary import config
 from granary.functions import expr as X
-from granary.operators import features, gossip, retention, rounds, stateful, vectors
+from granary.operators import features, fleet, gossip, retention, rounds, stateful, vectors
 from granary.sources import tables
 
 TOTALS = ("node", "seen", "admitted", "dropped", "evicted", "stored", "stored_bytes", "bytes_sent")
@@ -87,6 +87,18 @@ def bounded(items: DataFrame, cfg: config.RetentionConfig, fanout: int, n_rows:
     return stateful.stored(events), sent, rounds.counters(events).select("node", "seen", "admitted", "dropped", "evicted")
 
 
+def interleaved(items: DataFrame, cfg: config.RetentionConfig, fanout: int, room: int, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, bytes by sender, totals) of a fleet that gossips between rows; its reports are written to ``path``/reports."""
+    reps, view = min(cfg.max_reps or config.max_representatives(room), max(1, room - 1)), min(cfg.view or config.overlay_sizes(cfg.nodes)[0], max(1, cfg.nodes - 1))
+    how = fleet.Fleet(cfg.nodes, fanout, view, cfg.shuffle or view, cfg.swap, cfg.cycle, cfg.batch, cfg.queue, max(1, cfg.ttl), cfg.report_every)
+    work = tables.work_path(items.sparkSession, "fleet")
+    fleet.simulate(items, [(cfg.mode.lower(), room, reps)], how, gamma=cfg.gamma, lo=cfg.balance_min, hi=cfg.balance_max).write.parquet(work)
+    events = items.sparkSession.read.schema(fleet.EVENT).parquet(work)
+    events.where("kind = 'REPORT'").drop("run", "kind", "key").write.mode("overwrite").json(f"{path}/reports")
+    last = fleet.finals(events)
+    return fleet.stored(events).select("node", "key"), last.select(F.col("node").alias("src"), F.col("bytes_sent").alias("payload")), last.select("node", "seen", "admitted", "dropped", "evicted")
+
+
 def run(spark: SparkSession, cfg: config.RetentionConfig, out: str) -> DataFrame:
     """Totals per node and ratio (``ratio`` is null for full retention), after all outputs are written.
 
@@ -106,7 +118,12 @@ def run(spark: SparkSession, cfg: config.RetentionConfig, out: str) -> DataFrame
     dim = len(features.feature_columns(rows.drop(*OWN), cfg.ignore, cfg.id_column))
     found = []
     for ratio, path in zip(ratios, paths, strict=True):
-        kept, sent, totals = full(items, cfg, fanout) if ratio is None else bounded(items, cfg, fanout, n_rows, config.budget(n_rows, ratio), dim)
+        if ratio is None:
+            kept, sent, totals = full(items, cfg, fanout)
+        elif cfg.order == "interleaved":
+            kept, sent, totals = interleaved(items, cfg, fanout, config.budget(n_rows, ratio), path)
+        else:
+            kept, sent, totals = bounded(items, cfg, fanout, n_rows, config.budget(n_rows, ratio), dim)
         # what is kept is met three times below, and computed once
         once = tables.work_path(spark, "kept")
         kept.write.parquet(once)
