@@ -6,13 +6,16 @@ framing; a block longer than ``segment`` bytes is cut into a first record and co
 records. Archives are whole-file gzip, written by Spark to the shared folder.
 
 Reading: archives come in as binary files of bounded size, whole-file gzip, one gzip member for each record, or plain;
-they are inflated and parsed step by step. Records that are wholly equal are counted, the others of a page grouped by origin
-identifier, ordered by segment number and checked against the total length; then chunked framing is decoded.
+they are inflated and parsed step by step. A page's records are grouped by origin identifier and target, ordered by segment number and
+checked against the total length; then chunked framing is decoded. A page whose records all come by in one task is put together
+there; records of the others, as of pages that go on in another archive, are grouped by a shuffle. A page stands as often as
+its first record, if each of its records stands at all.
 
 Plan: digests are computed on the JVM; the largest id per digest is summed before the
 shuffle and joined back to ids alone, evenly (``common.joined_evenly``), so a payload that very many pages share moves only
-ids. Payloads are shuffled once to be written and once to be reassembled; equal records are one before that
-second shuffle, so a group is as large as one page, however often its row stands.
+ids. Payloads are shuffled once to be written. Reading shuffles a short row of each page, with its payload only if that is asked for, and the
+records of pages that no task met whole. A task merges equal rows among those that it holds, and equal records are one
+before they are grouped, so a group is as large as one page, however often its row stands.
 
 Defined cases: null html is an empty payload, as is an empty one; a very long payload is many segments; a null page_id never is the
 largest, unless all ids of a payload are null; rows that are wholly equal give equal records, one each; rows of one id and
@@ -26,7 +29,9 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
+from typing import NamedTuple
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -41,6 +46,9 @@ CHUNK = 4096
 #: Bytes of records in one row of an archive, and such rows in one file.
 ROW_BYTES = 4 << 20
 ROWS_EACH = 4
+#: Bytes of records that a task holds for pages which are not yet whole, and what a row counts beside its block.
+HELD_BYTES = 16 << 20
+ROW_COST = 256
 #: Bytes that one step of inflating takes in.
 STEP = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -182,82 +190,171 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
     rows.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", ROWS_EACH).text(path)
 
 
+class Record(NamedTuple):
+    """One record; or, put together of all its records, a page: ``number`` counts these, ``length`` and ``block`` are the payload's."""
+
+    origin: str
+    number: int
+    total: int | None
+    kind: str
+    url: str | None
+    digest: str | None
+    refers_to: str | None
+    length: int | None
+    block: bytes | None
+
+
 RECORD = "origin string, number int, total long, kind string, url string, digest string, refers_to string, length long, block binary"
+FOUND = f"whole boolean, copies long, {RECORD}"
+PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int, url string, payload binary"
+
+
+def batches_of(rows: Iterable[tuple], columns: str) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``ROW_BYTES``; a row's last value is its longest."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += ROW_COST + len(row[-1] or "")
+        if size > ROW_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def records_of_archive(content: bytes) -> Iterator[Record]:
+    """The records of an archive in turn."""
+    bare = lambda x: x.strip("<>") if x else None
+    number = lambda x: int(x) if x else None
+    for f, block in records_in(inflated(content)):
+        segment, get = f.get("warc-segment-number"), f.get
+        origin = bare(get("warc-segment-origin-id") or f["warc-record-id"])
+        total = number(get("warc-segment-total-length")) or (None if segment else len(block))
+        digest = (get("warc-payload-digest") or "").removeprefix("sha1:") or None
+        yield Record(origin, int(segment or 1), total, f["warc-type"], get("warc-target-uri"), digest, bare(get("warc-refers-to")), number(get("warc-payload-length")), block)
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+
+
+def records_of_archives(batches: Iterable[pa.RecordBatch]) -> Iterator[Record]:
+    for batch in batches:
+        for content in batch.column(0):
+            yield from records_of_archive(content.as_py())
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record below ``path``; ``origin`` is the record that a continuation belongs to."""
-    schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in RECORD.split(", ")])
+    return archives(spark, path).mapInArrow(lambda batches: batches_of(records_of_archives(batches), RECORD), RECORD)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bare = lambda x: x.strip("<>") if x else None
-        number = lambda x: int(x) if x else None
-        for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
-                for f, block in records_in(inflated(content.as_py())):
-                    segment, get = f.get("warc-segment-number"), f.get
-                    origin = bare(get("warc-segment-origin-id") or f["warc-record-id"])
-                    total = number(get("warc-segment-total-length")) or (None if segment else len(block))
-                    digest = (get("warc-payload-digest") or "").removeprefix("sha1:") or None
-                    rows.append((origin, int(segment or 1), total, f["warc-type"], get("warc-target-uri"), digest, bare(get("warc-refers-to")), number(get("warc-payload-length")), block))
-                    size += len(block)
-                    if size > ROW_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORD)
 
+def page_of(parts: Iterable[Record], keep_payload: bool) -> Record:
+    """The page of these records."""
+    by_number = {p.number: p for p in parts}
+    n = len(by_number)
+    origin = next(iter(by_number.values())).origin
+    if sorted(by_number) != list(range(1, n + 1)):
+        raise ValueError(f"{origin}: segments are missing")
+    first, block = by_number[1], b"".join(by_number[k].block for k in range(1, n + 1))
+    if by_number[n].total != len(block):
+        raise ValueError(f"{origin}: {len(block)} bytes, not {by_number[n].total}")
+    if first.kind == "revisit":
+        return first._replace(number=n, total=None, block=None)
+    payload = unchunked(block[block.index(b"\r\n\r\n") + 4 :])
+    if (digest := base32_sha1(payload)) != first.digest:
+        raise ValueError(f"{origin}: the payload is not what its digest says")
+    return Record(origin, n, None, "response", first.url, digest, None, len(payload), payload if keep_payload else None)
+
+
+def settled(records: Iterable[Record], keep_payload: bool, most: int = HELD_BYTES) -> Iterator[tuple]:
+    """Rows of ``FOUND``: pages whose records are all among these, and the records that are left. A page takes one copy of each."""
+    held, held_size = {}, 0
+    out, out_size = {}, 0
+
+    def put(whole: bool, row: Record) -> None:
+        nonlocal out_size
+        known = out.get((whole, row))
+        out[whole, row] = (known or 0) + 1
+        out_size += 0 if known else ROW_COST + len(row.block or b"")
+
+    for record in records:
+        key = record.origin, record.url
+        parts = held.setdefault(key, {})
+        if record.number in parts:  # of another copy: the earlier one goes on
+            for p in parts.values():
+                put(False, p)
+                held_size -= ROW_COST + len(p.block)
+            parts.clear()
+        parts[record.number] = record
+        held_size += ROW_COST + len(record.block)
+        if 1 in parts and len(parts) in parts and parts[len(parts)].total is not None:
+            put(True, page_of(parts.values(), keep_payload))
+            held_size -= sum(ROW_COST + len(p.block) for p in held.pop(key).values())
+        elif held_size > most:
+            for p in chain.from_iterable(parts.values() for parts in held.values()):
+                put(False, p)
+            held, held_size = {}, 0
+        if out_size > ROW_BYTES:
+            yield from ((whole, copies, *row) for (whole, row), copies in out.items())
+            out, out_size = {}, 0
+    for p in chain.from_iterable(parts.values() for parts in held.values()):
+        put(False, p)
+    yield from ((whole, copies, *row) for (whole, row), copies in out.items())
+
+
+def gathered(found: DataFrame, keep_payload: bool) -> DataFrame:
+    """One row per response or revisit, of rows that ``settled`` returns."""
+    part = ("whole", *Record._fields[1:])
+    columns = PAGE if keep_payload else PAGE.removesuffix(", payload binary")
+    once = found.repartition("origin", "url").groupBy("origin", *part).agg(F.sum("copies").alias("copies"))
+    grouped = once.groupBy("origin", "url").agg(F.collect_list(F.struct("copies", *part)).alias("parts")).select("origin", "parts")
+    page_id = lambda x: None if not x or (m := re.match(r"urn:page:(-?\d+)", x)) is None else int(m[1])
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for origin, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole, rest = [], []
+                for p in parts.as_py():
+                    copies, done = p.pop("copies"), p.pop("whole")
+                    (whole if done else rest).append((Record(origin, **p), copies))
+                if rest:
+                    lacking = whole and {p.number for p, _ in rest} != set(range(1, whole[0][0].number + 1))
+                    page = whole[0][0] if lacking else page_of((p for p, _ in rest), keep_payload)
+                    whole.append((page, sum(n for p, n in rest if p.number == 1)))
+                for p, copies in whole:
+                    row = page_id(origin), p.length, p.digest, p.kind, page_id(p.refers_to), p.number, p.url, p.block
+                    yield from repeat(row if keep_payload else row[:-1], copies)
 
-PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int, url string, payload binary"
+    return grouped.mapInArrow(lambda batches: batches_of(pages(batches), columns), columns)
 
 
 def reassembled(records: DataFrame, keep_payload: bool = True) -> DataFrame:
     """One row per response or revisit, with its payload put together, checked and decoded."""
-    part = ("number", "total", "kind", "url", "digest", "refers_to", "length", "block")
-    once = records.groupBy("origin", *part).agg(F.count(F.lit(1)).alias("copies"))
-    grouped = once.groupBy("origin", "url").agg(F.sort_array(F.collect_list(F.struct(*part, "copies"))).alias("parts")).select("origin", "parts")
-    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PAGE.split(", ")][: None if keep_payload else -1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
         for batch in batches:
-            out = []
-            for origin, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out += page_of(origin, parts.as_py(), keep_payload)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield from (Record(*(c[k].as_py() for c in batch.columns)) for k in range(batch.num_rows))
 
-    return grouped.mapInArrow(run, PAGE if keep_payload else PAGE.removesuffix(", payload binary"))
+    return gathered(records.select(*Record._fields).mapInArrow(lambda batches: batches_of(settled(rows(batches), keep_payload), FOUND), FOUND), keep_payload)
 
 
-def page_of(origin: str, parts: list[dict], keep_payload: bool) -> list[tuple]:
-    """The rows of one origin; equal records give equal rows."""
-    by_number = {p["number"]: p for p in parts}
-    copies = sum(p["copies"] for p in parts if p["number"] == 1)
-    if sorted(by_number) != list(range(1, len(by_number) + 1)):
-        raise ValueError(f"{origin}: segments are missing")
-    first, block = by_number[1], b"".join(by_number[k]["block"] for k in sorted(by_number))
-    if by_number[len(by_number)]["total"] != len(block):
-        raise ValueError(f"{origin}: {len(block)} bytes, not {by_number[len(by_number)]['total']}")
-    page_id, refers = (None if not x or (m := re.match(r"urn:page:(-?\d+)", x)) is None else int(m[1]) for x in (origin, first["refers_to"]))
-    if first["kind"] == "revisit":
-        found = (page_id, first["length"], first["digest"], "revisit", refers, len(by_number), first["url"], None)
-    else:
-        payload = unchunked(block[block.index(b"\r\n\r\n") + 4 :])
-        if (digest := base32_sha1(payload)) != first["digest"]:
-            raise ValueError(f"{origin}: the payload is not what its digest says")
-        found = (page_id, len(payload), digest, "response", None, len(by_number), first["url"], payload)
-    return [found if keep_payload else found[:-1]] * copies
+def read_pages(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
+    """``reassembled`` of all records below ``path``; a page that one task reads whole leaves it as one row."""
+    return gathered(archives(spark, path).mapInArrow(lambda batches: batches_of(settled(records_of_archives(batches), keep_payload), FOUND), FOUND), keep_payload)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``pages`` written as archives in the shared folder and read back."""
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return reassembled(read_records(spark, path), keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_pages(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: What the archives hold, from the pages themselves; base32 takes five hex digits to four letters.

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -209,6 +210,59 @@ def test_equal_pages_and_urls_of_one_page(spark):
     assert Counter((r.page_id, r.url, r.refers_to) for r in rows.collect()) == Counter((i, u, 699 if u == "w" and i < 699 else None) for i, u, _ in pages)
 
 
+def test_pages_over_several_archives(spark, tmp_path):
+    payloads = {k: random.Random(k).randbytes(50_000) for k in range(1, 5)} | {5: b"short"}
+    each = {k: list(warc.records_of(k, f"http://x/{k}", p, warc.base32_sha1(p), None)) for k, p in payloads.items()}
+    whole = {k: b"".join(x) for k, x in each.items()}
+    in_turn = [x for pair in zip(each[3], each[3], strict=True) for x in pair]
+    for name, parts in {"a": [whole[1], whole[5], *each[2][:1]], "b": [*each[2][1:], whole[1], *in_turn], "c": [*reversed(each[4]), whole[5]]}.items():
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(b"".join(parts)))
+    want = Counter({1: 2, 2: 1, 3: 2, 4: 1, 5: 2})
+    for found in (warc.read_pages(spark, str(tmp_path)), warc.reassembled(warc.read_records(spark, str(tmp_path)).repartition(3))):
+        rows = found.collect()
+        assert Counter(r.page_id for r in rows) == want
+        assert all(bytes(r.payload) == payloads[r.page_id] and r.payload_bytes == len(payloads[r.page_id]) for r in rows)
+    bare = warc.read_pages(spark, str(tmp_path), keep_payload=False).collect()
+    assert Counter(r.page_id for r in bare) == want and "payload" not in bare[0]
+    (tmp_path / "d.gz").write_bytes(gzip.compress(each[1][0] + each[1][2] + each[3][1]))
+    assert Counter(r.page_id for r in warc.read_pages(spark, str(tmp_path)).collect()) == want + Counter([1])
+    (tmp_path / "e.gz").write_bytes(gzip.compress(b"".join(warc.records_of(6, "u", b"z" * 50_000, "D", None)).rpartition(b"WARC/1.1")[0]))
+    with pytest.raises(Exception, match="urn:page:6:D"):
+        warc.read_pages(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("most", [1, 40_000, 1 << 30])
+def test_records_that_a_task_does_not_hold(most):
+    payloads = [bytes([k]) * 50_000 for k in range(4)]
+    data = b"".join(x for k, p in enumerate(payloads) for x in warc.records_of(k, None, p, warc.base32_sha1(p), None))
+    records = list(warc.records_of_archive(data))
+    rows = list(warc.settled(iter(records * 3), True, most))
+    assert {1 << 30: {True}}.get(most, {False}) == {whole for whole, *_ in rows}
+    copies = Counter()
+    for whole, n, *row in rows:
+        row = warc.Record(*row)
+        copies[row.origin, None if whole else row.number] += n
+        assert not whole or row.block == payloads[int(row.origin.split(":")[2])]
+    assert set(copies.values()) == {3} and len(copies) == (4 if most == 1 << 30 else len(records))
+
+
+def test_payloads_are_shuffled_only_to_be_written(spark, tmp_path):
+    pages = [(k, f"http://x/{k}", random.Random(k).randbytes(5_000 + 20_000 * (k % 10 == 0)).hex()) for k in range(400)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    context = spark.sparkContext
+    context.setJobGroup("shuffles of op8_warc", "")
+    try:
+        rows = warc.op8_warc(spark, str(tmp_path)).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.page_id: r.payload_bytes for r in rows} == {k: len(h) for k, _, h in pages} and len(rows) == 400
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {k for job in tracker.getJobIdsForGroup("shuffles of op8_warc") for k in tracker.getJobInfo(job).stageIds}
+    found = [store.lastStageAttempt(k) for k in stages]
+    assert 0 < sum(x.shuffleWriteBytes() for x in found) < 1.3 * sum(len(h) for _, _, h in pages)
+
+
 def test_empty_archive(spark):
     path = shared_path(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
