@@ -47,9 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that id stay, as their copies under other ids go. Texts that tie there are equal.
     """
     own, text = docs.select(whole(docs).alias("row"), "doc_id"), F.col("row").getField("text")
-    gone = neardup.near_duplicates(docs, words_each=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = written(neardup.near_duplicates(docs, words_each=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
     left = own.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    twice = own.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
+    twice = written(own.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice")), "twice")
+    if twice.isEmpty():
+        return rows_of(left, docs)
     words = word_array(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase))
     nth = F.row_number().over(Window.partitionBy("doc_id", F.array_join(words, " ")).orderBy(text))
     again = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")

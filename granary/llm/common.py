@@ -6,6 +6,8 @@ below 0x80, so words are found on UTF-8 bytes without decoding.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -83,15 +85,25 @@ HOT_KEYS = 1024
 HOT_ROWS = 512
 
 
-def joined_evenly(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, spread: Column, keep: str = "inner") -> DataFrame:
+def loads_of(keyed: DataFrame, count: str) -> tuple[int, int]:
+    """The sum and the largest of ``count``: ``total`` and ``most`` of ``joined_evenly``."""
+    total, most = keyed.agg(F.sum(count), F.max(count)).first()
+    return total or 0, most or 0
+
+
+def joined_evenly(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int, spread: Column, keep: str = "inner", most: int | None = None) -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row per key and, in ``count``, how many of the ``total`` rows bear it.
 
     Hot keys - fewer than ``HOT_KEYS``, as each has over a ``HOT_KEYS``th of all rows - are broadcast, and their rows
-    are dealt by ``spread`` instead of by the key, so no task gets all rows of one. ``count`` is dropped.
+    are dealt by ``spread`` instead of by the key, so no task gets all rows of one. ``count`` is dropped. If ``most``, the largest
+    count, tells that no key is hot, the plan is a plain join.
     """
     values = [c for c in keyed.columns if c not in on and c != count]
     limit = max(HOT_ROWS, total // HOT_KEYS)
     pack = lambda name: F.struct(F.lit(True).alias("met"), *values).alias(name)
+    if most is not None and most <= limit:
+        met = rows.join(keyed.select(*on, pack("__cold")), on, keep)
+        return met.select(*rows.columns, *[F.col("__cold").getField(v).alias(v) for v in values])
     hot = F.broadcast(keyed.where(F.col(count) > limit).select(*on, pack("__hot")))
     cold = keyed.where(F.col(count) <= limit).select(*on, F.lit(0).cast("long").alias("__salt"), pack("__cold"))
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT_KEYS))).cast("long")
@@ -135,6 +147,16 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def released() -> None:
+    """Gives back to the system what this process holds of memory that nothing uses any more."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 class Words:
     """The words of a column of texts.
 

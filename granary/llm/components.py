@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each round replaces every node's links by links to its smallest neighbour, first
-towards larger neighbours, then towards smaller ones, until nothing changes. Minima
+towards larger neighbours, then towards smaller ones, until all links are stars: a node
+has one smaller neighbour, its component, or is that itself. Minima and counts
 are summed before they are shuffled, so a node with very many links is no hot group.
 Rounds are written to the shared folder, which ends their lineage.
 """
@@ -28,15 +29,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node that has a smaller neighbour has just one, and no larger neighbours."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
+
+
 def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component) of every node in ``links`` (x, y); the component is its smallest node."""
     edges = links.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     edges = written(edges, "edges", files)
-    while True:
-        after = written(_star(_star(edges, large=True), large=False), "edges", files)
-        print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if print_of(after) == print_of(edges):
-            break
-        edges = after
-    nodes = after.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return nodes.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    while not _stars(edges):
+        edges = written(_star(_star(edges, large=True), large=False), "edges", files)
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -22,7 +22,9 @@ So every pair that shares a band is estimated and verified, ruled out exactly or
 a group of copies costs its size, also if up to ``BLOCK`` of its bucket are not connected to it. Members that are not connected cost
 their number squared in comparisons of 256 bytes, and only those near each other that pass the sieves in comparisons of sets, in blocks of ``BLOCK``.
 
-Plan: texts are shuffled once per stage of verification, and only rows of candidates go on.
+Plan: texts are shuffled once per stage of verification, and only rows of candidates go on. What a later plan reads more than
+once is written first, so that no plan holds another one several times: the driver keeps a thread for each of a plan's exchanges and
+writes the whole plan down each time one is done.
 Groups of a common smallest member are salted by their size; classes, and shingles that very many documents hold, are
 met as ``common.joined_evenly`` tells.
 
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, files_for, joined_evenly, mix64, sequence_hashes, slices, window_hashes, written
+from .common import Words, files_for, joined_evenly, loads_of, mix64, sequence_hashes, slices, window_hashes, written
 from .components import components
 
 U = np.uint64
@@ -137,7 +139,8 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int, files: int) -> Da
     """The (lead, doc_id) pairs whose sizes and registers allow a link."""
     loads = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("rows"))
     other = written(reps.select(F.col("doc_id").alias("lead"), F.col("n_shingles").alias("m"), F.col("registers").alias("lead_registers")).join(loads, "lead"), "leads", files)
-    sized = joined_evenly(pairs.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "registers"), "doc_id"), other, ["lead"], "rows", pairs.count(), F.col("doc_id"))
+    total, most = loads_of(other, "rows")
+    sized = joined_evenly(pairs.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "registers"), "doc_id"), other, ["lead"], "rows", total, F.col("doc_id"), most=most)
     sized = sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("lead", "doc_id", "n", "m", "registers", "lead_registers")
     least = percent / 100
 
@@ -162,11 +165,12 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[np.minimum(at, len(a) - 1)] == b).sum())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words_each: int, percent: int, files: int) -> DataFrame:
     """(x, y): the (lead, doc_id) pairs that are links by their whole sets."""
-    size = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")).withColumn("salts", F.ceil(F.col("rows") / SALT_EACH))
-    salted = joined_evenly(pairs, size, ["lead"], "rows", pairs.count(), F.col("doc_id")).select("lead", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), F.col("doc_id").alias("node"))
-    leads = salted.select("lead", "salt").distinct().select("lead", "salt", F.lit(0).alias("kind"), F.col("lead").alias("node"))
+    size = written(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")).withColumn("salts", F.ceil(F.col("rows") / SALT_EACH)), "salts", files)
+    total, most = loads_of(size, "rows")
+    salted = joined_evenly(pairs, size, ["lead"], "rows", total, F.col("doc_id"), most=most).select("lead", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), F.col("doc_id").alias("node"))
+    leads = size.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("lead").alias("node"))
     need = salted.unionByName(leads)
     rows = need.join(texts.withColumnRenamed("doc_id", "node"), "node")
     dealt = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind", "node").select("lead", "kind", "node", "text")
@@ -248,7 +252,8 @@ def mixed_keys(members: DataFrame, files: int) -> DataFrame:
     mixed = of_key.where("components > 1")
     once = mixed.groupBy("rows", "same", "mains", "largest").agg(F.min("key").alias("key")).select("key", "rows", "mains", (F.col("rows") - F.col("mains")).alias("others"), "largest")
     once = written(once.withColumn("count", F.col("rows")), "mixed", files)
-    met = joined_evenly(members, once.drop("rows"), ["key"], "count", once.agg(F.sum("count")).first()[0] or 0, F.col("doc_id"))
+    total, most = loads_of(once, "count")
+    met = joined_evenly(members, once.drop("rows"), ["key"], "count", total, F.col("doc_id"), most=most)
     return met.select("key", "doc_id", "component", (F.col("component") == F.col("largest")).alias("main"), "mains", "others")
 
 
@@ -293,7 +298,8 @@ def linkable(members: DataFrame, texts: DataFrame, words_each: int, percent: int
     held = texts.join(nodes, "doc_id").select("doc_id", "component", "text").mapInArrow(run, "h long, doc_id long, component long, sign long, n long")
     common_to = held.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("rows")).where("a <> b").select("h", "rows")
     common_to = written(common_to, "common", files)
-    met = joined_evenly(held, common_to, ["h"], "rows", common_to.agg(F.sum("rows")).first()[0] or 0, F.col("doc_id"))
+    total, most = loads_of(common_to, "rows")
+    met = joined_evenly(held, common_to, ["h"], "rows", total, F.col("doc_id"), most=most)
     able = met.groupBy("doc_id", "sign", "n").agg(F.count(F.lit(1)).alias("s")).where(100 * F.col("s") >= percent * F.col("n"))
     able = written(able.select("doc_id", "n", "s", (F.col("s") / F.col("n")).alias("part")), "able", files)
     parts = members.join(able, "doc_id")
@@ -374,7 +380,8 @@ def cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, words_eac
     of_main = lambda main: F.sum(F.when(F.col("main") == F.lit(main), F.col("n")).otherwise(0))
     loads = sized.groupBy("key").agg(of_main(True).alias("main_shingles"), of_main(False).alias("other_shingles"), F.count(F.lit(1)).alias("rows"))
     loads = written(loads, "loads", files)
-    held = joined_evenly(members, loads, ["key"], "rows", loads.agg(F.sum("rows")).first()[0] or 0, F.col("doc_id"))
+    total, most = loads_of(loads, "rows")
+    held = joined_evenly(members, loads, ["key"], "rows", total, F.col("doc_id"), most=most)
     by_size = lambda rows, n: F.greatest(blocks_of(rows, BLOCK), F.ceil(F.col(n) / BLOCK_SHINGLES))
     units = dealt(held, by_size("mains", "main_shingles"), by_size("others", "other_shingles"))
     rows = units.join(texts, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id").select("key", "i", "j", "doc_id", "component", "side", "text")
@@ -418,24 +425,28 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = 80) ->
     banded = bands(reps)
     leads = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows")).where("lead <> last").select("key", "lead", "rows")
     leads = written(leads, "leads", files)
-    met = joined_evenly(banded, leads, ["key"], "rows", leads.agg(F.sum("rows")).first()[0] or 0, F.col("doc_id"))
+    total, most = loads_of(leads, "rows")
+    met = joined_evenly(banded, leads, ["key"], "rows", total, F.col("doc_id"), most=most)
     members = written(met.where("doc_id <> lead").distinct(), "members", files)
-    candidates = members.select("lead", "doc_id").distinct()
-    first = written(verified(promising(candidates, reps, percent, files), own, words_each, percent), "links", files)
-    groups = written(components(first, files), "groups", files)
+    candidates = written(members.select("lead", "doc_id").distinct(), "candidates", files)
+    pairs = written(promising(candidates, reps, percent, files), "pairs", files)
+    first = written(verified(pairs, own, words_each, percent, files), "links", files)
+    final = groups = written(components(first, files), "groups", files)
     named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     apart = written(mixed_keys(named, files), "apart", files)
     near = written(mixed_keys(written(promising_members(apart, reps, percent), "promising", files), files), "near", files)
     large = near.where(F.col("others") > BLOCK).select("key", "doc_id", "component")
-    if large.limit(1).count():
+    if not large.isEmpty():
         sieved = written(linkable(large, own, words_each, percent, files), "linkable", files)
         near = near.where(F.col("others") <= BLOCK).unionByName(mixed_keys(sieved, files))
     second = written(cross_links(near, reps, own, words_each, percent, files), "links", files)
-    final = written(components(first.unionByName(second), files), "components", files)
+    if not second.isEmpty():
+        final = written(components(first.unionByName(second), files), "components", files)
     of_class = classes.join(final, classes["rep"] == final["node"], "left").select("one", "two", F.coalesce("component", "rep").alias("component"), "rows")
     of_doc = final.select(F.col("node").alias("doc_id"), F.col("component").alias("own_component"))
     listed = sketched.select("doc_id", "one", "two", "n_shingles")
-    rows = joined_evenly(listed, of_class, ["one", "two"], "rows", sketched.count(), F.col("doc_id"), keep="left").join(of_doc, "doc_id", "left")
+    total, most = loads_of(classes, "rows")
+    rows = joined_evenly(listed, of_class, ["one", "two"], "rows", total, F.col("doc_id"), keep="left", most=most).join(of_doc, "doc_id", "left")
     # a copy's component is its class's; an id that has links under another text stays with those
     component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.least(F.coalesce("component", "doc_id"), F.coalesce("own_component", "component", "doc_id")))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

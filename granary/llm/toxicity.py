@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, slices, unpacked, whole
+from .common import Words, released, slices, unpacked, whole
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -45,6 +45,8 @@ LEAD = (4, 5)
 PAD = max(WIDTHS)
 PER_CLASS = 2500
 MOST_CHARS = 20_000
+#: Characters of the sample that the driver takes words of at a time.
+SAMPLE_CHARS = 1 << 18
 EPOCHS = 6
 LEAST_STEPS = 600
 BATCH = 32
@@ -72,6 +74,22 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(h % np.uint64(BUCKETS)).astype(np.int64) for h in (whole, *lead)], axis=1), words.first
 
 
+def sample_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_buckets`` of a list, by slices: the driver holds four bytes a number and no more than a slice of anything else."""
+    numbers, counts = [np.zeros((0, 3), np.int32)], [np.zeros(1, np.int64)]
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= SAMPLE_CHARS):
+            size += len(texts[b])
+            b += 1
+        buckets, first = word_buckets(pa.array(texts[a:b], pa.large_string()))
+        numbers.append(buckets.astype(np.int32))
+        counts.append(np.diff(first))
+        a = b
+    return np.concatenate(numbers), np.cumsum(np.concatenate(counts))
+
+
 @dataclass
 class Model:
     """The parameters; ``embedding`` is one table for the three kinds of buckets, with a zero row last."""
@@ -173,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    buckets, first = word_buckets(pa.array(texts, pa.large_string()))
+    buckets, first = sample_buckets(texts)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.params()]
     m_e, v_e = np.zeros_like(model.embedding), np.zeros_like(model.embedding)
     met_buckets = np.zeros(len(model.embedding), bool)
@@ -264,8 +282,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_cha
         model.trained = False
         return model
     kept = left_out(rows)
-    model = train([r.text or "" for r, k in zip(rows, kept, strict=True) if not k], labels_of[~kept])
-    used = docs.sparkSession.createDataFrame([(r.doc_id,) for r, k in zip(rows, kept, strict=True) if not k], T.StructType([T.StructField("doc_id", known.schema["doc_id"].dataType)]))
+    trained_on, texts = [(r.doc_id,) for r, k in zip(rows, kept, strict=True) if not k], [r.text or "" for r, k in zip(rows, kept, strict=True) if not k]
+    del rows
+    model = train(texts, labels_of[~kept])
+    del texts
+    released()
+    used = docs.sparkSession.createDataFrame(trained_on, T.StructType([T.StructField("doc_id", known.schema["doc_id"].dataType)]))
     rest = known.where(F.col("toxic").isin(0, 1)).join(F.broadcast(used), "doc_id", "left_anti").select("doc_id", "toxic")
     bins = sorted(((r.bin, r.lang, r.ones, r.zeros) for r in score_bins(docs, rest, model).collect()), key=lambda r: -r[0])
 

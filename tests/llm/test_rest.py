@@ -426,6 +426,20 @@ def test_classifier_against_a_plain_forward_pass():
     assert np.allclose(model.scores(pa.array(texts)), [plain_score(model, t) for t in texts], atol=1e-5)
 
 
+def test_sample_goes_to_buckets_by_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 20)
+    texts = ["", "one Two, (three)", "x" * 50 + " long one", "", "a b", "c", "d e f g h i j k l m n o p", ""]
+    sizes, plain = [], toxicity.word_buckets
+    monkeypatch.setattr(toxicity, "word_buckets", lambda t: sizes.append(sum(map(len, t.to_pylist()))) or plain(t))
+    for own in (texts, texts[:1], []):
+        buckets, first = toxicity.sample_buckets(own)
+        want, want_first = plain(pa.array(own, pa.large_string()))
+        assert buckets.dtype == np.int32 and buckets.tolist() == want.tolist() and first.tolist() == want_first.tolist()
+    assert max(sizes) == 59
+
+
 def test_training_follows_the_numeric_gradient():
     texts, labels = ["you bad thing", "a kind word here", "bad bad", "fine day today"], np.array([1, 0, 1, 0], np.float32)
     model = toxicity.Model.new(5)

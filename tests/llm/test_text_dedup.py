@@ -70,6 +70,52 @@ def test_components_against_brute_force(spark, monkeypatch, block, k, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def noted(monkeypatch, module):
+    """The names and physical plans of what ``module`` writes from now on."""
+    plans, plain = [], common.written
+
+    def spy(df, name, files=None):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return plain(df, name, files)
+
+    monkeypatch.setattr(module, "written", spy)
+    return plans
+
+
+def test_no_plan_holds_another_one_several_times(spark, monkeypatch):
+    plans = noted(monkeypatch, neardup)
+    out = neardup.near_duplicates(frame(spark, near_rows(60)))
+    plans.append(("result", out._jdf.queryExecution().sparkPlan().toString()))
+    assert {"pairs", "links", "result"} <= {name for name, _ in plans}
+    for name, plan in plans:
+        assert plan.count("MapInArrow") <= 1 and plan.count("Join") <= 4, name
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    plans = noted(monkeypatch, components)
+    links = [(1, k) for k in range(2, 9)] + [(20, 20), (11, 10), (10, 11)]
+    out = components.components(spark.createDataFrame(links, "x long, y long")).collect()
+    assert sorted((r.node, r.component) for r in out) == [(k, 1) for k in range(1, 9)] + [(10, 10), (11, 10)]
+    assert len(plans) == 1
+    assert components.components(spark.createDataFrame([], "x long, y long")).count() == 0 and len(plans) == 2
+
+
+@pytest.mark.parametrize("keep", ["inner", "left"])
+@pytest.mark.parametrize("hot", [False, True])
+def test_joins_with_and_without_hot_keys(spark, keep, hot):
+    rows = [(k % 7 or None, k) for k in range(70)] + [(9, 100 + k) for k in range(common.HOT_ROWS + 1 if hot else 3)]
+    left = spark.createDataFrame(rows, "key long, at long")
+    keyed = left.where("key > 2").groupBy("key").count().selectExpr("key", "count as n", "key * 10 as value")
+    total, most = common.loads_of(keyed, "n")
+    of = {k for k, _ in rows if k and k > 2}
+    assert total == sum(k in of for k, _ in rows) and (most > common.HOT_ROWS) == hot
+    want = sorted((str(k), at, k * 10 if k in of else None) for k, at in rows if keep == "left" or k in of)
+    for known in (None, most):
+        met = common.joined_evenly(left, keyed, ["key"], "n", total, left["at"], keep, most=known)
+        assert met.columns == ["key", "at", "value"] and sorted((str(r.key), r.at, r.value) for r in met.collect()) == want
+        assert ("__hot" in met._jdf.queryExecution().optimizedPlan().toString()) == (known is None or hot)
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     out = neardup.near_duplicates(frame(spark, [(None, "a b c d"), (1, "a b c d"), (2, "a b c d")])).collect()
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in out) == [(0, None, True), (1, 1, True), (2, 1, False)]
